@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +46,49 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _run_dir(spark: SparkSession) -> str:
+    """This session's own folder below the shared one; removed when the interpreter ends."""
+    key = spark.sparkContext.applicationId
+    if key not in _RUNS:
+        _RUNS[key] = f"{checkpoint_dir(spark)}/beliefloom-{uuid.uuid4().hex}"
+        atexit.register(_forget, spark, key)
+    return _RUNS[key]
+
+
+def _forget(spark: SparkSession, key: str) -> None:
+    if spark.sparkContext._jsc is not None and key in _RUNS:
+        _delete(spark, _RUNS.pop(key))
+
+
+_RUNS: dict[str, str] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and written to the shared checkpoint folder; later plans start from those files."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once and written as a table in the shared checkpoint folder; later plans start from its files.
+
+    Unlike a checkpointed RDD the table has a known size (for the choice of joins), is read by column, and carries no
+    inferred constraints of the plan that made it, which would grow with every step of a loop.
+    """
+    spark = df.sparkSession
+    path = f"{_run_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._beliefloom_path = path
+    return out
+
+
+def release(*dfs: DataFrame | None) -> None:
+    """Deletes the files of tables made by cut() that no later plan reads."""
+    for df in dfs:
+        path = getattr(df, "_beliefloom_path", None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
