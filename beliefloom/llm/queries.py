@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from beliefloom.functions.text import plain
 from beliefloom.llm.components import components
+from beliefloom.llm.neardup import near_groups
+from beliefloom.llm.splits import split_overlaps
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +32,50 @@ def p1_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_found(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("n_claims"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_group_sizes": p1_group_sizes}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "claims"), "claim_id", "statement", 0.6)
+
+
+def eval_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """split, prop_id, field, pos, text of both evaluation splits."""
+    out = None
+    for split in ("dev", "heldout"):
+        t = table(spark, sf_dir, f"lora02_{split}")
+        key = [F.lit(split).alias("split"), "prop_id"]
+        rows = t.select(*key, F.lit("statement").alias("field"), F.lit(0).alias("pos"), F.col("statement").alias("text"))
+        for field in ("assert", "deny"):
+            rows = rows.unionByName(t.select(*key, F.lit(field).alias("field"), F.posexplode(field).alias("pos", "text")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def train_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lora02_train")
+    return t.select("example_id", F.col("source").alias("train_source"), F.explode(F.array("sentence", "fact")).alias("text"))
+
+
+def p6_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlap with its likeness and the part of the longer text that shared chunks cover."""
+    return split_overlaps(
+        eval_texts(spark, sf_dir), ["split", "prop_id", "field", "pos"], train_texts(spark, sf_dir), ["example_id", "train_source"], "text", 0.7
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_overlaps(spark, sf_dir).select("split", "prop_id", "field", "pos", "example_id").distinct()
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per split and training source: cases, propositions and training rows concerned."""
+    return p6_overlaps(spark, sf_dir).groupBy("split", "train_source").agg(
+        F.count("*").alias("n_cases"), F.countDistinct("prop_id").alias("n_props"), F.countDistinct("example_id").alias("n_examples")
+    )
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found,
+    "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_counts": p6_counts,
+}
 
 _GROUPS = r"""
 pr AS (SELECT DISTINCT claim_a AS a, claim_b AS b FROM claim_relations
