@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from beliefloom.functions.text import plain
 from beliefloom.llm.components import components
+from beliefloom.llm.contamination import leaks
 from beliefloom.llm.neardup import near_groups
+from beliefloom.llm.packing import pack, packing_report
 from beliefloom.llm.splits import split_overlaps
 
 
@@ -72,9 +74,34 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(p7_packed(spark, sf_dir))
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items of which passages stand in them, verbatim or with a few word edits."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages")
+    return leaks(docs, "doc_id", "text", items, "item_id", "text").withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).where("longest >= 12").select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items of each suite with the number of documents they stand in."""
+    items = table(spark, sf_dir, "eval_passages").select("item_id", "suite")
+    return p8_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs")).join(items, "item_id").select("suite", "item_id", "n_docs")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found,
     "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_counts": p6_counts,
+    "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items,
 }
 
 _GROUPS = r"""
