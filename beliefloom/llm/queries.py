@@ -10,6 +10,7 @@ from beliefloom.llm.components import components
 from beliefloom.llm.contamination import leaks
 from beliefloom.llm.neardup import near_groups
 from beliefloom.llm.packing import pack, packing_report
+from beliefloom.llm.residue import residue
 from beliefloom.llm.splits import split_overlaps
 
 
@@ -98,10 +99,27 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs")).join(items, "item_id").select("suite", "item_id", "n_docs")
 
 
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what was found in it."""
+    return residue(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_report(spark, sf_dir).where("residue").select("doc_id")
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each kind that stay after residue is excluded, and those excluded."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "doc_kind")
+    out = docs.join(p9_report(spark, sf_dir).select("doc_id", "residue"), "doc_id").groupBy("doc_kind")
+    return out.agg(F.sum(F.when(F.col("residue"), 0).otherwise(1)).alias("n_kept"), F.sum(F.when(F.col("residue"), 1).otherwise(0)).alias("n_excluded"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found,
     "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_counts": p6_counts,
     "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items,
+    "p9_found": p9_found, "p9_report": p9_report, "p9_kept": p9_kept,
 }
 
 _GROUPS = r"""
