@@ -14,7 +14,7 @@ from beliefloom.llm.joins import hashes
 from beliefloom.session import cut
 
 #: Words of a window; LSH tables; sampled positions of the embedding per table; word edits a window may have.
-RUN, TABLES, BITS, EDITS = 12, 4, 6, 1
+RUN, TABLES, BITS, EDITS = 12, 4, 8, 1
 #: Items up to this many windows are sent to all executors; beyond it their keys are joined instead.
 INDEX_WINDOWS = 1_000_000
 _BLOCK = 1 << 15
@@ -93,23 +93,31 @@ def _windows(run: int, tables: int, bits: int, index) -> object:
     return go
 
 
-def edit_distance(a: list[int], b: list[int]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diag, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diag, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diag + (x != y))
-    return row[-1]
+def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distances of the rows of two (m, run) arrays, all rows at once."""
+    m, n = a.shape
+    row = np.tile(np.arange(n + 1, dtype=np.int16)[:, None], (1, m))
+    for i in range(n):
+        diag = row[0].copy()
+        row[0] = i + 1
+        for j in range(n):
+            best = np.minimum(np.minimum(row[j + 1], row[j]) + 1, diag + (a[:, i] != b[:, j]))
+            diag = row[j + 1].copy()
+            row[j + 1] = best
+    return row[n]
 
 
-def _verify(edits: int):
+def _verify(run: int, edits: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = b.column("win").to_pylist(), b.column("win2").to_pylist()
-            d = [0 if x == y else edit_distance(x, y) for x, y in zip(a, c)]
-            keep = pa.array([x <= edits for x in d])
-            out = b.select(["doc", "item", "pos", "ipos"]).append_column("dist", pa.array(d, pa.int32()))
-            yield out.filter(keep)
+            x, y = (np.asarray(b.column(c).flatten()).reshape(-1, run) for c in ("win", "win2"))
+            d = (x != y).sum(axis=1).astype(np.int16)  # never below the edit distance
+            # Windows have one length, so a single edit is a substitution; only from two edits on can shifts be nearer.
+            more = np.flatnonzero(d > 1)
+            if edits > 1 and len(more):
+                d[more] = edit_distances(x[more], y[more])
+            out = b.select(["doc", "item", "pos", "ipos"]).append_column("dist", pa.array(d.astype(np.int32)))
+            yield out.filter(pa.array(d <= edits))
 
     return go
 
@@ -134,7 +142,7 @@ def window_matches(docs: DataFrame, doc: str, text: str, items: DataFrame, item:
     dw = dw.select(F.col("key").alias("doc"), "pos", "sig", "win")
     it = iw.select(F.col("key").alias("item"), F.col("pos").alias("ipos"), "sig", F.col("win").alias("win2"))
     cand = dw.join(it, "sig").drop("sig").dropDuplicates(["doc", "pos", "item", "ipos"])
-    return cand.mapInArrow(_verify(edits), f"doc {dk}, item {ik}, pos int, ipos int, dist int")
+    return cand.mapInArrow(_verify(run, edits), f"doc {dk}, item {ik}, pos int, ipos int, dist int")
 
 
 def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, *, run: int = RUN, **more: int) -> DataFrame:
