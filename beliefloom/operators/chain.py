@@ -83,7 +83,7 @@ def forks(heads_: DataFrame) -> DataFrame:
 
 def inclusion(log: DataFrame, wanted: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """store, seq, proof (hex), root for wanted (store, seq) in full segments; one bounded group per segment concerned."""
-    want = wanted.select("store", F.col("seq").alias("want"), F.floor((F.col("seq") - 1) / segment).alias("no"))
+    want = wanted.select(F.col("store").alias("in"), F.col("seq").alias("want"), F.floor((F.col("seq") - 1) / segment).alias("part"))
 
     def prove(hashes: pa.Table, want: pa.Table) -> pa.Table:
         rows = sorted(zip(hashes.column("seq").to_pylist(), hashes.column("hash").to_pylist()))
@@ -95,8 +95,9 @@ def inclusion(log: DataFrame, wanted: DataFrame, segment: int = SEGMENT) -> Data
         store = hashes.column("store")[0].as_py() if len(hashes) else None
         return pa.table({"store": pa.array([store] * len(out), pa.string()), "seq": pa.array([x[0] for x in out], pa.int64()), "proof": pa.array([x[1] for x in out], pa.list_(pa.string())), "root": pa.array([x[2] for x in out], pa.string())})
 
-    near = log.select("store", F.floor((F.col("seq") - 1) / segment).alias("no"), "seq", "hash").join(want.select("store", "no").distinct(), ["store", "no"])
-    return near.groupBy("store", "no").cogroup(want.groupBy("store", "no")).applyInArrow(prove, "store string, seq long, proof array<string>, root string")
+    near = log.select("store", F.floor((F.col("seq") - 1) / segment).alias("no"), "seq", "hash")
+    near = near.join(want.select(F.col("in").alias("store"), F.col("part").alias("no")).distinct(), ["store", "no"])
+    return near.groupBy("store", "no").cogroup(want.groupBy("in", "part")).applyInArrow(prove, "store string, seq long, proof array<string>, root string")
 
 
 def signatures(log: DataFrame, keys: DataFrame) -> DataFrame:

@@ -35,17 +35,15 @@ def opposed_siblings(claims: DataFrame, ancestors: DataFrame, least: float = OPP
 def interval_conflicts(intervals: DataFrame, least: float = CONFLICT, cells: int = 20) -> DataFrame:
     """``claim_a, claim_b, k``: claims of one topic whose evidence intervals conflict by at least ``least`` (>= 0.5).
 
-    intervals: claim_id, topic, belief, plausibility.  A conflict k = b1 (1 - p2) + (1 - p1) b2 of at least ``least``
-    needs, for one of the two, belief b and for the other doubt 1 - p with b + (1 - p) of theirs that large; since
-    b <= p in each, one claim's belief is at least ``least`` / 2 and the other's doubt too.  Claims meet by equi-join on
-    (topic, cell of doubt) only where the product of bounds still allows the conflict.
+    intervals: claim_id, topic, belief, plausibility.  With doubt d = 1 - plausibility the conflict is b1 d2 + d1 b2.
+    One of the terms must reach ``least`` / 2, so one claim has that much belief and the other that much doubt; and as
+    b2 <= 1 - d2, d2 must be at least (least - d1) / (b1 - d1) where b1 > d1.  Claims meet by equi-join on (topic, cell
+    of doubt) only above that bound; nothing is compared across topics.
     """
     iv = intervals.where("belief IS NOT NULL AND plausibility IS NOT NULL AND topic IS NOT NULL")
     iv = iv.withColumn("doubt", F.lit(1.0) - F.col("plausibility"))
-    # k <= b_x * d_y + d_x * b_y with x the one of larger belief minus doubt; y's doubt must reach (least - d_x) / (1 - d_x) ... bounded below by least - d_x.
     x = iv.where(F.col("belief") >= least / 2).select("topic", F.col("claim_id").alias("x"), F.col("belief").alias("b1"), F.col("plausibility").alias("p1"), F.col("doubt").alias("d1"))
     y = iv.where(F.col("doubt") >= least / 2).select("topic", F.col("claim_id").alias("y"), F.col("belief").alias("b2"), F.col("plausibility").alias("p2"), F.least(F.floor(F.col("doubt") * cells), F.lit(cells - 1)).cast("int").alias("cell"))
-    # b1 * d2 + d1 * b2 >= least with b2 <= 1 - d2 gives d2 >= (least - d1) / (b1 - d1) if b1 > d1.
     bound = F.when(F.col("b1") > F.col("d1"), (F.lit(least) - F.col("d1")) / (F.col("b1") - F.col("d1"))).otherwise(F.lit(0.0))
     low = F.greatest(F.lit(0), F.least(F.floor(bound * cells - 1e-9), F.lit(cells))).cast("int")
     x = x.withColumn("cell", F.explode(F.when(low <= cells - 1, F.sequence(low, F.lit(cells - 1))).otherwise(F.array().cast("array<int>"))))

@@ -152,7 +152,7 @@ def revisit(claims: DataFrame, edges: DataFrame, roots: DataFrame, combos: DataF
     """
     r = roots.select(F.col("root"), F.col("score").alias("to"))
     near = reach(edges, "supports_id", "claim_id", r.select("root")).select("root", F.col("node").alias("claim_id"))
-    part = near.join(edges.select("claim_id", "supports_id", "p_given", "p_given_not", "strength", "from_us", "seq"), "claim_id")
+    part = cut(near.join(edges.select("claim_id", "supports_id", "p_given", "p_given_not", "strength", "from_us", "seq"), "claim_id"))
     size = part.groupBy("root").count().agg(F.max("count")).first()[0] or 0
     if size > KERNEL_EDGES:
         raise ValueError(f"a root reaches {size} edges; more than {KERNEL_EDGES} do not fit one walk")
@@ -160,7 +160,6 @@ def revisit(claims: DataFrame, edges: DataFrame, roots: DataFrame, combos: DataF
     nodes = part.select("root", "claim_id").union(part.select("root", F.col("supports_id"))).distinct().join(state, "claim_id")
     combo = combos if combos is not None else claims.select("claim_id", F.lit(None).cast("string").alias("combo"), F.lit(None).cast("double").alias("leak")).limit(0)
     nodes = nodes.join(combo.select("claim_id", "combo", "leak"), "claim_id", "left").join(r, "root")
-    left = nodes.groupBy("root")
     schema = "root string, claim_id string, old double, new double, flagged boolean, position int"
 
     def walk(n: pa.Table, e: pa.Table) -> pa.Table:
@@ -176,4 +175,4 @@ def revisit(claims: DataFrame, edges: DataFrame, roots: DataFrame, combos: DataF
         arrays = [pa.array(list(c), k) for c, k in zip(cols, kinds)]
         return pa.table([pa.array([rows[0]["root"]] * len(got), pa.string()), *arrays], names=["root", "claim_id", "old", "new", "flagged", "position"])
 
-    return left.cogroup(part.groupBy("root")).applyInArrow(walk, schema)
+    return cut(nodes).groupBy("root").cogroup(part.groupBy("root")).applyInArrow(walk, schema)

@@ -48,7 +48,9 @@ def p3_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_changes(records: DataFrame) -> DataFrame:
-    """The distinct changes of a store's claims: store, claim_id, seq, op, score.
+    """The distinct changes of a store's claims: store, claim_id, seq, op, score, content.
+
+    ``content`` is a digest of what makes two changes the same.
 
     Rows alike in store, instant, actor, type and payload content are one change at its lowest seq; content is
     compared as parsed JSON (sorted keys, no escapes), torn payloads do not parse and do not count.
@@ -66,7 +68,7 @@ def claim_changes(records: DataFrame) -> DataFrame:
     same = ["store", "at", "actor", "type", "content"]
     r = r.groupBy(*same).agg(F.min("seq").alias("seq"), F.min("claim_id").alias("claim_id"), F.min("score").alias("score"))
     op = F.when(F.col("type") == "assert", "insert").when(F.col("type") == "score_revision", "update").otherwise("delete")
-    return r.select("store", "claim_id", "seq", op.alias("op"), "score")
+    return r.select("store", "claim_id", "seq", op.alias("op"), "score", F.md5(F.concat_ws("\u0001", "at", "actor", "type", "content")).alias("content"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beliefloom.plans import core_problems
+from beliefloom.plans import core_problems, reference
 
-QUERIES = {**core_problems.QUERIES}
-ORACLES = {**core_problems.ORACLES}
+QUERIES = {**reference.QUERIES, **core_problems.QUERIES}
+ORACLES = {**reference.ORACLES, **core_problems.ORACLES}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p5_found"](spark, sf_dir)
+    return QUERIES["claims_filtered"](spark, sf_dir)

@@ -9,13 +9,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from beliefloom.functions import canonical as C
 from beliefloom.functions.text import instant_us
 
 #: All payload fields that any event type has; absent ones parse as null.
-PAYLOAD = T.StructType.fromDDL(
+PAYLOAD = (
     "claim_id string, statement string, prior double, writer string, valid_from string, valid_to string, score_kind string, status string, "
     "materiality double, critical boolean, entrenchment double, source string, falsifier string, does_not_establish string, old_score double, "
     "new_score double, triggering_event_id string, old double, new double, old_claim_id string, new_claim_id string, reason string, "
