@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beliefloom.llm import joins
@@ -13,10 +13,11 @@ from beliefloom.session import cut
 
 #: Chunk cuts: a word ends a chunk if its rolling hash is 0 modulo DIVISOR; chunks have 2 to 8 words.
 DIVISOR, LEAST, MOST = 3, 2, 8
-#: Independent cuts of each record; one edit can then not move all chunk borders around it.
-SEEDS = (1, 2)
+#: Cut rules: a positive seed cuts the words as they stand, a negative one the distinct words in the order of their
+#: hashes, a normal form that does not change when parts of a text are moved.
+SEEDS = (1, -2, -3)
 #: A pair must share chunks of at least this part of the longer record's words to become a candidate.
-OVERLAP = 0.2
+OVERLAP = 0.1
 _MASK = (1 << 64) - 1
 
 
@@ -42,7 +43,7 @@ def _chunks(seeds: Sequence[int]):
             rid, item, w, cut_no = [], [], [], []
             for r, h in zip(b.column("rid").to_pylist(), b.column("h").to_pylist()):
                 for s in seeds:
-                    for d, n in dict(chunk_digests(h, s)).items():
+                    for d, n in dict(chunk_digests(h if s > 0 else sorted(set(h)), abs(s))).items():
                         rid.append(r)
                         item.append(d)
                         w.append(n)
@@ -56,10 +57,10 @@ def cross_split_pairs(evals: DataFrame, train: DataFrame, t: float = 0.8, *, see
     """``rid, rid2, likeness, overlap``: distinct texts of evals (rid) and train (rid2) with a likeness of at least t.
 
     Both inputs have rid (digest of the words) and words.  ``overlap`` is the length of shared chunks over the longer
-    record's length, averaged over the cuts.
+    record's length, over all cuts.
 
-    Method: each record is cut where a rolling hash of its words says so, under ``seeds`` independent rules, and its
-    chunks are known by digest.  A pair shares at least the part ``overlap`` only if it shares one of either record's
+    Method: each record is normalised and cut where a rolling hash of its words says so, under each of the rules in
+    ``seeds``, and its chunks are known by digest.  A pair shares at least the part ``overlap`` only if it shares one of either record's
     rarest chunks, those left when the most frequent ones of less than that part are set aside; only these are joined.
     Candidates are narrowed by size and a 128-bit bitmap (exact bounds) and verified on the words.
     """
@@ -85,13 +86,19 @@ def cross_split_pairs(evals: DataFrame, train: DataFrame, t: float = 0.8, *, see
     cand = e.join(r, "item").where(joins.within(t)).select("rid", "rid2").distinct()
     w = texts.select("rid", "words")
     pairs = cand.join(w, "rid").join(w.select(F.col("rid").alias("rid2"), F.col("words").alias("words2")), "rid2")
-    like = pairs.select("rid", "rid2", joins.likeness().alias("likeness"), F.greatest(F.size("words"), F.size("words2")).alias("long"))
+    like = pairs.select("rid", "rid2", joins.likeness().alias("likeness"), F.greatest(_length("words", seeds), _length("words2", seeds)).alias("long"))
     like = cut(like.where(F.col("likeness") >= t - 1e-12))
     mine = like.join(items.select("rid", "item", "cut", "w"), "rid")
     theirs = items.select(F.col("rid").alias("rid2"), "item", "cut")
     shared = mine.join(theirs, ["rid2", "item", "cut"]).groupBy("rid", "rid2").agg(F.sum("w").alias("shared"))
     out = like.join(shared, ["rid", "rid2"], "left")
-    return out.select("rid", "rid2", "likeness", (F.coalesce("shared", F.lit(0)) / (F.col("long") * len(seeds))).alias("overlap"))
+    return out.select("rid", "rid2", "likeness", (F.coalesce("shared", F.lit(0)) / F.col("long")).alias("overlap"))
+
+
+def _length(words: str, seeds: Sequence[int]) -> Column:
+    """The words that a record's chunks hold in all cuts together."""
+    n = sum(s > 0 for s in seeds)
+    return F.size(words) * n + F.size(F.array_distinct(words)) * (len(seeds) - n)
 
 
 def split_overlaps(evals: DataFrame, keys: Sequence[str], train: DataFrame, train_keys: Sequence[str], text: str, t: float = 0.8) -> DataFrame:
