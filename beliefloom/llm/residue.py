@@ -49,7 +49,7 @@ Traceback (most recent call last): File "app.py", line 0, in page. KeyError: '0'
 java.lang.NullPointerException at page.Render(0). Exception in thread "main" java.lang.IllegalStateException at page.View(0). Fatal error: Uncaught Error. Segmentation fault. Stack trace. HTTP Status 504 – Gateway Timeout. HTTP Status 500 – Internal Server Error.
 Timestamp 0, node example.invalid. Timestamp 0, node host.invalid. Timestamp 0, node server.invalid. Incident has been logged. Reference: 0-0. Request id: 0. Timestamp 0, node gate.invalid. Error code: 0. Ray ID: 0. Trace id 0.
 Database connection failed: timeout after 30 ms. Error establishing a database connection. Your session has expired. Please sign in again. Session expired.
-Something went wrong. Oops, something went wrong. An error occurred while processing your request. An unexpected error occurred. We are sorry.
+Something went wrong. Oops, something went wrong. Oops! Something went wrong on our end. An error occurred while processing your request. An unexpected error occurred. We are sorry.
 Return to the previous page. If the problem persists, contact the administrator. Please contact the site administrator. Reload the page.
 Your request could not be processed. The request could not be completed. This site is down for maintenance. Temporarily down for maintenance. Connection refused. Connection timed out.
 {"error": {"code": 0, "message": "Forbidden"}} {"error": {"code": 0, "message": "Service Unavailable"}} {"status": 0, "error": "Not Found"}
@@ -117,26 +117,63 @@ def normal(text: str) -> str:
     return re.sub(r"[ \t\xa0]+", " ", _IDS.sub("0", text.lower().replace("\r", "")))
 
 
-def _grams(text: str, order: int) -> np.ndarray:
-    """Bin of the n-gram that ends at each character."""
+def _bins(text: str) -> list[np.ndarray]:
+    """For each order, the bin of the n-gram that ends at each character."""
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    h = c.copy()
-    for k in range(1, order):
-        h[k:] = (h[k:] * np.uint64(0x100000001B3)) ^ (c[:-k] + np.uint64(k * 0x9E3779B9))
-        h[:k] = h[:k] * np.uint64(0x100000001B3)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64)
+    h, out = c.copy(), []
+    for k in range(ORDERS):
+        if k:
+            h *= np.uint64(0x100000001B3)
+            h[k:] ^= c[:-k] + np.uint64(k * 0x9E3779B9)
+        out.append((((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(BINS)).astype(np.int32))
+    return out
+
+
+#: Between lines, so that no n-gram reaches from one line into the next.
+_GAP = "\n" * (ORDERS - 1)
+
+
+class Lines:
+    """The content lines of some texts: without headings, navigation and footers, in normal form."""
+
+    def __init__(self, texts: Sequence[str | None]):
+        self.lines: list[str] = []
+        doc: list[int] = []
+        for i, t in enumerate(texts):
+            for x in (t or "").splitlines():
+                x = normal(x).strip()
+                if x and not FURNITURE.search(x):
+                    self.lines.append(x)
+                    doc.append(i)
+        self.doc = np.array(doc, np.int64)
+        self.size = np.array([len(x) for x in self.lines], np.int64)
+        self.whole = _GAP + _GAP.join(self.lines)
+        self.start = len(_GAP) + np.concatenate([[0], np.cumsum(self.size[:-1] + len(_GAP))]) if self.lines else np.zeros(0, np.int64)
+
 
+def blocks(texts: Sequence[str | None], most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` characters together (one text may have more)."""
+    lo = chars = 0
+    for i, t in enumerate(texts):
+        chars += len(t or "")
+        if chars >= most:
+            yield lo, i + 1
+            lo, chars = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
 
-def gram_counts(texts: Sequence[str]) -> np.ndarray:
+
+def gram_counts(lines: Sequence[str]) -> np.ndarray:
     out = np.zeros((ORDERS, BINS), np.float64)
-    whole = "\n".join(texts)
-    if whole:
-        for n in range(ORDERS):
-            out[n] = np.bincount(_grams(whole, n + 1), minlength=BINS)
+    if lines:
+        for n, b in enumerate(_bins(_GAP + _GAP.join(lines))):
+            out[n] = np.bincount(b, minlength=BINS)
     return out
 
 
+_ALNUM = np.array([chr(i).isalnum() for i in range(0x10000)])
+
+
 class Model:
     """Interpolated character n-gram models of the classes, over hashed counts."""
 
@@ -146,46 +183,55 @@ class Model:
 
     def log(self, text: str) -> np.ndarray:
         """(classes, characters): log probability of each character after those before it."""
-        bins = [_grams(text, n + 1) for n in range(ORDERS)]
-        out = np.empty((len(self.counts), len(text)))
+        bins = _bins(text)
+        out = np.empty((len(self.counts), len(text)), np.float32)
         for k, (c, total) in enumerate(zip(self.counts, self.total)):
-            p = (c[0][bins[0]] + 0.5) / (total + 100)
+            seen = c[0][bins[0]]
+            p = (seen + np.float32(0.5)) / np.float32(total + 100)
             for n in range(1, ORDERS):
-                seen = np.empty(len(text), np.float32)
-                seen[0] = 0
-                seen[1:] = c[n - 1][bins[n - 1][:-1]]
-                p = (c[n][bins[n]] + 2 * p) / (np.maximum(seen, c[n][bins[n]]) + 2)
-            out[k] = np.log(p)
+                hit = c[n][bins[n]]
+                before = np.empty_like(seen)
+                before[0], before[1:] = 0, seen[:-1]
+                p = (hit + 2 * p) / (np.maximum(before, hit) + 2)
+                seen = hit
+            np.log(p, out=out[k])
         return out
 
-    def coverage(self, text: str) -> tuple[int, int, int]:
-        """Letters of natural prose, filler and notices in the content of a text."""
-        lines = [normal(x).strip() for x in text.splitlines()]
-        lines = [x for x in lines if x and not FURNITURE.search(x)]
-        total = [0, 0, 0]
-        if not lines:
-            return 0, 0, 0
-        whole = "\n".join(lines)
-        logs = self.log("\n" + whole)[:, 1:]
-        ends = np.cumsum([len(x) + 1 for x in lines])
-        starts = ends - np.array([len(x) + 1 for x in lines])
-        sums = np.concatenate([np.zeros((3, 1)), np.cumsum(logs, axis=1)], axis=1)
-        alpha = np.array([ch.isalnum() for ch in whole])
-        for a, e in zip(starts, ends - 1):
-            i = np.arange(a, e)
-            lo, hi = np.maximum(i - WINDOW // 2, a), np.minimum(i + WINDOW // 2 + 1, e)
-            best = np.argmax(sums[:, hi] - sums[:, lo], axis=0)
-            n = np.bincount(best[alpha[a:e]], minlength=3)
-            if n[1:].sum() >= 0.8 * n.sum():  # a line that is nearly all residue is residue with the names in it
-                n[1 + int(n[2] > n[1])] += n[0]
-                n[0] = 0
-            for k in range(3):
-                total[k] += int(n[k])
-        return total[0], total[1], total[2]
+    def coverage(self, texts: Sequence[str | None]) -> np.ndarray:
+        """(texts, classes): letters of natural prose, filler and notices in the content of each text."""
+        out = np.zeros((len(texts), len(CLASSES)), np.int64)
+        for lo, hi in blocks(texts):
+            ln = Lines(texts[lo:hi])
+            if not ln.lines:
+                continue
+            sums = np.zeros((len(CLASSES), len(ln.whole) + 1))
+            np.cumsum(self.log(ln.whole), axis=1, dtype=np.float64, out=sums[:, 1:])
+            line = np.repeat(np.arange(len(ln.lines)), ln.size)
+            at = np.arange(len(line)) - np.repeat(np.cumsum(ln.size) - ln.size, ln.size) + ln.start[line]
+            code = np.frombuffer(ln.whole.encode("utf-32-le"), np.uint32)[at]
+            keep = _ALNUM[np.minimum(code, 0xFFFF)] | (code > 0xFFFF)
+            line, at = line[keep], at[keep]
+            a = np.maximum(at - WINDOW // 2, ln.start[line])
+            e = np.minimum(at + WINDOW // 2 + 1, ln.start[line] + ln.size[line])
+            best = np.argmax(sums[:, e] - sums[:, a], axis=0)
+            n = np.bincount(line * 3 + best, minlength=3 * len(ln.lines)).reshape(-1, 3)
+            # A line that is nearly all residue is residue with the names in it.
+            nearly = n[:, 1] + n[:, 2] >= 0.8 * n.sum(axis=1)
+            more = np.where(nearly, n[:, 0], 0)
+            filler = n[:, 1] >= n[:, 2]
+            n[:, 0] -= more
+            n[:, 1] += np.where(filler, more, 0)
+            n[:, 2] += np.where(filler, 0, more)
+            np.add.at(out, lo + ln.doc, n)
+        return out
+
+
+def _seed(text: str) -> np.ndarray:
+    return gram_counts([normal(x).strip() for x in text.splitlines() if x.strip()])
 
 
 def seed_model() -> Model:
-    return Model([gram_counts([normal(t)]) for t in (NATURAL, FILLER, NOTICE)])
+    return Model([_seed(NATURAL), _seed(FILLER), _seed(NOTICE)])
 
 
 def _count_natural(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,21 +239,16 @@ def _count_natural(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     seeds = seed_model()
     total = np.zeros((ORDERS, BINS), np.float64)
     for b in batches:
-        keep: list[str] = []
-        for t in b.column("text").to_pylist():
-            lines = [y for y in (normal(x).strip() for x in (t or "").splitlines()) if y and not FURNITURE.search(y)]
-            if lines:
-                logs = seeds.log("\n".join(lines))
-                at = 0
-                for y in lines:
-                    s = logs[:, at : at + len(y)].sum(axis=1)
-                    at += len(y) + 1
-                    if max(s[1], s[2]) - s[0] < SURE * len(y):
-                        keep.append(y)
-            if sum(map(len, keep)) > 200_000:
-                total += gram_counts(keep)
-                keep = []
-        total += gram_counts(keep)
+        texts = b.column("text").to_pylist()
+        for lo, hi in blocks(texts):
+            ln = Lines(texts[lo:hi])
+            if not ln.lines:
+                continue
+            sums = np.zeros((len(CLASSES), len(ln.whole) + 1))
+            np.cumsum(seeds.log(ln.whole), axis=1, dtype=np.float64, out=sums[:, 1:])
+            s = sums[:, ln.start + ln.size] - sums[:, ln.start]
+            sure = np.maximum(s[1], s[2]) - s[0] >= SURE * ln.size
+            total += gram_counts([x for x, bad in zip(ln.lines, sure) if not bad])
     n, i = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array((n * BINS + i).astype(np.int32)), pa.array(total[n, i].astype(np.int64))], names=["bin", "n"])
 
@@ -225,8 +266,7 @@ def fit(docs: DataFrame, text: str) -> Model:
     natural = np.zeros(ORDERS * BINS)
     for r in counted.collect():
         natural[r[0]] = r[1]
-    natural = natural.reshape(ORDERS, BINS) + gram_counts([normal(NATURAL)])
-    return Model([natural, gram_counts([normal(FILLER)]), gram_counts([normal(NOTICE)])])
+    return Model([natural.reshape(ORDERS, BINS) + _seed(NATURAL), _seed(FILLER), _seed(NOTICE)])
 
 
 def residue(docs: DataFrame, key: str, text: str, *, coverage: float = COVERAGE, model: Model | None = None) -> DataFrame:
@@ -250,16 +290,14 @@ def residue(docs: DataFrame, key: str, text: str, *, coverage: float = COVERAGE,
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            rows = []
-            for t in b.column("text").to_pylist():
-                t = t or ""
-                holes = len(unfilled(t))
-                a, f, n = m.coverage(t) if t.strip() else (0, 0, 0)
-                only = f + n >= LEAST and f + n >= coverage * (a + f + n)
-                rows.append((holes, a, f, n, "placeholder" if holes else ("filler" if f >= n else "notice") if only else None))
-            cols = list(zip(*rows)) if rows else [[]] * 5
+            texts = b.column("text").to_pylist()
+            holes = np.array([len(unfilled(t or "")) for t in texts], np.int64)
+            n = m.coverage(texts)
+            bad = n[:, 1] + n[:, 2]
+            only = (bad >= LEAST) & (bad >= coverage * n.sum(axis=1))
+            what = ["placeholder" if h else ("filler" if f >= e else "notice") if o else None for h, o, f, e in zip(holes, only, n[:, 1], n[:, 2])]
             yield pa.RecordBatch.from_arrays(
-                [b.column("key"), *(pa.array(list(c), pa.int64()) for c in cols[:4]), pa.array(list(cols[4]), pa.string())],
+                [b.column("key"), pa.array(holes), pa.array(n[:, 0]), pa.array(n[:, 1]), pa.array(n[:, 2]), pa.array(what, pa.string())],
                 names=["key", "placeholders", "natural", "filler", "notice", "kind"],
             )
 
