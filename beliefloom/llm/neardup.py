@@ -63,7 +63,7 @@ def signatures(its: list[tuple[int, int]], need: int, records: int, target: int
 def _emit(t: float, records: int, target: int):
     """mapInArrow: a row per signature; role 0 is found by role 1 (larger or equal records ask for smaller ones)."""
 
-    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
 
     def pack(out: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["sig", "rid", "n", "b0", "b1", "role"])
@@ -106,7 +106,7 @@ def near_pairs(texts: DataFrame, t: float, *, target: int = LIST) -> DataFrame:
     records = texts.count()
     items = texts.select("rid", F.explode("h").alias("item"), F.lit(1).alias("w"))
     full = joins.ranked(items).join(texts.select("rid", F.size("words").alias("n"), *joins.bitmap(F.col("h"))), "rid")
-    sigs = full.select("rid", "n", "b0", "b1", "its").mapInArrow(_emit(t, max(records, 1), target), "sig long, rid string, n int, b0 long, b1 long, role int")
+    sigs = full.select("rid", "n", "b0", "b1", "its").mapInArrow(_emit(t, max(records, 1), target), "sig long, rid binary, n int, b0 long, b1 long, role int")
     sigs = cut(sigs)
     ask = sigs.where("role = 1").drop("role")
     has = sigs.where("role = 0").select("sig", F.col("rid").alias("rid2"), F.col("n").alias("n2"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))

@@ -48,7 +48,7 @@ def _chunks(seeds: Sequence[int]):
                         item.append(d)
                         w.append(n)
                         cut_no.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.string()), pa.array(item, pa.int64()), pa.array(w, pa.int32()), pa.array(cut_no, pa.int32())], names=["rid", "item", "w", "cut"])
+            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.binary()), pa.array(item, pa.int64()), pa.array(w, pa.int32()), pa.array(cut_no, pa.int32())], names=["rid", "item", "w", "cut"])
 
     return run
 
@@ -67,16 +67,17 @@ def cross_split_pairs(evals: DataFrame, train: DataFrame, t: float = 0.8, *, see
     both = cut(evals.select("rid", "words", F.lit(0).alias("side")).unionByName(train.select("rid", "words", F.lit(1).alias("side"))))
     texts = both.groupBy("rid").agg(F.first("words").alias("words"), F.min("side").alias("lo"), F.max("side").alias("hi"))
     texts = cut(texts.withColumn("h", joins.hashes()))
-    items = cut(texts.select("rid", "h").mapInArrow(_chunks(seeds), "rid string, item long, w int, cut int"))
+    items = cut(texts.select("rid", "h").mapInArrow(_chunks(seeds), "rid binary, item long, w int, cut int"))
     df = items.groupBy("item").agg(F.count("*").alias("df"))
     row = items.join(df, "item").groupBy("rid", "cut").agg(F.array_sort(F.collect_list(F.struct("df", "item", "w"))).alias("its"))
     whole = F.aggregate("its", F.lit(0), lambda a, x: a + x["w"])
-    # Kept: chunks before which, and with which, the words still reach the part that may not be set aside.
-    keep = F.filter(
-        F.transform("its", lambda x, i: F.struct(x["item"].alias("item"), x["w"].alias("w"), F.aggregate(F.slice(F.col("its"), i + 1, F.size("its")), F.lit(0), lambda a, y: a + y["w"]).alias("rest"))),
-        lambda x: x["rest"] >= whole * overlap,
-    )
-    idx = row.select("rid", F.explode(F.transform(keep, lambda x: x["item"])).alias("item"))
+    # From the most frequent chunk on: how many may be set aside before they reach the part that may not.
+    aside = F.aggregate(
+        F.reverse("its"), F.struct(F.lit(0).alias("cum"), F.lit(0).alias("k")),
+        lambda a, x: F.struct((a["cum"] + x["w"]).alias("cum"), F.when(a["cum"] + x["w"] < F.col("most"), a["k"] + 1).otherwise(a["k"]).alias("k")),
+    )["k"]
+    row = row.withColumn("most", whole * overlap)
+    idx = row.select("rid", F.explode(F.slice(F.col("its.item"), F.lit(1), F.size("its") - aside)).alias("item"))
     # The bitmap and size are those of the word set.
     s = F.array_distinct("h")
     wide = texts.select("rid", "lo", "hi", F.size(s).alias("n"), *joins.bitmap(s))
