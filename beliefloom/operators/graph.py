@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from beliefloom.session import cut
 
-#: Edges up to which order-dependent walks run as one task's kernel; larger graphs use the distributed operators.
-KERNEL_EDGES = 1_000_000
+#: Edges, and roots, up to which a walk runs as one task's kernel; both are counted first. Larger graphs use joins.
+KERNEL_EDGES, KERNEL_ROOTS = 1_000_000, 16
 #: Smallest change that propagates; largest path count.
 CUTOFF, SATURATED = 0.005, 10**15
 
@@ -37,10 +38,42 @@ def closure(edges: DataFrame, source: str, target: str) -> DataFrame:
 def reach(edges: DataFrame, source: str, target: str, roots: DataFrame) -> DataFrame:
     """``root, node, distance, path_count``: breadth-first layers from each root, with the number of shortest paths.
 
-    One join per layer; counts saturate at 10**15.  The root itself is not in the result unless it lies on a cycle,
-    which is ignored.  roots has a column ``root``.
+    Counts saturate at 10**15.  The root itself is not in the result, also on a cycle.  roots has a column ``root``.
+    Few roots on a graph of a proven bounded size are walked by one task; anything else takes one join per layer.
     """
-    e = cut(edges.select(F.col(source).alias("at"), F.col(target).alias("to")).where("at IS NOT NULL AND to IS NOT NULL").distinct())
+    e = cut(edges.select(F.col(source).cast("string").alias("at"), F.col(target).cast("string").alias("to")).where("at IS NOT NULL AND to IS NOT NULL").distinct())
+    roots = roots.select(F.col("root").cast("string").alias("root")).where("root IS NOT NULL").distinct()
+    few = [r[0] for r in roots.limit(KERNEL_ROOTS + 1).collect()]
+    if len(few) <= KERNEL_ROOTS and e.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES:
+        return e.coalesce(1).mapInArrow(_layers(few), "root string, node string, distance int, path_count long")
+    return _reach_joins(e, roots)
+
+
+def _layers(roots: list[str]):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list[str]] = {}
+        for b in batches:
+            for a, t in zip(b.column("at").to_pylist(), b.column("to").to_pylist()):
+                out.setdefault(a, []).append(t)
+        for root in roots:
+            seen, layer, depth = {root}, {root: 1}, 0
+            while layer:
+                depth += 1
+                nxt: dict[str, int] = {}
+                for a, k in layer.items():
+                    for t in out.get(a, ()):
+                        if t not in seen:
+                            nxt[t] = min(nxt.get(t, 0) + k, SATURATED)
+                seen.update(nxt)
+                layer = nxt
+                if nxt:
+                    n = len(nxt)
+                    yield pa.RecordBatch.from_arrays([pa.array([root] * n), pa.array(list(nxt)), pa.array([depth] * n, pa.int32()), pa.array(list(nxt.values()), pa.int64())], names=["root", "node", "distance", "path_count"])
+
+    return walk
+
+
+def _reach_joins(e: DataFrame, roots: DataFrame) -> DataFrame:
     front = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("distance"), F.lit(1).cast("decimal(38,0)").alias("k")).distinct())
     seen, layers, depth = front, [], 0
     while True:

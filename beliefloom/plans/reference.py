@@ -299,9 +299,9 @@ def brier_global(spark, sf):
     return c.agg(F.count("*").alias("n"), F.sum((F.col("s") - F.col("o")) * (F.col("s") - F.col("o"))).alias("sum_sq"))
 
 
-@query(f"WITH {_CASES} SELECT claim_id, count(*) AS n, round(avg((score - outcome) ** 2), 6) AS brier FROM cases GROUP BY claim_id HAVING count(*) >= 3")
+@query(f"WITH {_CASES} SELECT claim_id, count(*) AS n, floor(avg((score - outcome) ** 2) * 1000000 + 0.1234567)::BIGINT AS brier_ppm FROM cases GROUP BY claim_id HAVING count(*) >= 3")
 def brier_per_claim(spark, sf):
-    c = scored_outcomes(spark, sf).groupBy("claim_id").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("score") - F.col("outcome"), 2)), 6).alias("brier"))
+    c = scored_outcomes(spark, sf).groupBy("claim_id").agg(F.count("*").alias("n"), F.floor(F.avg(F.pow(F.col("score") - F.col("outcome"), 2)) * 1000000 + 0.1234567).alias("brier_ppm"))
     return c.where("n >= 3")
 
 
@@ -369,12 +369,13 @@ def override_rate(spark, sf):
     return A.override_rate(log(spark, sf)).select("n", F.col("manual").cast("long").alias("manual"))
 
 
-_FAN = f"""{_E}, link AS (SELECT DISTINCT claim_id, supports_id FROM edge),
+_FAN = f"""{_E}, link AS (SELECT DISTINCT claim_id, supports_id FROM edge WHERE kind = 'deductive'),
 anc AS (SELECT claim_id, supports_id AS a FROM link UNION SELECT n.claim_id, l.supports_id FROM anc n JOIN link l ON l.claim_id = n.a)"""
 
 
 def ancestors(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.closure(edges(spark, sf), "claim_id", "supports_id").select("claim_id", F.col("supports_id").alias("ancestor"), "distance")
+    """Deductive lineage; with all kinds the pairs of a dense graph would grow as its square."""
+    return graph.closure(edges(spark, sf).where("kind = 'deductive'"), "claim_id", "supports_id").select("claim_id", F.col("supports_id").alias("ancestor"), "distance")
 
 
 @query(f"WITH RECURSIVE {_FAN} SELECT claim_id, count(*) AS n_support FROM anc GROUP BY claim_id")
@@ -397,12 +398,13 @@ def kill_bars(spark, sf):
 # ---- graph, contradictions -------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {_REACH}, {_DEC.replace('basis AS', 'bas AS')}, dd AS (SELECT store || '/' || seq AS decision_id, claim_id FROM bas),
+@query(f"""WITH RECURSIVE {_REACH}, dd AS (SELECT DISTINCT 'D-' || writer AS decision_id, claim_id FROM claims WHERE critical AND writer IS NOT NULL),
     dn AS (SELECT decision_id, min(n.distance) + 1 AS distance FROM dd JOIN near n ON n.id = dd.claim_id GROUP BY decision_id)
     SELECT 'claim' AS kind, id, distance FROM near WHERE distance > 0 UNION ALL SELECT 'decision', decision_id, distance FROM dn""")
 def impact_nodes(spark, sf):
+    """What rests on the hub: claims, and decisions (here one per writer, resting on the critical claims it wrote)."""
     root = spark.createDataFrame([(hub(spark, sf),)], "root string")
-    d = fold.decisions(log(spark, sf)).select(F.concat("store", F.lit("/"), F.col("seq").cast("string")).alias("decision_id"), "basis")
+    d = table(spark, sf, "claims").where("critical AND writer IS NOT NULL").select(F.concat(F.lit("D-"), "writer").alias("decision_id"), F.array("claim_id").alias("basis"))
     return graph.impact(edges(spark, sf), root, d).select("kind", "id", "distance")
 
 

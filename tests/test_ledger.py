@@ -118,7 +118,10 @@ def brute_reach(edges, root):
     return {(n, dist[n], count[n]) for n in dist if n != root}
 
 
-def test_graph(spark):
+@pytest.mark.parametrize("kernel", [True, False])
+def test_graph(spark, kernel, monkeypatch):
+    if not kernel:
+        monkeypatch.setattr(graph, "KERNEL_EDGES", 0)
     rng = random.Random(4)
     nodes = [f"n{i}" for i in range(14)]
     pairs = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(26)]
