@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 ORDERS, BINS = 5, 1 << 17
 #: Characters of a likelihood-ratio window; share of the content that residue must cover; least characters of residue.
-WINDOW, COVERAGE, LEAST = 21, 0.6, 6
+WINDOW, COVERAGE, LEAST = 21, 0.55, 6
 CLASSES = ("natural", "filler", "notice")
 
 # Seed texts that the models of filler, error notices and natural prose start from.
@@ -56,15 +56,16 @@ Your request could not be processed. The request could not be completed. This si
 {"error": {"code": 0, "message": "Internal Server Error"}} {"error": {"code": 0, "message": "Too Many Requests"}} {"message": "Bad Gateway"} "Unauthorized" "Gateway Timeout"
 <html><head><title>0 Too Many Requests</title></head><body><h1>Too Many Requests</h1><hr>gate/0</body></html> <h1>Not Found</h1> <h1>Bad Gateway</h1> <hr>nginx</body></html>
 <html><head><title>0 Service Unavailable</title></head><body><h1>Service Unavailable</h1><hr>gate/0</body></html> <title>Internal Server Error</title> <title>Forbidden</title>
-Seite nicht gefunden (Fehler 404). Die angeforderte Seite wurde nicht gefunden. Die Anfrage konnte nicht bearbeitet werden. Zugriff verweigert. Interner Serverfehler. Dienst nicht verfügbar.
-Erreur 500 : service indisponible. Page introuvable. Accès refusé. La page demandée n'existe pas. Une erreur est survenue. Erreur 404 : page introuvable.
-No se encontró la página (404). Página no encontrada. Acceso denegado. Error interno del servidor. Servicio no disponible. Se ha producido un error.
+Seite nicht gefunden (Fehler 404). Die angeforderte Seite wurde nicht gefunden. Die Anfrage konnte nicht bearbeitet werden. Bitte versuchen Sie es später erneut. Zugriff verweigert. Interner Serverfehler. Dienst nicht verfügbar.
+Erreur 500 : service indisponible. Page introuvable. Vérifiez l'adresse saisie. Veuillez réessayer plus tard. Accès refusé. La page demandée n'existe pas. Une erreur est survenue. Erreur 404 : page introuvable.
+No se encontró la página (404). Página no encontrada. Acceso denegado. Error interno del servidor. Inténtelo más tarde. Inténtelo de nuevo más tarde. Servicio no disponible. Se ha producido un error.
 Please enable JavaScript to continue. Please enable JavaScript in your browser and reload. Please turn on Javascript before you proceed. Please allow scripts to load the claim viewer.
 Please activate scripts to load this page. Please switch on scripting to continue. You need to activate scripts in your browser and reload. You need to enable JavaScript to run this app.
 JavaScript must be turned on to run this app. JavaScript is disabled. Some features will not work until it is switched on. Scripting is disabled. Scripts are disabled. Some features will not work until they are switched on. JavaScript is disabled in your browser. JavaScript is required to view this page. This site requires Javascript. This page needs client-side scripts.
 Sorry, this page does not work without client-side scripts. Sorry, this page does not work without JavaScript. Please enable client-side scripts in your browser and reload. Please allow JS before you proceed.
 Loading… If nothing appears, enable scripting to continue. Loading… If nothing appears, switch on JavaScript to continue. Loading... If nothing appears, turn on JavaScript to load the claim viewer.
 noscript: nothing can be shown without scripts. noscript: nothing can be shown without scripting. noscript: nothing can be shown without JS. Your browser does not support JavaScript. Checking your browser before accessing.
+Checking your browser. Turn on cookies and JS for this domain. Activate cookies and JavaScript for this domain. Enable cookies and scripts. Allow cookies and scripting to continue.
 Bitte scripts einschalten, um fortzufahren. Bitte aktivieren Sie JavaScript. Für diese Seite muss JS aktiviert sein. Diese Seite benötigt JavaScript. Für diese Seite muss Scripting aktiviert sein.
 Veuillez activer scripting pour afficher le contenu. Veuillez activer JavaScript pour continuer. Ce site ne fonctionne pas sans JavaScript. Ce site ne fonctionne pas sans scripts.
 Active scripting en su navegador para continuar. Active JavaScript en su navegador para continuar. Este sitio requiere JavaScript. Debe activar los scripts para ver esta página. Habilite JavaScript.
@@ -109,11 +110,11 @@ def unfilled(text: str) -> list[str]:
     return [m for m in PLACEHOLDER.findall(t) if not (m[0] == "<" and f"</{m[1:]}" in text)]
 
 
-_IDS = re.compile(r"\b(?=\w*\d)[\w#.\-]*\w\b")
+_IDS = re.compile(r"\b(?:(?=\w*\d)[\w#.\-]*\w|\w[\w\-]*(?:\.\w[\w\-]*)+)\b")
 
 
 def normal(text: str) -> str:
-    """Lower case, each token with a digit as 0, runs of blanks as one."""
+    """Lower case, each token with a digit or inner dots (numbers, ids, hosts) as 0, runs of blanks as one."""
     return re.sub(r"[ \t\xa0]+", " ", _IDS.sub("0", text.lower().replace("\r", "")))
 
 
@@ -253,6 +254,8 @@ def _count_natural(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array((n * BINS + i).astype(np.int32)), pa.array(total[n, i].astype(np.int64))], names=["bin", "n"])
 
 
+#: Characters that the natural counts are scaled down to.
+MASS = 1_000_000
 #: A line whose likelihood under a residue seed beats the natural seed by this much per character is left out of the natural counts.
 SURE = 0.7
 
@@ -260,13 +263,16 @@ SURE = 0.7
 def fit(docs: DataFrame, text: str) -> Model:
     """The models: filler and notices from the seeds, natural prose from the seeds and all lines of all documents.
 
-    What comes to the driver is at most ORDERS * BINS counts, whatever the number of documents.
+    What comes to the driver is at most ORDERS * BINS counts, whatever the number of documents.  The natural counts are
+    scaled to a mass of MASS characters, so that the smoothing weighs the same at every size of corpus.
     """
     counted = docs.select(F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(_count_natural, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
     natural = np.zeros(ORDERS * BINS)
     for r in counted.collect():
         natural[r[0]] = r[1]
-    return Model([natural.reshape(ORDERS, BINS) + _seed(NATURAL), _seed(FILLER), _seed(NOTICE)])
+    natural = natural.reshape(ORDERS, BINS)
+    natural *= min(1.0, MASS / max(natural[0].sum(), 1.0))
+    return Model([natural + _seed(NATURAL), _seed(FILLER), _seed(NOTICE)])
 
 
 def residue(docs: DataFrame, key: str, text: str, *, coverage: float = COVERAGE, model: Model | None = None) -> DataFrame:
