@@ -290,11 +290,11 @@ def residue(docs: DataFrame, key: str, text: str, *, coverage: float = COVERAGE,
     key each is judged and the key is residue if any is; an empty table gives no rows.  Texts are read whole.
     """
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL")
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text))
+    shared = docs.sparkSession.sparkContext.broadcast((model or fit(docs, text)).counts)
     kind = docs.schema[key].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(shared.value)
         for b in batches:
             texts = b.column("text").to_pylist()
             holes = np.array([len(unfilled(t or "")) for t in texts], np.int64)
