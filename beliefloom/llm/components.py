@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beliefloom.session import cut
+from beliefloom.session import cut, cut_counting
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -30,8 +30,8 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     before = None
     while True:
         deg = arcs.groupBy("u").agg(F.count("*").alias("d"), F.min("v").alias("m1"), F.max("v").alias("m2"))
-        deg = cut(deg)
-        n, n2 = deg.agg(F.count("*"), F.sum(F.when(F.col("d") == 2, 1).otherwise(0))).first()
+        deg, size = cut_counting(deg, n=F.count("*"), n2=F.sum(F.when(F.col("d") == 2, 1).otherwise(0)))
+        n, n2 = size["n"], size["n2"]
         if n == 0:
             break
         if before is not None and n > 0.6 * before:
@@ -68,8 +68,8 @@ def _compress(known: DataFrame, n2: int) -> tuple[DataFrame, DataFrame]:
             "x", "y", F.coalesce("ex2", "ex").alias("ex"), F.coalesce("ey2", "ey").alias("ey"),
             F.least("mn", F.coalesce("mn2", "mn")).alias("mn"), F.coalesce("done2", F.lit(True)).alias("done"),
         )
-        s = cut(s.where("done").unionByName(on))
-        if s.where("NOT done").isEmpty():
+        s, left = cut_counting(s.where("done").unionByName(on), n=F.sum(F.when(~F.col("done"), 1).otherwise(0)))
+        if not left["n"]:
             break
     ends = s.where("done").groupBy("y").agg(F.min("ey").alias("lo"), F.max("ey").alias("hi"))
     ring = s.where("NOT done").groupBy("y").agg(F.min("mn").alias("lo")).where("y <> lo")
@@ -89,9 +89,10 @@ def _contract(arcs: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     hook = cut(hook)
     while True:
         up = hook.select(F.col("x").alias("rep"), F.col("rep").alias("top"))
-        nxt = cut(hook.join(up, "rep").select("x", F.col("top").alias("rep"), (F.col("top") != F.col("rep")).alias("moved")))
+        nxt = hook.join(up, "rep").select("x", F.col("top").alias("rep"), (F.col("top") != F.col("rep")).alias("moved"))
+        nxt, far = cut_counting(nxt, n=F.sum(F.when(F.col("moved"), 1).otherwise(0)))
         hook = nxt.select("x", "rep")
-        if nxt.where("moved").isEmpty():
+        if not far["n"]:
             break
     to = hook.select(F.col("x").alias("u"), F.col("rep").alias("ru"))
     new = arcs.join(to, "u").join(to.select(F.col("u").alias("v"), F.col("ru").alias("rv")), "v").where("ru <> rv")
