@@ -119,3 +119,29 @@ def append_table(log: DataFrame, events: list[tuple[str, str, str, object]], sto
         out.append({"store": store, "seq": seq, "t": t, "actor": actor, "type": kind, "payload": C.canonical(payload), "prev_hash": prev, "hash": h})
         prev = h
     return out
+
+
+def sign_head(checkpoint: dict, no: int, timestamp: str, key_id: str, seed: bytes) -> dict:
+    """A signed tree head of a checkpoint (a row of ``checkpoints`` as a dict)."""
+    digest = C.head_digest(checkpoint["last_seq"], checkpoint["root"], no, timestamp, key_id)
+    return {"tree_size": checkpoint["last_seq"], "root": checkpoint["root"], "checkpoint_seq": no, "timestamp": timestamp, "key_id": key_id, "signature": C.sign(seed, digest).hex()}
+
+
+def verify_head(head: dict, pubkey: bytes) -> bool:
+    digest = C.head_digest(head["tree_size"], head["root"], head["checkpoint_seq"], head["timestamp"], head["key_id"])
+    return C.verify(pubkey, digest, bytes.fromhex(head["signature"]))
+
+
+def anchored(record_hash: str, seq: int, proof: list[str], checkpoint: dict, head: dict, pubkey: bytes) -> bool:
+    """Is a record part of the checkpoint that a validly signed head names?"""
+    if not verify_head(head, pubkey) or head["root"] != checkpoint["root"] or head["tree_size"] != checkpoint["last_seq"]:
+        return False
+    if not checkpoint["first_seq"] <= seq <= checkpoint["last_seq"]:
+        return False
+    size = checkpoint["last_seq"] - checkpoint["first_seq"] + 1
+    return C.verify_inclusion(bytes.fromhex(record_hash), seq - checkpoint["first_seq"], size, [bytes.fromhex(p) for p in proof], bytes.fromhex(checkpoint["root"]))
+
+
+def consistent(links: list[dict]) -> bool:
+    """Do checkpoints follow on one another, by sequence and by root?"""
+    return all(b["first_seq"] == a["last_seq"] + 1 and b["prev_root"] == a["root"] for a, b in zip(links, links[1:]))

@@ -115,3 +115,35 @@ def default_entrenchment(writer: Column, tier: Column) -> Column:
     for name, value in TIERS.items():
         c = c.when(tier == name, F.lit(value))
     return c.otherwise(F.lit(UNKNOWN_WRITER))
+
+
+def combos(log: DataFrame) -> DataFrame:
+    """Versions of each claim's joint likelihood: combo, leak, strengths, live until the next."""
+    c = log.where("type = 'combo_set'").select("store", F.col("p.claim_id").alias("claim_id"), "seq", "t", F.col("p.combo").alias("combo"), F.col("p.leak").alias("leak"), F.col("p.strengths").alias("strengths"))
+    return scd2(c.where("claim_id IS NOT NULL"), ["store", "claim_id"], "seq", "t", ["combo", "leak", "strengths"])
+
+
+def with_strengths(edges: DataFrame, log: DataFrame) -> DataFrame:
+    """support_edges with the strength that the last combo of the claim gives a supporter while the edge is live; edges get no new version."""
+    c = log.where("type = 'combo_set'").select("store", F.col("p.claim_id").alias("claim_id"), F.col("seq").alias("c_seq"), F.col("t").alias("c_t"), F.explode("p.strengths").alias("supports_id", "s"))
+    keys = ["store", "claim_id", "supports_id"]
+    hit = edges.join(c, keys).where((F.col("c_seq") > F.col("seq")) & (F.col("txn_to").isNull() | (F.col("c_t") < F.col("txn_to"))))
+    last = hit.groupBy(*keys, "seq").agg(F.max_by("s", "c_seq").alias("s"))
+    return edges.join(last, [*keys, "seq"], "left").withColumn("strength", F.coalesce("s", "strength")).drop("s")
+
+
+#: Which payload field is the key, and which are the values, of each slowly changing table.
+REGISTERS = {
+    "writers": ("writer_registered", "writer_id", ("tier", "pubkey")), "policies": ("policy_registered", "name", ("version", "description")),
+    "graphs": ("graph_registered", "graph", ("ceiling",)), "claim_graphs": ("graph_assigned", "claim_id", ("graph",)),
+    "claim_topics": ("topic_assigned", "claim_id", ("topic",)), "claim_intervals": ("interval_set", "claim_id", ("belief", "plausibility")),
+}
+
+
+def register(log: DataFrame, name: str) -> DataFrame:
+    """A slowly changing table by name: store, key, values, txn_from, txn_to.  A writer registered anew without a key keeps the old one."""
+    kind, key, values = REGISTERS[name]
+    r = log.where(F.col("type") == kind).select("store", F.col(f"p.{key}").alias(key), "seq", "t", *(F.col(f"p.{v}").alias(v) for v in values)).where(F.col(key).isNotNull())
+    if name == "writers":
+        r = running(r.withColumnRenamed("pubkey", "given"), ["store", key], "seq", {"pubkey": F.col("given")}).drop("given")
+    return scd2(r, ["store", key], "seq", "t", values)

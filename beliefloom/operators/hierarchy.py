@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beliefloom.session import cut
+from beliefloom.session import cut, cut_counting
 
 
 def _edges(links: DataFrame, child: str, parent: str) -> DataFrame:
@@ -30,28 +30,27 @@ def hierarchy(links: DataFrame, child: str, parent: str, *, paths: bool = False)
     Defined results: rows with a null id are ignored, repeated links count once, of several parents of a node the
     smallest counts, no links give no rows, other columns are ignored.
     """
-    base = cut(_edges(links, child, parent))
-    total = max(base.count(), 1)
+    base, size = cut_counting(_edges(links, child, parent), n=F.count("*"))
+    total = max(size["n"], 1)
     add = ["path"] if paths else []
     roots = base.select(F.col("p").alias("node")).distinct().join(base.select(F.col("c").alias("node")), "node", "left_anti")
     roots = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), *([F.array("node").alias("path")] if paths else []))
-    front = cut(roots)
+    front, size = cut_counting(roots, n=F.count("*"))
     done = [front]
     block = base.select(F.col("p").alias("a"), F.col("c").alias("d"), F.lit(1).alias("h"), *([F.array("c").alias("path")] if paths else []))
-    reach, rows = 1, total
-    while not front.isEmpty():
+    reach = 1
+    while size["n"]:
         f = front.select(F.col("node").alias("a"), "root", "depth", *([F.col("path").alias("above")] if paths else []))
         step = f.join(block, "a").select(
             F.col("d").alias("node"), "root", (F.col("depth") + F.col("h")).alias("depth"),
             *([F.concat("above", "path").alias("path")] if paths else []), "h",
         )
-        step = cut(step)
+        step, size = cut_counting(step, n=F.sum(F.when(F.col("h") == reach, 1).otherwise(0)))
         done.append(step.drop("h"))
         front = step.where(F.col("h") == reach).drop("h")
         block = block.join(step.select(F.col("node").alias("d")), "d", "left_anti")
-        rows = 0
-        block = cut(block)
-        rows = block.count()
+        block, left = cut_counting(block, n=F.count("*"))
+        rows = left["n"]
         if rows == 0:
             break
         if rows * 2 <= total and reach < 64:
@@ -66,8 +65,8 @@ def hierarchy(links: DataFrame, child: str, parent: str, *, paths: bool = False)
     for x in done[1:]:
         out = out.unionByName(x)
     out = out.withColumn("cyclic", F.lit(False))
-    lost = cut(base.join(out.select(F.col("node").alias("c")), "c", "left_anti"))
-    n = lost.count()
+    lost, size = cut_counting(base.join(out.select(F.col("node").alias("c")), "c", "left_anti"), n=F.count("*"))
+    n = size["n"]
     if n:
         ring = _cycles(lost, n)
         ring = ring.select("node", "root", F.lit(-1).alias("depth"), *([F.lit(None).cast("array<string>").alias("path")] if paths else []), F.lit(True).alias("cyclic"))

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -83,6 +83,14 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_counting(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """cut(df), and aggregates over it that the same job computes (0 where there is no row)."""
+    seen = Observation()
+    out = cut(df.observe(seen, *(c.alias(n) for n, c in figures.items())))
+    got = seen.get
+    return out, {n: got.get(n) or 0 for n in figures}
+
+
 def release(*dfs: DataFrame | None) -> None:
     """Deletes the files of tables made by cut() that no later plan reads."""
     for df in dfs:
