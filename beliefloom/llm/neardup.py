@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from beliefloom.llm import joins
 from beliefloom.llm.components import components
-from beliefloom.session import cut
+from beliefloom.session import cut, cut_counting
 
 #: A signature should be shared by about this many records at most, if tokens were independent.
 LIST = 100
@@ -37,8 +37,8 @@ def _mix(combo: tuple[int, ...]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def signatures(its: list[tuple[int, int]], need: int, records: int, target: int = LIST) -> list[int]:
-    """Signatures of a record's shortest prefix that survives any ``need - 1`` missing tokens.
+def combinations(its: list[tuple[int, int]], need: int, records: int, target: int = LIST) -> list[tuple[int, ...]]:
+    """(k, items...) of a record's shortest prefix that survives any ``need - 1`` missing tokens.
 
     ``its`` are (df, item), rarest first.  Tokens of class k are combined k at a time.  Removing tokens destroys all
     combinations of a class with n tokens only after n - k + 1 removals, so the prefix is extended until these numbers
@@ -57,7 +57,49 @@ def signatures(its: list[tuple[int, int]], need: int, records: int, target: int
                 break
     if units < need:
         return []
-    return [_mix((k, *sorted(c))) for k, got in by.items() for c in itertools.combinations(got, k)]
+    return [(k, *sorted(c)) for k, got in by.items() for c in itertools.combinations(got, k)]
+
+
+def signatures(its: list[tuple[int, int]], need: int, records: int, target: int = LIST) -> list[int]:
+    return [_mix(c) for c in combinations(its, need, records, target)]
+
+
+def needs(size: int, t: float) -> tuple[int, int]:
+    """Tokens that a prefix must survive, plus one: of a record found by larger ones, and of one that asks for smaller ones."""
+    kept = 2 * t / (1 + t)
+    return size - math.ceil(kept * size - 1e-9) + 1, size - math.ceil(t * size - 1e-9) + 1
+
+
+#: Records that may hold a signature before it is extended by one more token.
+HOT = 1000
+
+
+def _extend(t: float, records: int, target: int):
+    """mapInArrow: rows (sig, rid, n, b0, b1, role, its) of hot signatures become rows of that signature and one more token.
+
+    Two like records that share a combination of k tokens share at least (what they must share) - k of the others, so
+    the usual single-token prefix of the others serves.  Short records, which might share nothing else, and all that
+    may be like one keep the signature as well.
+    """
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[] for _ in kinds]
+            for r in b.to_pylist():
+                its = [(i["df"], i["item"]) for i in r["its"]]
+                need = needs(r["n"], t)[r["role"]]
+                mine = [c for c in (*combinations(its, need, records, target), *((0, i) for _, i in its[:need])) if _mix(c) == r["sig"]]
+                gone = set(mine[0][1:]) if mine else set()
+                sigs = [_mix((9, r["sig"] & _MASK, i)) for i in [i for _, i in its if i not in gone][:need]]
+                if r["n"] <= SHORT / t:
+                    sigs.append(r["sig"])
+                for s in sigs:
+                    for col, v in zip(out, (s, r["rid"], r["n"], r["b0"], r["b1"], r["role"])):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["sig", "rid", "n", "b0", "b1", "role"])
+
+    return run
 
 
 def _emit(t: float, records: int, target: int):
@@ -74,8 +116,7 @@ def _emit(t: float, records: int, target: int):
             rid, n, b0, b1 = (b.column(c).to_pylist() for c in ("rid", "n", "b0", "b1"))
             for r, size, x, y, its in zip(rid, n, b0, b1, b.column("its").to_pylist()):
                 its = [(i["df"], i["item"]) for i in its]
-                kept = 2 * t / (1 + t)
-                for role, need in ((0, size - math.ceil(kept * size - 1e-9) + 1), (1, size - math.ceil(t * size - 1e-9) + 1)):
+                for role, need in enumerate(needs(size, t)):
                     sigs = signatures(its, need, records, target)
                     # Records that are too short for combinations, and all that may be like one of those, also use single tokens.
                     if size <= SHORT / t:
@@ -95,10 +136,12 @@ def _emit(t: float, records: int, target: int):
 SHORT = 7
 
 
-def near_pairs(texts: DataFrame, t: float, *, target: int = LIST) -> DataFrame:
+def near_pairs(texts: DataFrame, t: float, *, target: int = LIST, hot: int = HOT) -> DataFrame:
     """``rid, rid2, likeness`` with rid, rid2 different, for all pairs of word sets with a likeness of at least t >= 0.5.
 
-    ``texts`` has rid and words (sorted, distinct).  Exact: combinations only choose candidates, none are capped.
+    ``texts`` has rid and words (sorted, distinct).  Exact: combinations only choose candidates, none are capped.  A
+    signature that more than ``hot`` records hold is extended by one more token, so templates that very many texts
+    share do not meet on the template's words alone.
     """
     if t < 0.5:
         raise ValueError("t must be at least 0.5")
@@ -106,8 +149,13 @@ def near_pairs(texts: DataFrame, t: float, *, target: int = LIST) -> DataFrame:
     records = texts.count()
     items = texts.select("rid", F.explode("h").alias("item"), F.lit(1).alias("w"))
     full = joins.ranked(items).join(texts.select("rid", F.size("words").alias("n"), *joins.bitmap(F.col("h"))), "rid")
-    sigs = full.select("rid", "n", "b0", "b1", "its").mapInArrow(_emit(t, max(records, 1), target), "sig long, rid binary, n int, b0 long, b1 long, role int")
-    sigs = cut(sigs)
+    schema, records = "sig long, rid binary, n int, b0 long, b1 long, role int", max(records, 1)
+    sigs = cut(full.select("rid", "n", "b0", "b1", "its").mapInArrow(_emit(t, records, target), schema))
+    often, size = cut_counting(sigs.where("role = 0").groupBy("sig").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("sig"), n=F.count("*"))
+    if size["n"]:
+        wide = sigs.join(often, "sig", "left_semi").join(full.select("rid", "its"), "rid")
+        more = wide.select("sig", "rid", "n", "b0", "b1", "role", "its").mapInArrow(_extend(t, records, target), schema)
+        sigs = cut(sigs.join(often, "sig", "left_anti").unionByName(more))
     ask = sigs.where("role = 1").drop("role")
     has = sigs.where("role = 0").select("sig", F.col("rid").alias("rid2"), F.col("n").alias("n2"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
     order = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("rid") > F.col("rid2")))
@@ -117,7 +165,7 @@ def near_pairs(texts: DataFrame, t: float, *, target: int = LIST) -> DataFrame:
     return pairs.select("rid", "rid2", joins.likeness().alias("likeness")).where(F.col("likeness") >= t - 1e-12)
 
 
-def near_groups(rows: DataFrame, key: str, text: str, t: float = 0.8, *, target: int = LIST) -> DataFrame:
+def near_groups(rows: DataFrame, key: str, text: str, t: float = 0.8, *, target: int = LIST, hot: int = HOT) -> DataFrame:
     """``key, group_id``: rows whose texts have a likeness (words shared over words in either) of at least t, also through others.
 
     One row per key of a group of two or more keys; group_id is the group's smallest key.  Texts alike in all words are
@@ -134,7 +182,7 @@ def near_groups(rows: DataFrame, key: str, text: str, t: float = 0.8, *, target:
     rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
     texts, members = joins.distinct_texts(rows.distinct(), "t", ["k"], as_set=True)
     members = cut(members)
-    pairs = near_pairs(texts, t, target=target)
+    pairs = near_pairs(texts, t, target=target, hot=hot)
     # A link from each key to the smallest key with the same words, and between those for like texts: never all pairs of copies.
     first = cut(members.groupBy("rid").agg(F.min("k").alias("m")))
     links = members.join(first, "rid").where("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b"))

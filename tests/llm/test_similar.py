@@ -32,8 +32,8 @@ def variants(n, seed, vocab=300, length=(3, 40), skew=0.6):
     return out
 
 
-@pytest.mark.parametrize("t,target", [(0.6, 100), (0.6, 3), (0.8, 3), (0.5, 2)])
-def test_near_groups_are_exact(spark, t, target):
+@pytest.mark.parametrize("t,target,hot", [(0.6, 100, 1000), (0.6, 3, 2), (0.8, 3, 1000), (0.5, 2, 1), (0.6, 100, 3)])
+def test_near_groups_are_exact(spark, t, target, hot):
     texts = variants(220, seed=int(t * 10) + target)
     rows = [(f"k{i:03d}", x) for i, x in enumerate(texts)] + [("k000", texts[0]), ("zz", None), (None, "w1 w2"), ("e1", ""), ("e2", " -- "), ("copy1", texts[5].upper()), ("copy2", texts[5])]
     up = {}
@@ -51,7 +51,7 @@ def test_near_groups_are_exact(spark, t, target):
                 x, y = find(a[0]), find(b[0])
                 up[max(x, y)] = min(x, y)
     df = spark.createDataFrame([(*r, "q", 0.5) for r in rows], "id string, body string, rid string, k double")
-    got = {tuple(r) for r in near_groups(df, "id", "body", t, target=target).collect()}
+    got = {tuple(r) for r in near_groups(df, "id", "body", t, target=target, hot=hot).collect()}
     assert got == {(x, find(x)) for x in up}
 
 
