@@ -132,7 +132,42 @@ lab(id, low) USING KEY (id) AS (
     UNION SELECT r.a, min(l.low) FROM lab l JOIN arc r ON r.b = l.id JOIN recurring.lab c ON c.id = r.a WHERE l.low < c.low GROUP BY r.a)
 """
 
+_W = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+_NEAR = f"""
+s AS (SELECT row_number() OVER () AS sid, claim_id, list_distinct({_W.format('statement')}) AS ws FROM (SELECT DISTINCT claim_id, statement FROM claims WHERE statement IS NOT NULL AND claim_id IS NOT NULL)),
+tk AS (SELECT sid, claim_id, len(ws) AS n, unnest(ws) AS w FROM s),
+pr AS (SELECT a.claim_id AS a, b.claim_id AS b FROM tk a JOIN tk b ON a.w = b.w AND a.sid < b.sid WHERE a.claim_id <> b.claim_id
+    GROUP BY a.sid, b.sid, a.claim_id, b.claim_id, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*)) - 1e-9),
+""" + _GROUPS[_GROUPS.index("arc AS"):]
+
+_SPLITS = f"""
+ev AS (SELECT split, prop_id, field, pos, text FROM (
+    SELECT 'dev' AS split, prop_id, 'statement' AS field, 0 AS pos, statement AS text FROM lora02_dev UNION ALL SELECT 'heldout', prop_id, 'statement', 0, statement FROM lora02_heldout
+    UNION ALL SELECT 'dev', prop_id, 'assert', unnest(range(len("assert"))), unnest("assert") FROM lora02_dev UNION ALL SELECT 'heldout', prop_id, 'assert', unnest(range(len("assert"))), unnest("assert") FROM lora02_heldout
+    UNION ALL SELECT 'dev', prop_id, 'deny', unnest(range(len(deny))), unnest(deny) FROM lora02_dev UNION ALL SELECT 'heldout', prop_id, 'deny', unnest(range(len(deny))), unnest(deny) FROM lora02_heldout) WHERE text IS NOT NULL),
+tr AS (SELECT DISTINCT example_id, source, unnest([sentence, fact]) AS text FROM lora02_train),
+es AS (SELECT *, list_distinct({_W.format('text')}) AS ws FROM (SELECT row_number() OVER () AS eid, * FROM ev)),
+ts AS (SELECT *, list_distinct({_W.format('text')}) AS ws FROM (SELECT row_number() OVER () AS tid, * FROM tr WHERE text IS NOT NULL)),
+et AS (SELECT eid, len(ws) AS n, unnest(ws) AS w FROM es), tt AS (SELECT tid, len(ws) AS n, unnest(ws) AS w FROM ts),
+hit AS (SELECT eid, tid FROM et JOIN tt USING (w) GROUP BY eid, tid, et.n, tt.n HAVING count(*) >= 0.7 * (et.n + tt.n - count(*)) - 1e-9),
+cases AS (SELECT DISTINCT split, prop_id, field, pos::INTEGER AS pos, example_id, source AS train_source FROM hit JOIN es USING (eid) JOIN ts USING (tid))
+"""
+
+_LEAKS = f"""
+d AS (SELECT doc_id, {_W.format('text')} AS ws FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, suite, {_W.format('text')} AS ws FROM eval_passages WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, array_to_string(ws[k:k + 11], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS k FROM d WHERE len(ws) >= 12)),
+iw AS (SELECT item_id, suite, array_to_string(ws[k:k + 11], ' ') AS win FROM (SELECT item_id, suite, ws, unnest(range(1, len(ws) - 10)) AS k FROM i WHERE len(ws) >= 12)),
+leak AS (SELECT DISTINCT doc_id, item_id, suite FROM dw JOIN iw USING (win))
+"""
+
 ORACLES = {
     "p1_found": f"WITH RECURSIVE {_GROUPS} SELECT id AS claim_id, low AS group_id FROM lab",
     "p1_group_sizes": f"WITH RECURSIVE {_GROUPS} SELECT low AS group_id, count(*) AS n_claims FROM lab GROUP BY low",
+    "p2_found": f"WITH RECURSIVE {_NEAR} SELECT id AS claim_id, low AS group_id FROM lab",
+    "p6_found": f"WITH {_SPLITS} SELECT DISTINCT split, prop_id, field, pos, example_id FROM cases",
+    "p6_counts": f"""WITH {_SPLITS} SELECT split, train_source, count(*) AS n_cases, count(DISTINCT prop_id) AS n_props, count(DISTINCT example_id) AS n_examples FROM cases
+        GROUP BY split, train_source""",
+    "p8_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM leak",
+    "p8_items": f"WITH {_LEAKS} SELECT suite, item_id, count(DISTINCT doc_id) AS n_docs FROM leak GROUP BY suite, item_id",
 }
