@@ -216,7 +216,8 @@ def execute(ledger: Ledger, plan: Plan) -> DataFrame:
         return why(ledger.edges.where(F.col("claim_id") == plan.ident), ledger.versions)
     if plan.kind == "HEALTH":
         n = ledger.log.agg(F.count("*").alias("events"))
-        return n.join(F.broadcast(live(ledger.versions).agg(F.count("*").alias("live_claims"))))
+        both = n.unionByName(live(ledger.versions).agg(F.count("*").alias("live_claims")), allowMissingColumns=True)
+        return both.agg(F.max("events").alias("events"), F.max("live_claims").alias("live_claims"))
     root = spark.createDataFrame([(plan.ident,)], "root string")
     if plan.kind == "DEPENDS":
         return graph.reach(ledger.edges, "supports_id", "claim_id", root).select(F.col("node").alias("claim_id"), "distance")

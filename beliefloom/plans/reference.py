@@ -391,7 +391,9 @@ def fanout(spark, sf):
     UNION ALL SELECT 'brier', round(brier, 6), brier > 0.25 FROM v UNION ALL SELECT 'override_rate', round(override_rate, 6), override_rate > 0.2 FROM v""")
 def kill_bars(spark, sf):
     fan = fanout(spark, sf).agg(F.max("n_support").alias("max_fanout"))
-    one = fan.crossJoin(A.brier(scored_outcomes(spark, sf)).select("brier")).crossJoin(A.override_rate(log(spark, sf)).select(F.col("rate").alias("override_rate")))
+    rows = fan.unionByName(A.brier(scored_outcomes(spark, sf)).select("brier"), allowMissingColumns=True)
+    rows = rows.unionByName(A.override_rate(log(spark, sf)).select(F.col("rate").alias("override_rate")), allowMissingColumns=True)
+    one = rows.agg(*(F.max(c).alias(c) for c in rows.columns))
     return A.kill_bars(one).select("criterion", F.round("value", 6).alias("value"), "breached")
 
 
