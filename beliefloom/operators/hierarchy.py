@@ -69,7 +69,7 @@ def hierarchy(links: DataFrame, child: str, parent: str, *, paths: bool = False)
     n = size["n"]
     if n:
         ring = _cycles(lost, n)
-        ring = ring.select("node", "root", F.lit(-1).alias("depth"), *([F.lit(None).cast("array<string>").alias("path")] if paths else []), F.lit(True).alias("cyclic"))
+        ring = ring.select("node", "root", F.lit(-1).alias("depth"), *([F.lit(None).cast(f"array<{base.schema['c'].dataType.simpleString()}>").alias("path")] if paths else []), F.lit(True).alias("cyclic"))
         out = out.unionByName(ring)
     return out.select("node", "root", "depth", "cyclic", *add)
 

@@ -18,8 +18,14 @@ def cell(x: object) -> str:
     return "" if x is None else str(x).replace("|", "\\|").replace("\r", "").replace("\n", " ")
 
 
+#: Claims that a rendered report may have; beyond that, write operators.fold.matrix as a table instead.
+MOST = 100_000
+
+
 def matrix_rows(log: DataFrame) -> list[dict]:
-    """The matrix of one store's log in the order of assertion; a report is small, so it comes to the driver."""
+    """The matrix of one store's log in the order of assertion, on the driver; an error if it has more than MOST claims."""
+    if fold.matrix(log).limit(MOST + 1).count() > MOST:
+        raise ValueError(f"more than {MOST} claims do not make a report")
     said = log.where("type = 'assert'").groupBy("store", F.col("p.claim_id").alias("claim_id")).agg(F.min_by("p.statement", "seq").alias("statement"))
     m = fold.matrix(log).join(said, ["store", "claim_id"]).orderBy("store", "assert_seq")
     return [r.asDict() for r in m.select("claim_id", "statement", "confidence", "status", "superseded_by").collect()]

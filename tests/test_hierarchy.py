@@ -41,6 +41,11 @@ def test_random_forest_with_cycles(spark):
     assert {tuple(r) for r in cycle_members(t).collect()} == {("r1", 5), ("self", 1)}
 
 
+def test_numeric_ids(spark):
+    t = hierarchy(spark.createDataFrame([(2, 1), (3, 2), (5, 5)], "c long, p long"), "c", "p", paths=True)
+    assert {(r.node, r.root, r.depth) for r in t.collect()} == {(1, 1, 0), (2, 1, 1), (3, 1, 2), (5, 5, -1)}
+
+
 def test_empty_and_star(spark):
     assert check(spark, []).count() == 0
     check(spark, [(f"k{i}", "hub") for i in range(200)])
