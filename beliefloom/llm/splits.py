@@ -69,19 +69,19 @@ def cross_split_pairs(evals: DataFrame, train: DataFrame, t: float = 0.8, *, see
     texts = cut(texts.withColumn("h", joins.hashes()))
     items = cut(texts.select("rid", "h").mapInArrow(_chunks(seeds), "rid binary, item long, w int, cut int"))
     df = items.groupBy("item").agg(F.count("*").alias("df"))
-    row = items.join(df, "item").groupBy("rid", "cut").agg(F.array_sort(F.collect_list(F.struct("df", "item", "w"))).alias("its"))
+    # One exchange by record serves the grouping by (record, cut) and the join with the record's size and bitmap.
+    row = items.join(df, "item").repartition("rid").groupBy("rid", "cut").agg(F.array_sort(F.collect_list(F.struct("df", "item", "w"))).alias("its"))
     whole = F.aggregate("its", F.lit(0), lambda a, x: a + x["w"])
     # From the most frequent chunk on: how many may be set aside before they reach the part that may not.
     aside = F.aggregate(
         F.reverse("its"), F.struct(F.lit(0).alias("cum"), F.lit(0).alias("k")),
         lambda a, x: F.struct((a["cum"] + x["w"]).alias("cum"), F.when(a["cum"] + x["w"] < F.col("most"), a["k"] + 1).otherwise(a["k"]).alias("k")),
     )["k"]
-    row = row.withColumn("most", whole * overlap)
-    idx = row.select("rid", F.explode(F.slice(F.col("its.item"), F.lit(1), F.size("its") - aside)).alias("item"))
     # The bitmap and size are those of the word set.
     s = F.array_distinct("h")
     wide = texts.select("rid", "lo", "hi", F.size(s).alias("n"), *joins.bitmap(s))
-    idx = cut(idx.join(wide, "rid"))
+    row = row.withColumn("most", whole * overlap).join(wide, "rid")
+    idx = cut(row.select("rid", "lo", "hi", "n", "b0", "b1", F.explode(F.slice(F.col("its.item"), F.lit(1), F.size("its") - aside)).alias("item")))
     e = idx.where("lo = 0").select("rid", "item", "n", "b0", "b1")
     r = idx.where("hi = 1").select(F.col("rid").alias("rid2"), "item", F.col("n").alias("n2"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
     cand = e.join(r, "item").where(joins.within(t)).select("rid", "rid2").distinct()
