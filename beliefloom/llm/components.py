@@ -58,19 +58,24 @@ def _compress(known: DataFrame, n2: int) -> tuple[DataFrame, DataFrame]:
     """The degree-two vertices with the vertex that stands for them, and the arcs that replace their chains."""
     s = known.where("dv = 2").select(
         F.col("u").alias("x"), F.col("v").alias("y"), F.col("v").alias("ex"),
-        F.when(F.col("m1") == F.col("u"), F.col("m2")).otherwise(F.col("m1")).alias("ey"), F.col("v").alias("mn"), F.lit(False).alias("done"),
+        F.when(F.col("m1") == F.col("u"), F.col("m2")).otherwise(F.col("m1")).alias("ey"), F.col("v").alias("mn"), F.lit(False).alias("done"), F.lit(False).alias("fell"),
     )
     s = cut(s)
+    before = None
     for _ in range(math.ceil(math.log2(n2 + 1)) + 1):
         r = s.select(F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("ex").alias("ex2"), F.col("ey").alias("ey2"), F.col("mn").alias("mn2"), F.col("done").alias("done2"))
-        on = s.where("NOT done").drop("done").join(r, ["ex", "ey"], "left")
+        on = s.where("NOT done").drop("done", "fell").join(r, ["ex", "ey"], "left")
         on = on.select(
             "x", "y", F.coalesce("ex2", "ex").alias("ex"), F.coalesce("ey2", "ey").alias("ey"),
-            F.least("mn", F.coalesce("mn2", "mn")).alias("mn"), F.coalesce("done2", F.lit(True)).alias("done"),
+            F.least("mn", F.coalesce("mn2", "mn")).alias("mn"), F.coalesce("done2", F.lit(True)).alias("done"), F.coalesce(F.col("mn2") < F.col("mn"), F.lit(False)).alias("fell"),
         )
-        s, left = cut_counting(s.where("done").unionByName(on), n=F.sum(F.when(~F.col("done"), 1).otherwise(0)))
-        if not left["n"]:
+        still = lambda c: F.sum(F.when(~F.col("done") & c, 1).otherwise(0))
+        s, left = cut_counting(s.where("done").unionByName(on), n=still(F.lit(True)), fell=still(F.col("fell")))
+        # An unfinished chain finishes some arc in every step, so if none did only rings are left; their least vertices
+        # are known once no minimum falls any more.
+        if not left["n"] or (left["n"] == before and not left["fell"]):
             break
+        before = left["n"]
     ends = s.where("done").groupBy("y").agg(F.min("ey").alias("lo"), F.max("ey").alias("hi"))
     ring = s.where("NOT done").groupBy("y").agg(F.min("mn").alias("lo")).where("y <> lo")
     ends = cut(ends)
