@@ -71,7 +71,7 @@ def needs(size: int, t: float) -> tuple[int, int]:
 
 
 #: Records that may hold a signature before it is extended by one more token.
-HOT = 1000
+HOT = 10_000
 
 
 def _extend(t: float, records: int, target: int):
