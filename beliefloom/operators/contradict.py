@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beliefloom.functions.belief import conflict, jeffrey
+from beliefloom.operators import graph
+from beliefloom.session import cut
 
 #: How far apart opposed scores and how large a conflict must be; entrenchment that counts as a tie.
 OPPOSED, CONFLICT, TIE = 0.7, 0.7, 1e-9
@@ -32,6 +39,46 @@ def opposed_siblings(claims: DataFrame, ancestors: DataFrame, least: float = OPP
     return hit.select(F.least("x", "y").alias("claim_a"), F.greatest("x", "y").alias("claim_b")).distinct()
 
 
+def opposed_lineage(claims: DataFrame, edges: DataFrame, least: float = OPPOSED) -> DataFrame:
+    """opposed_siblings() with the ancestors that support edges (claim_id, supports_id) give; claims: one row per claim_id.
+
+    Graphs and claims of a proven bounded size are walked with bit sets, a block of low claims in each task: the sets go
+    up to all ancestors, then down again as the low claims that share one, and meet the high claims' scores there.
+    """
+    c = cut(claims.select(F.col("claim_id").cast("string").alias("claim_id"), F.col("score").cast("double").alias("score")).where("claim_id IS NOT NULL AND score IS NOT NULL AND score <> 0.5"))
+    g = graph.lineage(edges, "claim_id", "supports_id") if c.limit(graph.KERNEL_EDGES + 1).count() <= graph.KERNEL_EDGES else None
+    if g is None:
+        return opposed_siblings(claims, graph.closure(edges, "claim_id", "supports_id").select("claim_id", F.col("supports_id").alias("ancestor")), least)
+    got = c.toArrow()
+    at, score = np.asarray(pc.fill_null(pc.index_in(got.column("claim_id").combine_chunks(), g["names"]), -1)), np.asarray(got.column("score").combine_chunks())
+    rests = np.flatnonzero(at >= 0)
+    rests = rests[g["rests"][g["group"][at[rests]]]]
+    high, low = rests[score[rests] > 0.5], rests[score[rests] < 0.5]
+    width = 64 * min(8, g["words"])
+    shared = edges.sparkSession.sparkContext.broadcast(g | {"high": at[high], "high_score": score[high], "low": at[low], "low_score": score[low]})
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        group, some, names = g["group"], 1 << 12, g["names"]
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                y, sy = g["low"][k * width : (k + 1) * width], g["low_score"][k * width : (k + 1) * width]
+                own = graph._own(group[y], len(g["cyclic"]), width // 64)
+                sets = own.copy()
+                graph._spread(sets, g["down"])
+                sets[~g["cyclic"]] &= ~own[~g["cyclic"]]
+                graph._spread(sets, g["up"])
+                for lo in range(0, len(g["high"]), some):
+                    x, sx = g["high"][lo : lo + some], g["high_score"][lo : lo + some]
+                    hit = np.unpackbits(sets[group[x]].view(np.uint8), axis=1, bitorder="little")[:, : len(y)].astype(bool)
+                    i, j = np.nonzero(hit & (sx[:, None] - sy[None, :] >= least))
+                    for s in range(0, len(i), 1 << 17):
+                        p, q = x[i[s : s + (1 << 17)]], y[j[s : s + (1 << 17)]]
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(np.minimum(p, q))), names.take(pa.array(np.maximum(p, q)))], names=["claim_a", "claim_b"])
+
+    return graph._blocks(edges, len(low), width).mapInArrow(pairs, "claim_a string, claim_b string")
+
+
 def interval_conflicts(intervals: DataFrame, least: float = CONFLICT, cells: int = 20) -> DataFrame:
     """``claim_a, claim_b, k``: claims of one topic whose evidence intervals conflict by at least ``least`` (>= 0.5).
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from beliefloom.session import cut
 
 #: Edges, and roots, up to which a walk runs as one task's kernel; both are counted first. Larger graphs use joins.
 KERNEL_EDGES, KERNEL_ROOTS = 1_000_000, 16
+#: Bytes, about, and 64-bit words of a row that the bit sets of a block take.
+SET_BYTES, SET_WORDS = 1 << 25, 64
 #: Smallest change that propagates; largest path count.
 CUTOFF, SATURATED = 0.005, 10**15
 
@@ -35,6 +39,124 @@ def closure(edges: DataFrame, source: str, target: str) -> DataFrame:
     return best.select(F.col("s").alias(source), F.col("t").alias(target), F.col("d").alias("distance"))
 
 
+def _groups(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes its strongly connected group; the groups that a group points to have lower numbers (Tarjan)."""
+    order = np.argsort(a, kind="stable")
+    to, first = b[order].tolist(), np.searchsorted(a[order], np.arange(n + 1)).tolist()
+    index, low, group, at = [-1] * n, [0] * n, [-1] * n, first[:-1]
+    stack, count, groups = [], 0, 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        path = [root]
+        while path:
+            v = path[-1]
+            if index[v] < 0:
+                index[v] = low[v] = count
+                count += 1
+                stack.append(v)
+            while at[v] < first[v + 1]:
+                x = to[at[v]]
+                if index[x] < 0:
+                    path.append(x)
+                    break
+                if group[x] < 0:
+                    low[v] = min(low[v], low[x])
+                at[v] += 1
+            else:
+                path.pop()
+                if low[v] == index[v]:
+                    while True:
+                        x = stack.pop()
+                        group[x] = groups
+                        if x == v:
+                            break
+                    groups += 1
+    return np.array(group, np.int64)
+
+
+def lineage(edges: DataFrame, source: str, target: str) -> dict | None:
+    """A graph of a proven bounded size for walks with bit sets: names in order, the group of each, steps up and down.
+
+    None if the graph has more than KERNEL_EDGES edges.  Nodes on a common cycle are one group, so the groups have no
+    cycle; a step holds the edges whose ends are complete, given as (from, to) groups ordered by to.
+    """
+    e = cut(edges.select(F.col(source).cast("string").alias("s"), F.col(target).cast("string").alias("t")).where("s IS NOT NULL AND t IS NOT NULL").distinct())
+    if e.limit(KERNEL_EDGES + 1).count() > KERNEL_EDGES:
+        return None
+    got = e.toArrow()
+    s, t = (got.column(c).combine_chunks() for c in ("s", "t"))
+    names = pc.unique(pa.concat_arrays([s, t]))
+    names = names.take(pc.array_sort_indices(names))
+    a, b = (np.asarray(pc.index_in(x, names)).astype(np.int64) for x in (s, t))
+    group = _groups(len(names), a, b)
+    ga, gb = group[a], group[b]
+    n = int(group.max()) + 1 if len(group) else 0
+    cyclic = np.zeros(n, bool)
+    cyclic[ga[ga == gb]] = True
+    pair = np.unique(np.stack([ga, gb], 1)[ga != gb], axis=0).reshape(-1, 2)
+    height = [0] * n
+    for x, y in pair.tolist():  # in the order of x: everything below it is known
+        height[x] = max(height[x], height[y] + 1)
+    h = np.array(height, np.int64)
+
+    def steps(frm, to, rank):
+        order = np.lexsort((frm, to, rank))
+        ends = np.searchsorted(rank[order], np.unique(rank), side="right").tolist()
+        return [(frm[order[lo:hi]], to[order[lo:hi]]) for lo, hi in zip([0, *ends[:-1]], ends)]
+
+    x, y = pair[:, 0], pair[:, 1]
+    return {"names": names, "group": group, "cyclic": cyclic, "rests": cyclic | (h > 0), "up": steps(y, x, h[x]), "down": steps(x, y, -h[y]), "words": max(1, min(SET_WORDS, SET_BYTES // (8 * max(1, n, len(pair)))))}
+
+
+def _own(groups: np.ndarray, n: int, words: int) -> np.ndarray:
+    """(n, words) bit sets; bit k is set in the k-th of groups."""
+    out, k = np.zeros((n, words), np.uint64), np.arange(len(groups))
+    np.bitwise_or.at(out, (groups, k >> 6), np.uint64(1) << (k & 63).astype(np.uint64))
+    return out
+
+
+def _spread(sets: np.ndarray, steps: list) -> None:
+    """Adds the sets of the near ends of edges to those of their far ends, step by step."""
+    for frm, to in steps:
+        first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+        sets[to[first]] |= np.bitwise_or.reduceat(sets[frm], first, axis=0)
+
+
+def _blocks(edges: DataFrame, n: int, width: int) -> DataFrame:
+    """One row, in a task of its own as far as 256 tasks go, for each ``width`` of n things."""
+    k = -(-n // width)
+    return edges.sparkSession.range(0, k, 1, max(1, min(k, 256)))
+
+
+def reached(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """``source, n``: how many nodes each node has a path to (itself only on a cycle), if any.
+
+    A graph of a proven bounded size is walked with bit sets, a block of targets in each task, so that no pair of nodes
+    is ever a row; a larger one takes closure().
+    """
+    g = lineage(edges, source, target)
+    if g is None:
+        return closure(edges, source, target).groupBy(source).agg(F.count("*").alias("n"))
+    shared, width = edges.sparkSession.sparkContext.broadcast(g), 64 * g["words"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        group, n = g["group"], np.zeros(len(g["cyclic"]), np.int64)
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                own = _own(group[k * width : (k + 1) * width], len(n), width // 64)
+                sets = own.copy()
+                _spread(sets, g["up"])
+                sets[~g["cyclic"]] &= ~own[~g["cyclic"]]
+                n += np.bitwise_count(sets).sum(axis=1, dtype=np.int64)
+        some = np.flatnonzero(n[group])
+        yield pa.RecordBatch.from_arrays([g["names"].take(pa.array(some)), pa.array(n[group][some])], names=["node", "n"])
+
+    kind = edges.schema[source].dataType.simpleString()
+    return _blocks(edges, len(g["names"]), width).mapInArrow(count, "node string, n long").groupBy(F.col("node").cast(kind).alias(source)).agg(F.sum("n").alias("n"))
+
+
 def reach(edges: DataFrame, source: str, target: str, roots: DataFrame) -> DataFrame:
     """``root, node, distance, path_count``: breadth-first layers from each root, with the number of shortest paths.
 

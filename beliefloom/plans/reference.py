@@ -373,14 +373,10 @@ _FAN = f"""{_E}, link AS (SELECT DISTINCT claim_id, supports_id FROM edge WHERE
 anc AS (SELECT claim_id, supports_id AS a FROM link UNION SELECT n.claim_id, l.supports_id FROM anc n JOIN link l ON l.claim_id = n.a)"""
 
 
-def ancestors(spark: SparkSession, sf: str) -> DataFrame:
-    """Deductive lineage; with all kinds the pairs of a dense graph would grow as its square."""
-    return graph.closure(edges(spark, sf).where("kind = 'deductive'"), "claim_id", "supports_id").select("claim_id", F.col("supports_id").alias("ancestor"), "distance")
-
-
 @query(f"WITH RECURSIVE {_FAN} SELECT claim_id, count(*) AS n_support FROM anc GROUP BY claim_id")
 def fanout(spark, sf):
-    return ancestors(spark, sf).groupBy("claim_id").agg(F.count("*").alias("n_support"))
+    """Claims that each claim rests on, over live edges of every kind."""
+    return graph.reached(edges(spark, sf), "claim_id", "supports_id").withColumnRenamed("n", "n_support")
 
 
 @query(f"""WITH RECURSIVE {_FAN}, {_CASES}, {_REC},
@@ -496,8 +492,8 @@ def verbal_anchor(spark, sf):
     SELECT DISTINCT least(x.claim_id, y.claim_id) AS claim_a, greatest(x.claim_id, y.claim_id) AS claim_b FROM lv x JOIN anc ax ON ax.claim_id = x.claim_id JOIN anc ay ON ay.a = ax.a
     JOIN lv y ON y.claim_id = ay.claim_id WHERE x.score > 0.5 AND y.score < 0.5 AND x.score - y.score >= 0.7""")
 def detect_opposition(spark, sf):
-    c = history.live(hist(spark, sf)).select("claim_id", "score")
-    return contradict.opposed_siblings(c, ancestors(spark, sf).select("claim_id", "ancestor"))
+    """Opposed claims that share an ancestor over live edges of every kind."""
+    return contradict.opposed_lineage(history.live(hist(spark, sf)).select("claim_id", "score"), edges(spark, sf))
 
 
 _CON = r"""con AS (SELECT DISTINCT least(claim_a, claim_b) AS claim_a, greatest(claim_a, claim_b) AS claim_b FROM claim_relations
