@@ -107,6 +107,15 @@ def inclusion_proof(leaves: list[bytes], index: int) -> list[bytes]:
     return [*inclusion_proof(leaves[k:], index - k), merkle_root(leaves[:k])]
 
 
+def inclusion_proofs(leaves: list[bytes]) -> tuple[list[list[bytes]], bytes]:
+    """inclusion_proof() of every leaf, and the root; each hash of the tree is computed once."""
+    if len(leaves) <= 1:
+        return [[] for _ in leaves], merkle_root(leaves)
+    k = _half(len(leaves))
+    (left, a), (right, b) = inclusion_proofs(leaves[:k]), inclusion_proofs(leaves[k:])
+    return [*([*x, b] for x in left), *([*x, a] for x in right)], _sha(b"\1", a, b)
+
+
 def verify_inclusion(leaf: bytes, index: int, size: int, proof: list[bytes], root: bytes) -> bool:
     if not 0 <= index < size:
         return False

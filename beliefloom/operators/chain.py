@@ -90,8 +90,8 @@ def inclusion(log: DataFrame, wanted: DataFrame, segment: int = SEGMENT) -> Data
         out: list[tuple] = []
         if len(rows) == segment:
             leaves = [bytes.fromhex(h) for _, h in rows]
-            root = C.merkle_root(leaves).hex()
-            out = [(s, [x.hex() for x in C.inclusion_proof(leaves, s - rows[0][0])], root) for s in want.column("want").to_pylist()]
+            proofs, root = C.inclusion_proofs(leaves)
+            out = [(s, [x.hex() for x in proofs[s - rows[0][0]]], root.hex()) for s in want.column("want").to_pylist()]
         store = hashes.column("store")[0].as_py() if len(hashes) else None
         return pa.table({"store": pa.array([store] * len(out), pa.string()), "seq": pa.array([x[0] for x in out], pa.int64()), "proof": pa.array([x[1] for x in out], pa.list_(pa.string())), "root": pa.array([x[2] for x in out], pa.string())})
 

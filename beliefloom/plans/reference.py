@@ -582,7 +582,7 @@ QUERIES["consistency_links"] = consistency_links
 def inclusion_proofs(spark, sf):
     """Proofs for the asserts in full segments."""
     lg = log(spark, sf)
-    p = chain.inclusion(lg, lg.where("type = 'decision'").select("store", "seq"))
+    p = chain.inclusion(lg, lg.where("type = 'assert'").select("store", "seq"))
     return p.select("store", "seq", "root", F.size("proof").alias("steps"))
 
 
