@@ -1,4 +1,4 @@
-"""Evaluation passages leaking into documents: CGK embedding, bit-sampling LSH over windows, exact edit verification."""
+"""Evaluation passages leaking into documents: windows met by the blocks that all allowed edits must spare, exact edit distance."""
 
 from __future__ import annotations
 
@@ -13,11 +13,11 @@ from beliefloom.functions.text import words
 from beliefloom.llm.joins import hashes
 from beliefloom.session import cut
 
-#: Words of a window; LSH tables; sampled positions of the embedding per table; word edits a window may have.
-RUN, TABLES, BITS, EDITS = 12, 4, 8, 1
-#: Items up to this many windows are sent to all executors; beyond it their keys are joined instead.
+#: Words of a window; word edits (insertions, deletions, substitutions) a window may have.
+RUN, EDITS = 12, 2
+#: Items up to this many windows are sent to all executors; beyond it their blocks are joined instead.
 INDEX_WINDOWS = 1_000_000
-_BLOCK = 1 << 15
+_BLOCK = 1 << 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -26,69 +26,149 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def lsh_keys(windows: np.ndarray, tables: int = TABLES, bits: int = BITS) -> np.ndarray:
-    """(tables, m) keys of m windows of word hashes.
+def _grams(flat: np.ndarray, n: int) -> np.ndarray:
+    """A key for each n consecutive hashes along the last axis."""
+    m = max(0, flat.shape[-1] - n + 1)
+    acc = np.zeros((*flat.shape[:-1], m), np.uint64)
+    for j in range(n):
+        acc = _mix((acc ^ flat[..., j : j + m]) * _P)
+    return acc
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a column of lists of word hashes."""
+    off = np.asarray(column.offsets).astype(np.int64)
+    return (np.asarray(column.values).view(np.uint64) if len(column.values) else np.empty(0, np.uint64)), off
 
-    Each table walks through the window for three times its length: the symbol under the pointer is put out and a
-    random bit of (step, symbol) decides whether the pointer moves on, so that windows a few edits apart give outputs
-    that differ in few places (CGK embedding).  The key samples ``bits`` places of the output; equal windows always
-    agree, near ones often, and further tables repeat that with other randomness.
-    """
-    m, run = windows.shape
-    flat = np.concatenate([windows, np.zeros((m, 1), np.uint64)], axis=1).ravel()
-    base = np.arange(m, dtype=np.int64) * (run + 1)
-    out = np.empty((tables, m), np.uint64)
-    for t in range(tables):
-        rng = np.random.default_rng(t + 1)
-        steps = 3 * run
-        sample = np.zeros(steps, bool)
-        sample[np.sort(rng.choice(steps * 2 // 3, size=bits, replace=False))] = True
-        coin = _mix((windows ^ np.uint64(rng.integers(1 << 62))) * _P)
-        coin = np.concatenate([coin, np.zeros((m, 1), np.uint64)], axis=1).ravel()
-        at = base.copy()
-        acc = np.full(m, t + 1, np.uint64)
-        for j in range(int(np.flatnonzero(sample)[-1]) + 1):
-            if sample[j]:
-                acc = _mix((acc ^ flat[at]) * _P)
-            at += ((coin[at] >> np.uint64(j % 61)) & np.uint64(1)).astype(np.int64)
-        out[t] = acc
-    return out
-
-
-def _windows(run: int, tables: int, bits: int, index) -> object:
-    """mapInArrow over (key, h): rows of windows whose key is in index (all of them if index is None)."""
-
-    def emit(keys, starts, doc_at, X, ids, base):
-        keep = np.ones(keys.shape, bool)
-        if index is not None:
-            known = index.value
-            pos = np.minimum(np.searchsorted(known, keys.ravel()), len(known) - 1)
-            keep = (known[pos] == keys.ravel()).reshape(keys.shape) if len(known) else np.zeros(keys.shape, bool)
-        t, i = np.nonzero(keep)
-        if not len(i):
-            return None
-        h = pa.FixedSizeListArray.from_arrays(pa.array(X[i].view(np.int64).ravel()), run).cast(pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(doc_at[i])), pa.array((starts[i] - base[doc_at[i]]).astype(np.int32)), pa.array(keys[t, i].view(np.int64)), h],
-            names=["key", "pos", "sig", "win"],
-        )
+
+def _windows(run: int):
+    """mapInArrow over (key, h): every window of ``run`` words."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = b.column("h")
-            off = np.asarray(h.offsets).astype(np.int64)
-            flat = np.asarray(h.values).view(np.uint64) if len(h.values) else np.empty(0, np.uint64)
+            flat, off = _lists(b.column("h"))
             n = np.maximum(off[1:] - off[:-1] - run + 1, 0)
-            doc_at = np.repeat(np.arange(len(n)), n)
-            if not len(doc_at):
+            at = np.repeat(np.arange(len(n)), n)
+            starts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            if len(at):
+                X = flat[(starts + off[at])[:, None] + np.arange(run)]
+                win = pa.FixedSizeListArray.from_arrays(pa.array(X.view(np.int64).ravel()), run).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at)), pa.array(starts.astype(np.int32)), win], names=["key", "pos", "win"])
+
+    return go
+
+
+def _padded(flat: np.ndarray, off: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lists one after another with ``pad`` zeros (no word's hash) before each and after the last, and their starts."""
+    n = off[1:] - off[:-1]
+    start = np.cumsum(n + pad) - n
+    out = np.zeros(int((n + pad).sum()) + pad, np.uint64)
+    out[np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)] = flat[off[0] : off[-1]]
+    return out, start
+
+
+def near_distances(win: np.ndarray, flat: np.ndarray, at: np.ndarray, edits: int) -> np.ndarray:
+    """For rows of win, the least edit distance to a text that begins at ``at`` of flat, if up to ``edits``; else more."""
+    far, n = np.int8(edits + 1), win.shape[1]
+    row = [np.full(len(at), max(0, d) if d >= 0 else far, np.int8) for d in range(-edits, edits + 1)]
+    words = {}
+    for i in range(1, n + 1):
+        x, new = win[:, i - 1], []
+        words.pop(i - edits - 2, None)
+        for d in range(-edits, edits + 1):
+            j = i + d
+            if j < 0:
+                new.append(row[d + edits])
+                continue
+            if j == 0:
+                new.append(np.full(len(at), min(i, far), np.int8))
+                continue
+            if j - 1 not in words:
+                words[j - 1] = flat[at + (j - 1)]
+            best = row[d + edits] + (x != words[j - 1])
+            if d < edits:
+                best = np.minimum(best, row[d + edits + 1] + np.int8(1))
+            if d > -edits:
+                best = np.minimum(best, new[-1] + np.int8(1))
+            new.append(np.minimum(best, far).astype(np.int8))
+        row = new
+    return np.minimum.reduce(row)
+
+
+def _search(run: int, edits: int, index):
+    """mapInArrow over (key, h): matches of documents with the windows of the index."""
+    size, pad = run // (edits + 1), run + edits
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = index.value
+        known, row, off_k, win, item, ipos = (x[c] for c in ("sig", "row", "off", "win", "item", "ipos"))
+        for b in batches:
+            flat, off = _lists(b.column("h"))
+            if not len(off) - 1 or not len(known):
                 continue
-            starts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(off[:-1], n)
-            for lo in range(0, len(starts), _BLOCK):
-                s = starts[lo : lo + _BLOCK]
-                X = flat[s[:, None] + np.arange(run)]
-                got = emit(lsh_keys(X, tables, bits), s, doc_at[lo : lo + _BLOCK], X, b.column("key"), off[:-1])
-                if got is not None:
-                    yield got
+            text, start = _padded(flat, off, pad)
+            sig = _grams(text, size)
+            lo = np.searchsorted(known, sig)
+            hits = np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == sig)
+            lo, hi = lo[hits], np.searchsorted(known, sig[hits], side="right")
+            ends = np.cumsum(hi - lo)
+            begin = 0
+            while begin < len(hits):  # as many hits as give about _BLOCK pairs, one at least
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + _BLOCK, side="right")))
+                n = hi[begin:end] - lo[begin:end]
+                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo[begin:end], n)
+                first = np.repeat(hits[begin:end], n) - off_k[k]
+                pair = np.unique((first[:, None] + np.arange(-edits, edits + 1)) * np.int64(len(win)) + row[k][:, None])
+                begin = end
+                at, w = pair // len(win), pair % len(win)
+                doc = np.searchsorted(start, at, side="right") - 1
+                ok = (doc >= 0) & (at < start[doc] + (off[1:] - off[:-1])[doc])
+                at, w, doc = at[ok], w[ok], doc[ok]
+                d = near_distances(win[w], text, at, edits) if len(at) else np.zeros(0, np.int8)
+                ok = d <= edits
+                at, w, doc, d = at[ok], w[ok], doc[ok], d[ok]
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("key").take(pa.array(doc)), item.take(pa.array(w)), pa.array((at - start[doc]).astype(np.int32)), ipos.take(pa.array(w)), pa.array(d.astype(np.int32))],
+                        names=["doc", "item", "pos", "ipos", "dist"],
+                    )
+
+    return go
+
+
+def _blocks_of_items(run: int, edits: int):
+    """mapInArrow over windows: a row for each block that may be the one without edits."""
+    size = run // (edits + 1)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = _grams(np.asarray(b.column("win").flatten()).view(np.uint64).reshape(-1, run), size)
+            for k in range(edits + 1):
+                off = pa.array(np.full(b.num_rows, k * size, np.int32))
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("pos"), b.column("win"), pa.array(sig[:, k * size].view(np.int64)), off], names=["item", "ipos", "win", "sig", "off"])
+
+    return go
+
+
+def _blocks_of_docs(run: int, edits: int):
+    """mapInArrow over (key, h): the block at every position, with the words around it that a window can reach."""
+    size, pad = run // (edits + 1), run + edits
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, off = _lists(b.column("h"))
+            n = np.maximum(off[1:] - off[:-1] - size + 1, 0)
+            text, start = _padded(flat, off, pad + edits)
+            doc = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            sig = _grams(text, size)
+            for lo in range(0, len(pos), _BLOCK):
+                p, c = pos[lo : lo + _BLOCK], doc[lo : lo + _BLOCK]
+                at = start[c] + p
+                around = text[np.minimum(at[:, None] + np.arange(-pad, pad + edits), len(text) - 1)]
+                around[:, :pad][p[:, None] + np.arange(-pad, 0) < 0] = 0
+                ctx = pa.FixedSizeListArray.from_arrays(pa.array(around.view(np.int64).ravel()), 2 * pad + edits).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(c)), pa.array(p.astype(np.int32)), pa.array(sig[at].view(np.int64)), ctx], names=["doc", "at", "sig", "ctx"])
 
     return go
 
@@ -108,52 +188,66 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _verify(run: int, edits: int):
+    pad = run + edits
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.asarray(b.column(c).flatten()).reshape(-1, run) for c in ("win", "win2"))
-            d = (x != y).sum(axis=1).astype(np.int16)  # never below the edit distance
-            # Windows have one length, so a single edit is a substitution; only from two edits on can shifts be nearer.
-            more = np.flatnonzero(d > 1)
-            if edits > 1 and len(more):
-                d[more] = edit_distances(x[more], y[more])
-            out = b.select(["doc", "item", "pos", "ipos"]).append_column("dist", pa.array(d.astype(np.int32)))
-            yield out.filter(pa.array(d <= edits))
+            if not b.num_rows:
+                continue
+            win, ctx = (np.asarray(b.column(c).flatten()).view(np.uint64).reshape(-1, n) for c, n in (("win", run), ("ctx", 2 * pad + edits)))
+            for e in range(-edits, edits + 1):
+                shift = e - np.asarray(b.column("off")).astype(np.int64)
+                pos = np.asarray(b.column("at")) + shift
+                d = near_distances(win, ctx.ravel(), np.arange(len(pos)) * (2 * pad + edits) + pad + shift, edits)
+                out = b.select(["doc", "item"]).append_column("pos", pa.array(pos.astype(np.int32))).append_column("ipos", b.column("ipos")).append_column("dist", pa.array(d.astype(np.int32)))
+                yield out.filter(pa.array((d <= edits) & (pos >= 0)))
 
     return go
 
 
-def window_matches(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, *, run: int = RUN, edits: int = EDITS, tables: int = TABLES, bits: int = BITS) -> DataFrame:
-    """``doc, item, pos, ipos, dist``: windows of ``run`` words of a document and an item within ``edits`` word edits.
+def window_matches(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, *, run: int = RUN, edits: int = EDITS) -> DataFrame:
+    """``doc, item, pos, ipos, dist``: all windows of ``run`` words of an item within ``edits`` word edits of a document's words from pos on.
 
-    Verbatim windows are all found; windows with edits with the recall that ``tables`` repetitions give.
+    dist is the least edit distance to any number of words from there.  None is lost: of edits + 1 blocks of a window
+    one has no edit, stands in the document as it is and is at most ``edits`` words away from its place.
     """
+    if not 0 <= edits < run:
+        raise ValueError("edits must be from 0 to run - 1")
     spark = docs.sparkSession
     dk, ik = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
     d = docs.select(F.col(doc).alias("key"), F.col(text).alias("t")).where("key IS NOT NULL AND t IS NOT NULL").select("key", words(F.col("t")).alias("words"))
     i = items.select(F.col(item).alias("key"), F.col(item_text).alias("t")).where("key IS NOT NULL AND t IS NOT NULL").distinct().select("key", words(F.col("t")).alias("words"))
-    schema = "key {}, pos int, sig long, win array<long>"
-    iw = cut(i.select("key", hashes().alias("h")).mapInArrow(_windows(run, tables, bits, None), schema.format(ik)))
-    index = None
-    sigs = iw.select("sig").distinct()
-    if sigs.limit(INDEX_WINDOWS + 1).count() <= INDEX_WINDOWS:
-        known = np.sort(np.array([r[0] for r in sigs.collect()], np.int64).view(np.uint64))
-        index = spark.sparkContext.broadcast(known)
-    dw = d.where(F.size("words") >= run).select("key", hashes().alias("h")).mapInArrow(_windows(run, tables, bits, index), schema.format(dk))
-    dw = dw.select(F.col("key").alias("doc"), "pos", "sig", "win")
-    it = iw.select(F.col("key").alias("item"), F.col("pos").alias("ipos"), "sig", F.col("win").alias("win2"))
-    cand = dw.join(it, "sig").drop("sig").dropDuplicates(["doc", "pos", "item", "ipos"])
-    return cand.mapInArrow(_verify(run, edits), f"doc {dk}, item {ik}, pos int, ipos int, dist int")
+    d = d.where(F.size("words") >= run).select("key", hashes().alias("h"))
+    iw = cut(i.select("key", hashes().alias("h")).mapInArrow(_windows(run), f"key {ik}, pos int, win array<long>"))
+    found = f"doc {dk}, item {ik}, pos int, ipos int, dist int"
+    if iw.limit(INDEX_WINDOWS + 1).count() <= INDEX_WINDOWS:
+        got = iw.toArrow().combine_chunks()
+        win = np.asarray(got.column("win").combine_chunks().flatten()).view(np.uint64).reshape(-1, run)
+        size = run // (edits + 1)
+        off = np.repeat(np.arange(edits + 1) * size, len(win))
+        row = np.tile(np.arange(len(win)), edits + 1)
+        sig = _grams(win, size)[row, off]
+        order = np.argsort(sig, kind="stable")
+        index = spark.sparkContext.broadcast({"sig": sig[order], "row": row[order], "off": off[order], "win": win, "item": got.column("key").combine_chunks(), "ipos": got.column("pos").combine_chunks()})
+        m = d.mapInArrow(_search(run, edits, index), found)
+    else:
+        it = iw.mapInArrow(_blocks_of_items(run, edits), f"item {ik}, ipos int, win array<long>, sig long, off int")
+        m = d.mapInArrow(_blocks_of_docs(run, edits), f"doc {dk}, at int, sig long, ctx array<long>").join(it, "sig").mapInArrow(_verify(run, edits), found)
+    return m.groupBy("doc", "item", "pos", "ipos").agg(F.min("dist").alias("dist"))
 
 
 def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, *, run: int = RUN, **more: int) -> DataFrame:
     """``doc, item, longest, windows, near``: documents in which passages of an item stand, with the longest verbatim run.
 
     ``longest`` is the length in words of the longest run of consecutive words that document and item share (at least
-    ``run``, or 0 if all matches have edits), ``windows`` the verbatim and ``near`` the edited window positions.
+    ``run``, or 0 if all matches have edits), ``windows`` the verbatim window positions and ``near`` the positions whose
+    nearest window has edits.
 
-    Method: windows of ``run`` words at every position of documents and items are embedded (see lsh_keys); those that
-    share a key of any table are compared by exact edit distance.  The items' keys are broadcast if they are few
-    (counted first) and joined otherwise; the documents are read in one pass, in blocks, whatever their length.
+    Method: every window of ``run`` words of an item is cut into edits + 1 blocks, one of which a match must hold as it
+    stands; where a document has such a block, the edit distances of the windows it may belong to are computed.  A
+    passage with edits as a whole is found by its windows: an item of n words with fewer than (edits + 1) * (n // run)
+    edits has a window with at most ``edits``.  The items' windows are broadcast if they are few (counted first), else
+    their blocks are joined; the documents are read in one pass, in blocks, whatever their length.
 
     Defined results: null keys or texts and texts of fewer than ``run`` words match nothing; repeated documents with one
     key are one; repeated items with different keys are all reported; empty tables give no rows.
@@ -164,6 +258,6 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     w = Window.partitionBy("doc", "item", "diag").orderBy("pos")
     isle = exact.withColumn("isle", F.col("pos") - F.row_number().over(w)).groupBy("doc", "item", "diag", "isle").agg(F.count("*").alias("k"))
     verbatim = isle.groupBy("doc", "item").agg((F.max("k") + run - 1).cast("int").alias("longest"), F.sum("k").alias("windows"))
-    near = m.where("dist > 0").groupBy("doc", "item").agg(F.countDistinct("pos").alias("near"))
+    near = m.groupBy("doc", "item", "pos").agg(F.min("dist").alias("dist")).where("dist > 0").groupBy("doc", "item").agg(F.count("*").alias("near"))
     both = verbatim.join(near, ["doc", "item"], "full_outer")
     return both.select("doc", "item", F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce("windows", F.lit(0)).alias("windows"), F.coalesce("near", F.lit(0)).alias("near"))
