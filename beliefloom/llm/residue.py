@@ -91,10 +91,11 @@ _NAME = r"[A-Za-z][\w.\- ]{0,40}"
 _FIELD = r"[A-Za-z][\w.\-]{0,40}"
 #: The delimiters of unfilled fields.
 PLACEHOLDER = re.compile(
-    rf"\{{\{{\{{?\s*{_NAME}\s*\}}?\}}\}}|\$\{{\s*{_FIELD}\s*\}}|#\{{\s*{_FIELD}\s*\}}|<%=\s*{_FIELD}\s*%>|\{{%\s*{_FIELD}\s*%\}}"
+    rf"\{{\{{\{{?\s*{_NAME}(?:\|[^{{}}\n]{{1,80}})?\s*\}}?\}}\}}|\{{\{{[#/^>&]\s*{_NAME}\s*\}}\}}|\$\{{\s*{_FIELD}\s*\}}|#\{{\s*{_FIELD}\s*\}}|<%=\s*{_FIELD}\s*%>|\{{%-?\s*[A-Za-z][^{{}}%\n]{{0,80}}%\}}"
     rf"|%\({_FIELD}\)[sd]|(?<![\w%])%[sd](?![\w%])|%%[A-Za-z][\w.\-]*%%|@@{_FIELD}@@|\[\[\s*{_FIELD}\s*\]\]|<<\s*{_NAME}\s*>>"
-    rf"|\$[A-Z][A-Z_.\-]*\$|(?<!\w)__[A-Z][A-Z_.\-]*__(?!\w)|\[(?:insert|INSERT)\s+{_NAME}\]|\[{_NAME}\s+TBD\]|\[TBD\]|\[your\s+{_NAME}\]"
-    rf"|\(fill in\s+{_NAME}\)|<insert\s+{_NAME}>|(?<![\w{{$#])\{{(?:\d+|{_FIELD})\}}(?!\}})|<(?!(?:{_TAGS})>)[a-z]+(?: [a-z]+){{0,3}}>",
+    rf"|\$[A-Z][A-Z_.\-]*\$|(?<!\w)__[A-Z][A-Z_.\-]*__(?!\w)|\[(?i:insert)\s+{_NAME}\]|\[{_NAME}\s+(?i:TBD)\]|\[(?i:TBD)\]|\[(?i:your)\s+{_NAME}\]"
+    rf"|\[(?:[A-Z][a-z]+ ){{1,3}}(?:Name|Date|Address|Title|Number|Email|Phone|City)\](?!\()"
+    rf"|\((?i:fill in)\s+{_NAME}\)|<(?i:insert)\s+{_NAME}>|(?<![\w{{$#])\{{(?:\d+|{_FIELD})\}}(?!\}})|<(?!(?:{_TAGS})>)[a-z]+(?: [a-z]+){{0,3}}>",
     re.A,
 )
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
