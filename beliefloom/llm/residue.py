@@ -82,9 +82,10 @@ Der Bericht wurde nach der Prüfung geändert, weil zwei Messwerte fehlten. Le r
 #: Lines of navigation and footers, which are no content.
 FURNITURE = re.compile(
     r"^(©|\(c\)|copyright\b|powered by\b|skip to\b|share this\b|back to (the )?(start|top|home)\b|all rights reserved"
-    r"|cookie(s| settings)\b|menu\b.{0,40}$|home\s*[|›>·]|terms\b|privacy\b|imprint\b|sign in\b|log in\b|follow us\b|subscribe\b|#{1,6}\s)"
-    r"|^[^.!?]{1,30}(\s[|·•›]\s[^.!?|·•›]{1,30})+$", re.I,
+    r"|cookie (settings|policy|preferences)$|menu\b.{0,40}$|home\s*[|›>·]|terms\b|privacy\b|imprint\b|sign in\b|log in\b|follow us\b|subscribe\b|#{1,6}\s)", re.I,
 )
+#: Lines that are navigation or footers too, unless the models take them for a notice.
+DOUBTFUL = re.compile(r"^cookie(s| settings)\b|^[^.!?]{1,30}(\s[|·•›]\s[^.!?|·•›]{1,30})+$", re.I)
 #: Elements of HTML that are not template fields.
 _TAGS = "a|abbr|article|aside|b|blockquote|body|br|button|code|dd|div|dl|dt|em|footer|form|h[1-6]|head|header|hr|html|i|img|input|li|link|main|meta|nav|ol|p|pre|script|span|strong|style|sub|sup|table|tbody|td|th|thead|title|tr|u|ul|no"
 _NAME = r"[A-Za-z][\w.\- ]{0,40}"
@@ -136,7 +137,10 @@ _GAP = "\n" * (ORDERS - 1)
 
 
 class Lines:
-    """The content lines of some texts: without headings, navigation and footers, in normal form."""
+    """The content lines of some texts: without headings, navigation and footers, in normal form.
+
+    doubt: the lines that are content only if they are a notice.
+    """
 
     def __init__(self, texts: Sequence[str | None]):
         self.lines: list[str] = []
@@ -148,6 +152,7 @@ class Lines:
                     self.lines.append(x)
                     doc.append(i)
         self.doc = np.array(doc, np.int64)
+        self.doubt = np.array([bool(DOUBTFUL.search(x)) for x in self.lines], bool)
         self.size = np.array([len(x) for x in self.lines], np.int64)
         self.whole = _GAP + _GAP.join(self.lines)
         self.start = len(_GAP) + np.concatenate([[0], np.cumsum(self.size[:-1] + len(_GAP))]) if self.lines else np.zeros(0, np.int64)
@@ -224,6 +229,7 @@ class Model:
             n[:, 0] -= more
             n[:, 1] += np.where(filler, more, 0)
             n[:, 2] += np.where(filler, 0, more)
+            n[ln.doubt & ~(nearly & ~filler)] = 0
             np.add.at(out, lo + ln.doc, n)
         return out
 
@@ -250,6 +256,7 @@ def _count_natural(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             np.cumsum(seeds.log(ln.whole), axis=1, dtype=np.float64, out=sums[:, 1:])
             s = sums[:, ln.start + ln.size] - sums[:, ln.start]
             sure = np.maximum(s[1], s[2]) - s[0] >= SURE * ln.size
+            sure |= ln.doubt
             total += gram_counts([x for x, bad in zip(ln.lines, sure) if not bad])
     n, i = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array((n * BINS + i).astype(np.int32)), pa.array(total[n, i].astype(np.int64))], names=["bin", "n"])
@@ -285,6 +292,7 @@ def residue(docs: DataFrame, key: str, text: str, *, coverage: float = COVERAGE,
 
     Method: character 5-gram models of natural prose, filler and notices; each character goes to the class with the
     largest likelihood over the window around it, within its line; a document is excluded by the covered share.
+    Short lines parted by bars and lines on cookies count only if they are notices.
     Placeholders are found by their delimiters outside code, quotation marks and quoted lines.
 
     Defined results: null and blank texts are not residue; rows with a null key are left out; of several texts of one
