@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,7 +66,7 @@ def vector_best_fit(sizes: np.ndarray, capacity: int, docs: int, cost: float, we
         cnt[best] -= 1
         att[best] -= s * s
         where[i] = int(name[best])
-        if tok[best] < smallest or cnt[best] < 1:  # full: the last open bin takes its place
+        if tok[best] < smallest or cnt[best] < 1 or att[best] < smallest * smallest:  # full: the last open bin takes its place
             live -= 1
             for a in (tok, cnt, att, name):
                 a[best] = a[live]
@@ -79,7 +78,8 @@ def pack(docs: DataFrame, key: str, text: str, *, tokenizer: str = TOKENIZER, ca
 
     Only a document longer than the capacity is split, into pieces of exactly the capacity and a rest (piece 0, 1, ...,
     start = first token of the piece in the document).  A sequence holds at most ``max_docs`` pieces and an attention
-    cost (sum of squared lengths) of at most ``max_cost`` (default: that of one full piece).
+    cost (sum of squared lengths) of at most ``max_cost`` (default: that of one full piece, which
+    only the token capacity can reach); a piece that alone costs more has a sequence of its own.
 
     Method: sizes are those of a public tokenizer.  Full pieces are sequences of their own.  The rest is spread over
     ceil(pieces / shard) shards by a hash of the key, each packed by vector best-fit in descending order of size.  A
@@ -89,9 +89,8 @@ def pack(docs: DataFrame, key: str, text: str, *, tokenizer: str = TOKENIZER, ca
     blank-free-of-tokens and empty texts have n_tokens 0 and sequence null; an empty table gives no rows.
     """
     cost = float(max_cost if max_cost is not None else capacity * capacity)
-    if cost < capacity * capacity:
-        limit = int(math.isqrt(int(cost)))
-        raise ValueError(f"max_cost allows pieces of at most {limit} tokens; lower the capacity instead")
+    if not cost > 0:
+        raise ValueError("max_cost must be positive")
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL")
     n = src.mapInArrow(token_counts(tokenizer), f"key {kind}, n_tokens long").groupBy("key").agg(F.max("n_tokens").alias("n"))
