@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -10,18 +11,22 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def session(app: str = "beliefloom", cores: str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings the engine assumes (UTC, adaptive execution); conf overrides any of them."""
+def session(app: str = "beliefloom", cores: str = "*", master: str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the engine assumes (UTC, adaptive execution); conf overrides any of them.
+
+    Without ``master`` it is local, with a shuffle partition for each core; a cluster's number of partitions is its own.
+    """
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.master(master or f"local[{cores}]")
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if master is None:
+        builder = builder.config("spark.sql.shuffle.partitions", cores if cores.isdigit() else str(os.cpu_count() or 8))
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -53,19 +58,19 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def _run_dir(spark: SparkSession) -> str:
-    """This session's own folder below the shared one; removed when the interpreter ends."""
+    """This session's own folder below the shared one; removed when the interpreter or the driver's JVM ends."""
     key = spark.sparkContext.applicationId
     if key not in _RUNS:
         _RUNS[key] = f"{checkpoint_dir(spark)}/beliefloom-{uuid.uuid4().hex}"
-        atexit.register(_forget, spark, key)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_RUNS[key])
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        # The file system outlives the session, so the folder goes even if the session was stopped before.
+        atexit.register(lambda: fs.delete(at, True))
     return _RUNS[key]
 
 
-def _forget(spark: SparkSession, key: str) -> None:
-    if spark.sparkContext._jsc is not None and key in _RUNS:
-        _delete(spark, _RUNS.pop(key))
-
-
 _RUNS: dict[str, str] = {}
 
 
@@ -91,6 +96,26 @@ def cut_counting(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
     return out, {n: got.get(n) or 0 for n in figures}
 
 
+def cut_split(df: DataFrame, flag: str, **figures: Column) -> tuple[DataFrame, DataFrame, dict]:
+    """cut_counting(df), read as the rows whose boolean column ``flag`` is true and those where it is false, without it.
+
+    The two parts are files of their own, so each can be released without the other.
+    """
+    spark = df.sparkSession
+    path = f"{_run_dir(spark)}/{uuid.uuid4().hex}"
+    seen = Observation()
+    df = df.observe(seen, *(c.alias(n) for n, c in figures.items()))
+    df.write.option("compression", "lz4").partitionBy(flag).parquet(path)
+    got = seen.get
+    whole = spark.read.schema(df.schema).parquet(path)
+    parts = []
+    for value in (True, False):
+        part = whole.where(F.col(flag) == F.lit(value)).drop(flag)
+        part._beliefloom_path = f"{path}/{flag}={str(value).lower()}"
+        parts.append(part)
+    return parts[0], parts[1], {n: got.get(n) or 0 for n in figures}
+
+
 def release(*dfs: DataFrame | None) -> None:
     """Deletes the files of tables made by cut() that no later plan reads."""
     for df in dfs:
