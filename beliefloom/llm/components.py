@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beliefloom.session import cut, cut_counting
+from beliefloom.session import cut, cut_counting, cut_split, release
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -33,11 +33,13 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         deg, size = cut_counting(deg, n=F.count("*"), n2=F.sum(F.when(F.col("d") == 2, 1).otherwise(0)))
         n, n2 = size["n"], size["n2"]
         if n == 0:
+            release(deg)
             break
         if before is not None and n > 0.6 * before:
-            gone, arcs = _contract(arcs, len(removed))
+            gone, new = _contract(arcs, len(removed))
             removed.append(gone)
-            before = None
+            release(deg, arcs)
+            arcs, before = new, None
             continue
         before = n
         ends = deg.select(F.col("u").alias("v"), F.col("d").alias("dv"), "m1", "m2")
@@ -45,44 +47,59 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         leaf = known.where("du = 1 AND (dv >= 3 OR (dv = 1 AND u > v))").select(F.col("u").alias("x"), F.col("v").alias("rep"))
         kept = known.where("du >= 3 AND dv >= 3").select("u", "v")
         if n2:
-            chain, edges = _compress(known, n2)
+            chain, edges, used = _compress(known, n2)
             removed.append(cut(leaf.unionByName(chain)))
-            arcs = cut(kept.unionByName(edges).distinct())
+            new = cut(kept.unionByName(edges).distinct())
+            release(*used)
         else:
             removed.append(cut(leaf))
-            arcs = cut(kept)
+            new = cut(kept)
+        release(known, deg, arcs)
+        arcs = new
     return _labels(removed) if removed else arcs.select(F.col("u").alias("node"), F.col("v").alias("group_id"))
 
 
-def _compress(known: DataFrame, n2: int) -> tuple[DataFrame, DataFrame]:
-    """The degree-two vertices with the vertex that stands for them, and the arcs that replace their chains."""
+def _compress(known: DataFrame, n2: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The degree-two vertices with the vertex that stands for them, the arcs that replace their chains, and the tables these are read from.
+
+    An arc (x, y) with y of degree two is followed in steps that double.  What has reached its end is written once and
+    only looked up from then on.
+    """
     s = known.where("dv = 2").select(
         F.col("u").alias("x"), F.col("v").alias("y"), F.col("v").alias("ex"),
-        F.when(F.col("m1") == F.col("u"), F.col("m2")).otherwise(F.col("m1")).alias("ey"), F.col("v").alias("mn"), F.lit(False).alias("done"), F.lit(False).alias("fell"),
+        F.when(F.col("m1") == F.col("u"), F.col("m2")).otherwise(F.col("m1")).alias("ey"), F.col("v").alias("mn"),
     )
-    s = cut(s)
-    before = None
+    going, finished, before = cut(s), [], None
+    look = lambda s, done: s.select(F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("ex").alias("ex2"), F.col("ey").alias("ey2"), F.col("mn").alias("mn2"), F.lit(done).alias("done2"))
     for _ in range(math.ceil(math.log2(n2 + 1)) + 1):
-        r = s.select(F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("ex").alias("ex2"), F.col("ey").alias("ey2"), F.col("mn").alias("mn2"), F.col("done").alias("done2"))
-        on = s.where("NOT done").drop("done", "fell").join(r, ["ex", "ey"], "left")
-        on = on.select(
-            "x", "y", F.coalesce("ex2", "ex").alias("ex"), F.coalesce("ey2", "ey").alias("ey"),
-            F.least("mn", F.coalesce("mn2", "mn")).alias("mn"), F.coalesce("done2", F.lit(True)).alias("done"), F.coalesce(F.col("mn2") < F.col("mn"), F.lit(False)).alias("fell"),
+        r = look(going, False)
+        for f in finished:
+            r = r.unionByName(look(f, True))
+        on = going.join(r, ["ex", "ey"], "left").select(
+            "x", "y", F.coalesce("ex2", "ex").alias("ex"), F.coalesce("ey2", "ey").alias("ey"), F.least("mn", F.coalesce("mn2", "mn")).alias("mn"),
+            F.coalesce("done2", F.lit(True)).alias("done"), F.coalesce(F.col("mn2") < F.col("mn"), F.lit(False)).alias("fell"),
         )
-        still = lambda c: F.sum(F.when(~F.col("done") & c, 1).otherwise(0))
-        s, left = cut_counting(s.where("done").unionByName(on), n=still(F.lit(True)), fell=still(F.col("fell")))
+        left = lambda c: F.sum(F.when(~F.col("done") & c, 1).otherwise(0))
+        done, now, size = cut_split(on, "done", n=left(F.lit(True)), fell=left(F.col("fell")))
+        finished.append(done.drop("fell"))
+        finished[-1]._beliefloom_path = done._beliefloom_path
+        release(going)
+        going = now.drop("fell")
+        going._beliefloom_path = now._beliefloom_path
         # An unfinished chain finishes some arc in every step, so if none did only rings are left; their least vertices
         # are known once no minimum falls any more.
-        if not left["n"] or (left["n"] == before and not left["fell"]):
+        if not size["n"] or (size["n"] == before and not size["fell"]):
             break
-        before = left["n"]
-    ends = s.where("done").groupBy("y").agg(F.min("ey").alias("lo"), F.max("ey").alias("hi"))
-    ring = s.where("NOT done").groupBy("y").agg(F.min("mn").alias("lo")).where("y <> lo")
-    ends = cut(ends)
+        before = size["n"]
+    every = finished[0]
+    for f in finished[1:]:
+        every = every.unionByName(f)
+    ends = cut(every.groupBy("y").agg(F.min("ey").alias("lo"), F.max("ey").alias("hi")))
+    ring = going.groupBy("y").agg(F.min("mn").alias("lo")).where("y <> lo")
     chain = ends.select(F.col("y").alias("x"), F.col("lo").alias("rep")).unionByName(ring.select(F.col("y").alias("x"), F.col("lo").alias("rep")))
     link = ends.where("lo <> hi").select("lo", "hi").distinct()
     edges = link.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(link.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-    return chain, edges
+    return chain, edges, [ends, going, *finished]
 
 
 def _contract(arcs: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -96,25 +113,33 @@ def _contract(arcs: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
         up = hook.select(F.col("x").alias("rep"), F.col("rep").alias("top"))
         nxt = hook.join(up, "rep").select("x", F.col("top").alias("rep"), (F.col("top") != F.col("rep")).alias("moved"))
         nxt, far = cut_counting(nxt, n=F.sum(F.when(F.col("moved"), 1).otherwise(0)))
+        release(hook)
         hook = nxt.select("x", "rep")
+        hook._beliefloom_path = nxt._beliefloom_path
         if not far["n"]:
             break
     to = hook.select(F.col("x").alias("u"), F.col("rep").alias("ru"))
     new = arcs.join(to, "u").join(to.select(F.col("u").alias("v"), F.col("ru").alias("rv")), "v").where("ru <> rv")
     new = cut(new.select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
-    return hook.where("x <> rep"), new
+    gone = cut(hook.where("x <> rep"))
+    release(hook)
+    return gone, new
 
 
 def _labels(removed: list[DataFrame]) -> DataFrame:
-    """Restores labels in reverse order of removal and names each group by its smallest id."""
+    """Restores labels in reverse order of removal and names each group by its smallest id.
+
+    The labels known so far are a table of their own after each level, so no plan holds more than one level.
+    """
     known = None
     for r in reversed(removed):
         if known is None:
-            known = r.select("x", F.col("rep").alias("label"))
-            continue
-        top = known.select(F.col("x").alias("rep"), "label")
-        known = known.unionByName(r.join(top, "rep", "left").select("x", F.coalesce("label", "rep").alias("label")))
-    known = cut(known)
+            new = cut(r.select("x", F.col("rep").alias("label")))
+        else:
+            top = known.select(F.col("x").alias("rep"), "label")
+            new = cut(known.unionByName(r.join(top, "rep", "left").select("x", F.coalesce("label", "rep").alias("label"))))
+        release(known, r)
+        known = new
     least = known.groupBy("label").agg(F.min("x").alias("m")).select("label", F.least("label", "m").alias("group_id"))
     roots = least.select(F.col("label").alias("node"), "group_id")
     return known.join(least, "label").select(F.col("x").alias("node"), "group_id").unionByName(roots)
