@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beliefloom.session import cut, cut_counting, cut_split, release
 
+#: Arcs of a reduced core that one task solves.
+CORE = 200_000
+
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``node, group_id``: one row per id that is paired with another; group_id is the smallest id of its component.
@@ -16,9 +21,9 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     Method: each round strips the vertices of degree one and compresses the chains of degree-two vertices, whose ends
     are found by list ranking (pointer doubling over arcs, so a chain of n vertices takes log n joins).  If a round
     removes too little, the core that is left is contracted: each vertex hooks to the neighbour of smallest random
-    priority, which leaves less than half of a core whose degrees are two or more.  Every removed vertex remembers the
-    vertex that stands for it; labels are restored in reverse order.  The number of rounds grows with the logarithm of
-    the input.  Nothing is collected; a vertex with very many pairs is pre-aggregated for its degree, and joins on it
+    priority, which leaves less than half of a core whose degrees are two or more.  Once it is reduced to CORE arcs (two
+    for each link), a task solves the core.  Every removed vertex remembers the vertex that stands for it; labels are
+    restored in reverse order.  The number of rounds grows with the logarithm of the input.  Nothing is collected; a vertex with very many pairs is pre-aggregated for its degree, and joins on it
     are split by adaptive execution.
 
     Defined results: rows with a null id or with the same id twice are ignored, repeats and directions do not matter,
@@ -30,11 +35,15 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     before = None
     while True:
         deg = arcs.groupBy("u").agg(F.count("*").alias("d"), F.min("v").alias("m1"), F.max("v").alias("m2"))
-        deg, size = cut_counting(deg, n=F.count("*"), n2=F.sum(F.when(F.col("d") == 2, 1).otherwise(0)))
+        deg, size = cut_counting(deg, n=F.count("*"), n2=F.sum(F.when(F.col("d") == 2, 1).otherwise(0)), arcs=F.sum("d"))
         n, n2 = size["n"], size["n2"]
         if n == 0:
             release(deg)
             break
+        if removed and size["arcs"] <= CORE:
+            removed.append(cut(arcs.coalesce(1).mapInArrow(_solve, f"x {arcs.dtypes[0][1]}, rep {arcs.dtypes[0][1]}")))
+            release(deg, arcs)
+            break
         if before is not None and n > 0.6 * before:
             gone, new = _contract(arcs, len(removed))
             removed.append(gone)
@@ -59,6 +68,27 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return _labels(removed) if removed else arcs.select(F.col("u").alias("node"), F.col("v").alias("group_id"))
 
 
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vertex of a core of bounded size, the smallest of its component apart, with that smallest one."""
+    up: dict = {}
+
+    def find(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    kind = pa.string()
+    for b in batches:
+        kind = b.schema.field(0).type
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            a, c = find(u), find(v)
+            if a != c:
+                up[max(a, c)] = min(a, c)
+    rows = [(x, r) for x in up if (r := find(x)) != x]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k in (0, 1)], names=["x", "rep"])
+
+
 def _compress(known: DataFrame, n2: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """The degree-two vertices with the vertex that stands for them, the arcs that replace their chains, and the tables these are read from.
 

@@ -1,7 +1,10 @@
+import os
 import random
 
 import pytest
 
+from beliefloom import session as S
+from beliefloom.llm import components as K
 from beliefloom.llm.components import components
 
 
@@ -36,20 +39,34 @@ def shapes():
     return path + ring + star + core + tails + two + loops + dirt
 
 
-@pytest.mark.parametrize("seed", [0])
-def test_shapes(spark, seed):
+@pytest.mark.parametrize("core", [0, K.CORE])
+def test_shapes(spark, monkeypatch, core):
+    monkeypatch.setattr(K, "CORE", core)
     pairs = shapes()
     df = spark.createDataFrame([(*p, "x", 1) for p in pairs], "a string, b string, u string, group_id int")
     assert {tuple(r) for r in components(df, "a", "b").collect()} == brute(pairs)
 
 
-def test_dense_random(spark):
+@pytest.mark.parametrize("core", [0, K.CORE])
+def test_dense_random(spark, monkeypatch, core):
+    monkeypatch.setattr(K, "CORE", core)
     rng = random.Random(9)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(200)]
     got = {tuple(r) for r in components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
     assert got == brute(pairs)
 
 
+def test_tables_are_released_and_the_plan_stays_small(spark, monkeypatch):
+    monkeypatch.setattr(K, "CORE", 0)
+    n = 400
+    pairs = [(i, (i - 1) // 2) for i in range(1, n)]  # a binary tree is stripped level by level
+    before = set(os.listdir(S._run_dir(spark).removeprefix("file:")))
+    out = components(spark.createDataFrame(pairs, "a long, b long"), "a", "b")
+    assert len(set(os.listdir(S._run_dir(spark).removeprefix("file:"))) - before) <= 2
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
+    assert {tuple(r) for r in out.collect()} == {(i, 0) for i in range(n)}
+
+
 def test_empty(spark):
     assert components(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
     assert components(spark.createDataFrame([("x", "x"), (None, None)], "a string, b string"), "a", "b").count() == 0
