@@ -1,9 +1,12 @@
 import random
 import re
 
+import numpy as np
+
 import pytest
 
-from beliefloom.llm.neardup import near_groups, signatures
+from beliefloom.llm import neardup as N
+from beliefloom.llm.neardup import near_groups, near_links
 from beliefloom.llm.splits import chunk_digests, split_overlaps
 
 WORD = re.compile(r"[^\W_]+")
@@ -61,17 +64,41 @@ def test_near_groups_empty(spark):
         near_groups(spark.createDataFrame([("a", "b")], "id string, body string"), "id", "body", 0.3)
 
 
-def test_prefix_survives_missing_tokens():
+@pytest.mark.parametrize("t", [0.5, 0.6, 0.8])
+def test_like_records_share_a_signature(t):
+    """A smaller record is found by one that a larger one asks with, whatever the frequencies and sizes."""
     rng = random.Random(3)
-    for _ in range(200):
-        df = sorted(rng.choice([1, 5, 400, 400, 5000, 5000]) for _ in range(rng.randrange(10, 30)))
-        its = [(d, i) for i, d in enumerate(df)]
-        need = rng.randrange(1, 8)
-        whole = set(signatures(its, need, 100_000))
-        gone = set(rng.sample(range(len(its)), need - 1))
-        left = [x for x in its if x[1] not in gone]
-        # What is left, cut as the partner would cut it if it held exactly these tokens, shares a signature.
-        assert whole & set(signatures(left, 1, 100_000)) or len(whole & set(signatures(left, min(need, max(1, len(left) - 3)), 100_000)))
+    df = {i: rng.choice([1, 5, 400, 400, 5000, 5000, 60_000]) for i in range(3000)}
+    tried = 0
+    for _ in range(300):
+        n = rng.choice([1, 2, 5, 7, 8, 9, 15, 16, 17, 31, 33, 64, 70, 200])
+        a = set(rng.sample(sorted(df), n))
+        b = set(rng.sample(sorted(a), rng.randrange(1, n + 1))) | set(rng.sample(sorted(df), rng.randrange(n // 2 + 1)))
+        if len(a & b) < t * len(a | b) - 1e-12:
+            continue
+        tried += 1
+        a, b = sorted((sorted(x, key=lambda i: (df[i], i)) for x in (a, b)), key=len)
+        size = np.array([len(a), len(b)])
+        flat = np.array(a + b)
+        rec, sig, found, _ = N.Tokens(np.array([df[i] for i in flat]), flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), size, t, 100_000).signatures()
+        assert set(sig[(rec == 0) & found]) & set(sig[rec == 1])
+    assert tried > 30
+
+
+def test_signatures_grow_with_the_length():
+    rng = np.random.default_rng(1)
+    for n in (200, 1000, 5000):
+        df = np.sort(np.exp(rng.uniform(np.log(1e4), np.log(1e8), n)).astype(np.int64))
+        _, sig, _, _ = N.Tokens(df, rng.integers(0, 1 << 63, n, dtype=np.uint64), np.array([n]), 0.6, 10**9).signatures()
+        assert len(sig) <= 20 * n
+
+
+def test_a_clique_takes_few_links(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(40)]
+    texts = [(f"r{i}".encode(), sorted(set(base) - {rng.choice(base)} | {f"x{i}"})) for i in range(150)]
+    links = near_links(spark.createDataFrame([(bytearray(r), w) for r, w in texts], "rid binary, words array<string>"), 0.8).collect()
+    assert 149 <= len(links) <= 4 * 150
 
 
 def test_chunks_cover_and_resync():
