@@ -179,8 +179,8 @@ def _set_bits(bits: int):
     return run
 
 
-def _emit(t: float, records: int, target: int, shared, bits: int):
-    """mapInArrow: sig, rid, n, b0, b1, found for the signatures that the filter holds."""
+def _emit(t: float, records: int, target: int, shared, bits: int, *more: str):
+    """mapInArrow: sig, rid, n, b0, b1, found and ``more`` columns for the signatures that the filter holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -188,8 +188,8 @@ def _emit(t: float, records: int, target: int, shared, bits: int):
             rec, sig, found, _ = tokens.signatures()
             at = _bit(sig, bits)
             hit = np.flatnonzero((known[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-            rows = b.select(["rid", "n", "b0", "b1"]).take(pa.array(rec[hit]))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[hit].view(np.int64)), *rows.columns, pa.array(found[hit])], names=["sig", "rid", "n", "b0", "b1", "found"])
+            rows = b.select(["rid", "n", "b0", "b1", *more]).take(pa.array(rec[hit]))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[hit].view(np.int64)), *rows.columns[:4], pa.array(found[hit]), *rows.columns[4:]], names=["sig", "rid", "n", "b0", "b1", "found", *more])
 
     return run
 
@@ -261,24 +261,20 @@ def near_links(texts: DataFrame, t: float, *, target: int = LIST, hot: int = HOT
     shared[np.asarray(got.column("at").combine_chunks())] = np.asarray(got.column("bits").combine_chunks()).view(np.uint64)
     release(several)
     known = full.sparkSession.sparkContext.broadcast(shared)
-    sigs = cut(full.mapInArrow(_emit(t, records, target, known, bits), "sig long, rid binary, n int, b0 long, b1 long, found boolean"))
+    narrow = "sig long, rid binary, n int, b0 long, b1 long, found boolean"
+    sigs = cut(full.mapInArrow(_emit(t, records, target, known, bits), narrow))
     lead = sigs.where("found").groupBy("sig").agg(F.min(F.struct(F.col("n").alias("n2"), F.col("rid").alias("rid2"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))).alias("m")).select("sig", "m.*")
     smaller = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("rid") > F.col("rid2")))
     star = sigs.join(lead, "sig").where(smaller & joins.within(t)).select("rid", "rid2").distinct()
     star = cut(_verified(star, texts, t))
-    cls = star.groupBy("rid").agg(F.min("rid2").alias("cls"))
-    sigs2 = sigs.join(cls, "rid", "left").withColumn("cls", F.coalesce("cls", "rid"))
-    sigs2 = cut(sigs2.select("sig", "rid", "n", "b0", "b1", "found", "cls"))
     release(sigs)
-    mixed = sigs2.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.sum(F.col("found").cast("int")).alias("k")).where("lo <> hi AND k > 0")
-    mixed, size = cut_counting(mixed.select("sig", "k"), hot=F.sum((F.col("k") > hot).cast("int")))
-    rest = sigs2.join(mixed.where(F.col("k") <= hot), "sig", "left_semi")
-    if size["hot"]:
-        wide = sigs2.join(mixed.where(F.col("k") > hot), "sig", "left_semi").join(full.select("rid", "df", "item"), "rid")
-        more = wide.select("sig", "rid", "n", "b0", "b1", "found", "cls", "df", "item").mapInArrow(_extend(t, records, target), "sig long, rid binary, n int, b0 long, b1 long, found boolean, cls binary")
-        rest = rest.unionByName(more)
-    rest = cut(rest)
-    release(sigs2, mixed, full)
+    cls = star.groupBy("rid").agg(F.min("rid2").alias("cls"))
+    own = full.join(cls, "rid", "left").withColumn("cls", F.coalesce("cls", "rid"))
+    sigs = own.mapInArrow(_emit(t, records, target, known, bits, "cls"), f"{narrow}, cls binary")
+    mixed = sigs.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.sum(F.col("found").cast("int")).alias("k")).where("lo <> hi AND k > 0")
+    rest = cut(sigs.join(mixed.select("sig", "k"), "sig"))
+    wide = rest.where(F.col("k") > hot).join(full.select("rid", "df", "item"), "rid").select(*rest.columns[:-1], "df", "item")
+    rest = rest.where(F.col("k") <= hot).drop("k").unionByName(wide.mapInArrow(_extend(t, records, target), f"{narrow}, cls binary"))
     has = rest.where("found").select("sig", F.col("rid").alias("rid2"), F.col("n").alias("n2"), F.col("b0").alias("c0"), F.col("b1").alias("c1"), F.col("cls").alias("cls2"))
     cand = rest.drop("found").join(has, "sig").where(smaller & (F.col("cls") != F.col("cls2")) & joins.within(t)).select("rid", "rid2").distinct()
     return star.unionByName(_verified(cand, texts, t))
