@@ -4,104 +4,119 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beliefloom.llm import joins
-from beliefloom.session import cut
-
-#: Chunk cuts: a word ends a chunk if its rolling hash is 0 modulo DIVISOR; chunks have 2 to 8 words.
-DIVISOR, LEAST, MOST = 3, 2, 8
-#: Cut rules: a positive seed cuts the words as they stand, a negative one the distinct words in the order of their
-#: hashes, a normal form that does not change when parts of a text are moved.
-SEEDS = (1, -2, -3)
-#: A pair must share chunks of at least this part of the longer record's words to become a candidate.
-OVERLAP = 0.1
-_MASK = (1 << 64) - 1
-
-
-def chunk_digests(hashes: Sequence[int], seed: int) -> list[tuple[int, int]]:
-    """(digest, words) of each chunk of a record, given its words' 64-bit hashes."""
-    out = []
-    roll, n = seed, 0
-    for h in hashes:
-        roll = ((roll ^ (h & _MASK)) * 0x100000001B3 + 0x9E3779B97F4A7C15) & _MASK
-        n += 1
-        edge = ((((h ^ seed) & _MASK) * 0xD6E8FEB86659FD93) & _MASK) >> 32
-        if (n >= LEAST and edge % DIVISOR == 0) or n >= MOST:
-            out.append((roll, n))
-            roll, n = seed, 0
-    if n:
-        out.append((roll, n))
-    return [(r - (1 << 64) if r >> 63 else r, n) for r, n in out]
-
-
-def _chunks(seeds: Sequence[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rid, item, w, cut_no = [], [], [], []
-            for r, h in zip(b.column("rid").to_pylist(), b.column("h").to_pylist()):
-                for s in seeds:
-                    for d, n in dict(chunk_digests(h if s > 0 else sorted(set(h)), abs(s))).items():
-                        rid.append(r)
-                        item.append(d)
-                        w.append(n)
-                        cut_no.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.binary()), pa.array(item, pa.int64()), pa.array(w, pa.int32()), pa.array(cut_no, pa.int32())], names=["rid", "item", "w", "cut"])
-
-    return run
-
-
-def cross_split_pairs(evals: DataFrame, train: DataFrame, t: float = 0.8, *, seeds: Sequence[int] = SEEDS, overlap: float = OVERLAP) -> DataFrame:
+from beliefloom.session import cut, release
+
+#: Words that the rolling hash sees; a chunk ends where it is 0 modulo DIVISOR.
+WINDOW, DIVISOR = 2, 3
+#: A pair that shares chunks of at least this part of the longer record's words meets by chunks, any other by single words.
+OVERLAP = 0.5
+_P = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def rolling(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The rolling (cyclic) hash of the last WINDOW words at each word of records that stand one after another."""
+    base = _mix(h * _P)
+    place = np.arange(len(h)) - np.repeat(off[:-1], off[1:] - off[:-1])
+    out = base.copy()
+    for k in range(1, WINDOW):
+        out[k:] ^= np.where(place[k:] >= k, _turn(base[:-k], k), np.uint64(0))
+    return out
+
+
+def chunk_digests(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, digest, words) of each chunk of records given as 64-bit hashes of their words, one record after another.
+
+    A chunk ends with the record or where the rolling hash says so, so an edit changes the chunks about it and no others.
+    """
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    edge = _mix(rolling(h, off)) % np.uint64(DIVISOR) == 0
+    edge[off[1:][off[1:] > off[:-1]] - 1] = True
+    start = np.concatenate([[0], np.flatnonzero(edge)[:-1] + 1])
+    n = np.diff(np.append(start, len(h)))
+    place = np.arange(len(h)) - np.repeat(start, n)
+    digest = np.add.reduceat(_mix((h ^ _turn(h, 17)) * _P + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start)
+    return np.searchsorted(off, start, side="right") - 1, digest, n.astype(np.int32)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (rid, lo, hi, h): a row for each different chunk of a record."""
+    for b in batches:
+        h = b.column("h")
+        off = np.asarray(h.offsets).astype(np.int64)
+        flat = (np.asarray(h.values)[off[0] : off[-1]] if len(h.values) else np.zeros(0, np.int64)).view(np.uint64)
+        rec, digest, n = chunk_digests(flat, off - off[0])
+        order = np.lexsort((digest, rec))
+        rec, digest, n = rec[order], digest[order], n[order]
+        one = np.flatnonzero(np.concatenate([[True], (rec[1:] != rec[:-1]) | (digest[1:] != digest[:-1])])) if len(rec) else np.zeros(0, np.int64)
+        rows = b.select(["rid", "lo", "hi"]).take(pa.array(rec[one]))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(digest[one].view(np.int64)), pa.array(n[one])], names=["rid", "lo", "hi", "item", "w"])
+
+
+def cross_split_pairs(evals: DataFrame, train: DataFrame, t: float = 0.8, *, overlap: float = OVERLAP) -> DataFrame:
     """``rid, rid2, likeness, overlap``: distinct texts of evals (rid) and train (rid2) with a likeness of at least t.
 
-    Both inputs have rid (digest of the words) and words.  ``overlap`` is the length of shared chunks over the longer
-    record's length, over all cuts.
+    Both inputs have rid (digest of the words) and words.  ``overlap`` is the length of the chunks that both share over
+    the longer record's length.
 
-    Method: each record is normalised and cut where a rolling hash of its words says so, under each of the rules in
-    ``seeds``, and its chunks are known by digest.  A pair shares at least the part ``overlap`` only if it shares one of either record's
-    rarest chunks, those left when the most frequent ones of less than that part are set aside; only these are joined.
+    Method: each record is normalised to its words and cut into chunks where a rolling hash says so; chunks are known by
+    digest.  Digests that only one side holds are left out; of a record's others, those that most pairs of records would
+    meet in are set aside as long as they make less than the part ``overlap``, and the rest is joined across the sides.
+    Pairs whose shared chunks may be shorter than that meet at the finest grain, where each word is a chunk of its own:
+    as like records share at least the part t of their words, words of less than that part may be set aside without
+    losing any, so the result is exact.  A record with fewer words that the other side has is dropped at once.
     Candidates are narrowed by size and a 128-bit bitmap (exact bounds) and verified on the words.
     """
-    both = cut(evals.select("rid", "words", F.lit(0).alias("side")).unionByName(train.select("rid", "words", F.lit(1).alias("side"))))
+    both = evals.select("rid", "words", F.lit(0).alias("side")).unionByName(train.select("rid", "words", F.lit(1).alias("side")))
     texts = both.groupBy("rid").agg(F.first("words").alias("words"), F.min("side").alias("lo"), F.max("side").alias("hi"))
     texts = cut(texts.withColumn("h", joins.hashes()))
-    items = cut(texts.select("rid", "h").mapInArrow(_chunks(seeds), "rid binary, item long, w int, cut int"))
-    df = items.groupBy("item").agg(F.count("*").alias("df"))
-    # One exchange by record serves the grouping by (record, cut) and the join with the record's size and bitmap.
-    row = items.join(df, "item").repartition("rid").groupBy("rid", "cut").agg(F.array_sort(F.collect_list(F.struct("df", "item", "w"))).alias("its"))
-    whole = F.aggregate("its", F.lit(0), lambda a, x: a + x["w"])
-    # From the most frequent chunk on: how many may be set aside before they reach the part that may not.
+    chunks = cut(texts.select("rid", "lo", "hi", "h").mapInArrow(_chunks, "rid binary, lo int, hi int, item long, w int"))
+    s = F.array_distinct("h")
+    wide = texts.select("rid", F.size("words").alias("long"), F.size(s).alias("n"), *joins.bitmap(s))
+    singles = texts.select("rid", "lo", "hi", F.explode(s).alias("item"), F.lit(1).alias("w"))
+    items = chunks.withColumn("grain", F.lit(1)).unionByName(singles.withColumn("grain", F.lit(0)))
+    on = lambda side: F.sum(F.when(F.col("lo" if side == 0 else "hi") == side, 1).otherwise(0))
+    cost = items.groupBy("grain", "item").agg((on(0) * on(1)).alias("cost")).where("cost > 0")
+    row = items.join(cost, ["grain", "item"]).groupBy("rid", "grain").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(F.collect_list(F.struct("cost", "item", "w"))).alias("its"))
+    row = row.join(wide, "rid")
+    # From the dearest on: how many may be set aside before they reach the part that may not.
+    most = F.when(F.col("grain") == 1, F.col("long") * overlap).otherwise(F.ceil(F.col("n") * t - 1e-9))
     aside = F.aggregate(
         F.reverse("its"), F.struct(F.lit(0).alias("cum"), F.lit(0).alias("k")),
         lambda a, x: F.struct((a["cum"] + x["w"]).alias("cum"), F.when(a["cum"] + x["w"] < F.col("most"), a["k"] + 1).otherwise(a["k"]).alias("k")),
     )["k"]
-    # The bitmap and size are those of the word set.
-    s = F.array_distinct("h")
-    wide = texts.select("rid", "lo", "hi", F.size(s).alias("n"), *joins.bitmap(s))
-    row = row.withColumn("most", whole * overlap).join(wide, "rid")
-    idx = cut(row.select("rid", "lo", "hi", "n", "b0", "b1", F.explode(F.slice(F.col("its.item"), F.lit(1), F.size("its") - aside)).alias("item")))
-    e = idx.where("lo = 0").select("rid", "item", "n", "b0", "b1")
-    r = idx.where("hi = 1").select(F.col("rid").alias("rid2"), "item", F.col("n").alias("n2"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
-    cand = e.join(r, "item").where(joins.within(t)).select("rid", "rid2").distinct()
+    row = row.withColumn("most", most).where((F.col("grain") == 1) | (F.size("its") >= F.col("most")))
+    left = F.slice(F.col("its.item"), F.lit(1), F.size("its") - aside)
+    idx = cut(row.select("rid", "lo", "hi", "n", "b0", "b1", "grain", F.explode(left).alias("item")))
+    e = idx.where("lo = 0").select("rid", "grain", "item", "n", "b0", "b1")
+    r = idx.where("hi = 1").select(F.col("rid").alias("rid2"), "grain", "item", F.col("n").alias("n2"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
+    cand = e.join(r, ["grain", "item"]).where(joins.within(t)).select("rid", "rid2").distinct()
     w = texts.select("rid", "words")
     pairs = cand.join(w, "rid").join(w.select(F.col("rid").alias("rid2"), F.col("words").alias("words2")), "rid2")
-    like = pairs.select("rid", "rid2", joins.likeness().alias("likeness"), F.greatest(_length("words", seeds), _length("words2", seeds)).alias("long"))
+    like = pairs.select("rid", "rid2", joins.likeness().alias("likeness"), F.greatest(F.size("words"), F.size("words2")).alias("long"))
     like = cut(like.where(F.col("likeness") >= t - 1e-12))
-    mine = like.join(items.select("rid", "item", "cut", "w"), "rid")
-    theirs = items.select(F.col("rid").alias("rid2"), "item", "cut")
-    shared = mine.join(theirs, ["rid2", "item", "cut"]).groupBy("rid", "rid2").agg(F.sum("w").alias("shared"))
+    release(idx, texts)
+    mine = like.join(chunks.select("rid", "item", "w"), "rid")
+    shared = mine.join(chunks.select(F.col("rid").alias("rid2"), "item"), ["rid2", "item"]).groupBy("rid", "rid2").agg(F.sum("w").alias("shared"))
     out = like.join(shared, ["rid", "rid2"], "left")
     return out.select("rid", "rid2", "likeness", (F.coalesce("shared", F.lit(0)) / F.col("long")).alias("overlap"))
 
 
-def _length(words: str, seeds: Sequence[int]) -> Column:
-    """The words that a record's chunks hold in all cuts together."""
-    n = sum(s > 0 for s in seeds)
-    return F.size(words) * n + F.size(F.array_distinct(words)) * (len(seeds) - n)
-
-
 def split_overlaps(evals: DataFrame, keys: Sequence[str], train: DataFrame, train_keys: Sequence[str], text: str, t: float = 0.8) -> DataFrame:
     """``keys, train_keys, likeness, overlap``: evaluation rows and training rows whose column ``text`` is the same or nearly so.
 
