@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from http import HTTPStatus
 
 import numpy as np
 import pyarrow as pa
@@ -12,63 +13,56 @@ from pyspark.sql import functions as F
 
 
 ORDERS, BINS = 5, 1 << 17
-#: Characters of a likelihood-ratio window; share of the content that residue must cover; least characters of residue.
-WINDOW, COVERAGE, LEAST = 21, 0.55, 6
+#: Characters of a likelihood-ratio window; share of the content that residue must cover; least characters of content.
+WINDOW, COVERAGE, LEAST = 21, 0.55, 8
+#: By how much the log likelihood of residue must exceed that of prose in a window.
+MARGIN = 2.0
+#: Characters of a window for fields, and by how much the log likelihood of a field must exceed that of prose in it.
+FIELD_WINDOW, FIELD_RATIO = 7, 0.0
 CLASSES = ("natural", "filler", "notice")
+FIELD = 3
 
-# Seed texts that the models of filler, error notices and natural prose start from.
+# Seed texts that the models of filler, error notices and natural prose start from; what documents say besides
+# is learned from all of them (see fit).
 FILLER = """
 Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
 Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
 Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
 Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
-Lorem ipsum sit velit amet adipiscing elit. Elit pariatur ipsum lorem ipsum magna tempor. Nulla nostrud irure elit labore fugiat sed.
-Velit ipsum sit consectetur elit minim adipiscing. Fugiat officia consectetur sed elit aliqua culpa quis veniam commodo.
-Your content goes here. Headline goes here. Text goes here. Title goes here. Subtitle goes here. Description goes here.
-This is dummy copy. This is dummy text. This is placeholder text. This is sample text. This is filler text. Dummy text only.
-Placeholder paragraph, to be written later. Placeholder text. Sample text for layout purposes only. Filler for layout only.
-Insert two or three sentences about this topic. Insert your text here. Add your text here. Write something here.
-Type the body of the article here. Enter your text here. Type your text here. Replace this paragraph with your own words.
-Replace this text before publication. To be replaced before publishing. Content to follow. Text to be supplied. Copy to come.
-blah blah blah. blah blah. Text text text text. test test test. asdf asdf jkl asdf. asdf jkl qwerty qwertz. foo bar baz. xxx xxx xxx.
-Hier steht später ein richtiger Text. Blindtext. Dies ist ein Blindtext. Hier kommt Ihr Text hin. Platzhaltertext. Mustertext. Beispieltext.
-Texte d'exemple, à remplacer avant publication. Votre texte ici. Texte à venir. Faux texte. Insérez votre texte ici.
-Aquí va el texto de ejemplo. Texto de ejemplo. Su texto aquí. Texto de relleno. Escriba aquí su texto. Texto provisional.
+Your text goes here. Enter some text here. Add a short description of the product here. Write a few words about yourself here.
+This is a sample paragraph used only to fill the layout. This is placeholder text for the design. It will be replaced by real content.
+Replace this with your own content. Replace this paragraph before going live. Final copy to be written. Real text to come later.
+Content coming soon. Text to follow. Copy to be supplied. Body text goes in this space. Type the main message here. Headline goes here.
+Dummy text. Sample text only. Filler text. Just some example words so that the column looks full. Insert a paragraph about the topic.
+blah blah blah blah. bla bla bla. test test test test. text text text. xxx xxx xxx. foo bar baz qux. asdf asdf asdf jkl. qwerty qwerty. abc abc abc. word word word.
+Hier steht ein Beispieltext. Dies ist nur ein Blindtext. Platzhalter für Ihren Text. Hier folgt später der eigentliche Inhalt. Fügen Sie hier Ihren Text ein.
+Ceci est un texte d'exemple. Ajoutez votre texte ici. Texte de remplacement, à modifier plus tard. Le contenu définitif suivra.
+Este es un texto de ejemplo. Escriba su texto aquí. Texto de relleno que se cambiará más tarde. El contenido final vendrá después.
 """
 NOTICE = """
-Page not found. 404 Not Found. Error 404: Not Found. Not Found (404). The page you asked for does not exist. This page could not be found.
-The requested URL was not found on this server. The URL may be mistyped or the page may have moved. HTTP 404. HTTP 500. HTTP 503.
-Internal Server Error (500). 500 Internal Server Error. The server encountered an unexpected condition and could not complete the request.
-503 Service Unavailable. The service is temporarily unavailable. Please try again later. Try again in a few minutes. Slow down and retry in 30 seconds.
-Error 502: Bad Gateway. Bad Gateway. Gateway Timeout (504). 504 Gateway Timeout. upstream prematurely closed the connection. upstream timed out.
-403 Forbidden. 401 Unauthorized. 429 Too Many Requests. Too Many Requests. 400 Bad Request. Unauthorized. Request Timeout (408). 410 Gone.
-Access denied. You do not have permission to view this resource. Request blocked. Reference #18. You have reached your limit of free pages.
-Sorry, that link is broken. This link is broken. This article is no longer available at this address. We can't find the page you're looking for. We could not find that page. Nothing here.
-The archive is down for maintenance. Back in 10 minutes. The site is down for maintenance. Back soon. We will be back shortly. Gateway timeout while contacting host.invalid. Could not resolve host: example.invalid. Unknown host.
-Traceback (most recent call last): File "app.py", line 0, in page. KeyError: '0'. TypeError: 'NoneType' object is not callable. ValueError: invalid literal. File "render.py", line 0, in render. AttributeError.
-java.lang.NullPointerException at page.Render(0). Exception in thread "main" java.lang.IllegalStateException at page.View(0). Fatal error: Uncaught Error. Segmentation fault. Stack trace. HTTP Status 504 – Gateway Timeout. HTTP Status 500 – Internal Server Error.
-Timestamp 0, node example.invalid. Timestamp 0, node host.invalid. Timestamp 0, node server.invalid. Incident has been logged. Reference: 0-0. Request id: 0. Timestamp 0, node gate.invalid. Error code: 0. Ray ID: 0. Trace id 0.
-Database connection failed: timeout after 30 ms. Error establishing a database connection. Your session has expired. Please sign in again. Session expired.
-Something went wrong. Oops, something went wrong. Oops! Something went wrong on our end. An error occurred while processing your request. An unexpected error occurred. We are sorry.
-Return to the previous page. If the problem persists, contact the administrator. Please contact the site administrator. Reload the page.
-Your request could not be processed. The request could not be completed. This site is down for maintenance. Temporarily down for maintenance. Connection refused. Connection timed out.
-{"error": {"code": 0, "message": "Forbidden"}} {"error": {"code": 0, "message": "Service Unavailable"}} {"status": 0, "error": "Not Found"}
-{"error": {"code": 0, "message": "Internal Server Error"}} {"error": {"code": 0, "message": "Too Many Requests"}} {"message": "Bad Gateway"} "Unauthorized" "Gateway Timeout"
-<html><head><title>0 Too Many Requests</title></head><body><h1>Too Many Requests</h1><hr>gate/0</body></html> <h1>Not Found</h1> <h1>Bad Gateway</h1> <hr>nginx</body></html>
-<html><head><title>0 Service Unavailable</title></head><body><h1>Service Unavailable</h1><hr>gate/0</body></html> <title>Internal Server Error</title> <title>Forbidden</title>
-Seite nicht gefunden (Fehler 404). Die angeforderte Seite wurde nicht gefunden. Die Anfrage konnte nicht bearbeitet werden. Bitte versuchen Sie es später erneut. Zugriff verweigert. Interner Serverfehler. Dienst nicht verfügbar.
-Erreur 500 : service indisponible. Page introuvable. Vérifiez l'adresse saisie. Veuillez réessayer plus tard. Accès refusé. La page demandée n'existe pas. Une erreur est survenue. Erreur 404 : page introuvable.
-No se encontró la página (404). Página no encontrada. Acceso denegado. Error interno del servidor. Inténtelo más tarde. Inténtelo de nuevo más tarde. Servicio no disponible. Se ha producido un error.
-Please enable JavaScript to continue. Please enable JavaScript in your browser and reload. Please turn on Javascript before you proceed. Please allow scripts to load the claim viewer.
-Please activate scripts to load this page. Please switch on scripting to continue. You need to activate scripts in your browser and reload. You need to enable JavaScript to run this app.
-JavaScript must be turned on to run this app. JavaScript is disabled. Some features will not work until it is switched on. Scripting is disabled. Scripts are disabled. Some features will not work until they are switched on. JavaScript is disabled in your browser. JavaScript is required to view this page. This site requires Javascript. This page needs client-side scripts.
-Sorry, this page does not work without client-side scripts. Sorry, this page does not work without JavaScript. Please enable client-side scripts in your browser and reload. Please allow JS before you proceed.
-Loading… If nothing appears, enable scripting to continue. Loading… If nothing appears, switch on JavaScript to continue. Loading... If nothing appears, turn on JavaScript to load the claim viewer.
-noscript: nothing can be shown without scripts. noscript: nothing can be shown without scripting. noscript: nothing can be shown without JS. Your browser does not support JavaScript. Checking your browser before accessing.
-Checking your browser. Turn on cookies and JS for this domain. Activate cookies and JavaScript for this domain. Enable cookies and scripts. Allow cookies and scripting to continue.
-Bitte scripts einschalten, um fortzufahren. Bitte aktivieren Sie JavaScript. Für diese Seite muss JS aktiviert sein. Diese Seite benötigt JavaScript. Für diese Seite muss Scripting aktiviert sein.
-Veuillez activer scripting pour afficher le contenu. Veuillez activer JavaScript pour continuer. Ce site ne fonctionne pas sans JavaScript. Ce site ne fonctionne pas sans scripts.
-Active scripting en su navegador para continuar. Active JavaScript en su navegador para continuar. Este sitio requiere JavaScript. Debe activar los scripts para ver esta página. Habilite JavaScript.
+The page you are looking for cannot be found or has been removed. We could not find what you were looking for. There is nothing at this address.
+The link you followed may be out of date. This content has moved or is no longer here. Check the spelling of the address or go back to the start page.
+Sorry, something went wrong on our side. Oops, an unexpected error has occurred. We have been told about it. Please try again later.
+Please wait a few minutes and try again. Try reloading the page. If this keeps happening, contact support and quote the reference number. Error code 0. Request id 0.
+The server is temporarily unable to handle your request because of maintenance or overload. This service is down for scheduled maintenance. We will be back soon.
+The server encountered an error and could not complete your request. The server did not respond in time. Timed out while waiting for the upstream server. Connection to 0 refused.
+You are not allowed to open this page. You do not have permission to access this document. Access denied. Access to this site has been blocked. Your request was blocked for security reasons.
+Your session has ended. Please log in again. You have sent too many requests, slow down. You have used up your free articles. Subscribe to read more.
+The connection to the database could not be established. Database error. Could not connect to host 0. Name or address not known. Cannot resolve the host name.
+Traceback (most recent call last): File "main.py", line 0, in handler raise RuntimeError: bad state. ValueError: not a number. KeyError: 'id'. TypeError: unsupported operand.
+Exception in thread "main" java.lang.RuntimeException: null at Main.run(0). Unhandled exception. Stack trace: at index 0. Fatal error: call to undefined function on line 0. Segmentation fault (core dumped).
+Die gesuchte Seite konnte nicht gefunden werden. Diese Seite gibt es nicht mehr. Es ist ein unerwarteter Fehler aufgetreten. Der Server ist vorübergehend nicht erreichbar. Fehler 0.
+Sie haben keine Berechtigung für diese Seite. Zugriff verweigert. Bitte laden Sie die Seite neu. Ihre Anfrage konnte nicht verarbeitet werden. Versuchen Sie es in einigen Minuten noch einmal.
+La page que vous cherchez est introuvable. Erreur 0. Une erreur inattendue s'est produite. Le serveur ne répond pas, réessayez plus tard. Le service est momentanément indisponible.
+Vous n'êtes pas autorisé à consulter cette page. Accès refusé. Votre demande n'a pas pu être traitée. Rechargez la page ou vérifiez l'adresse.
+La página que busca no existe o ha sido eliminada. Error 0. Se produjo un error inesperado en el servidor. El servicio no está disponible en este momento. Vuelva a intentarlo más tarde.
+No tiene permiso para ver esta página. Acceso denegado. No se pudo procesar su solicitud. Recargue la página o compruebe la dirección.
+To use this website you must enable JavaScript. This application requires JavaScript in order to work. JavaScript is turned off in your browser. JavaScript seems to be disabled or blocked.
+Turn on scripts in your browser settings and refresh the page. You need to allow scripts to view this content. Without JavaScript this page cannot be shown. Please switch on scripting and cookies.
+This site does not work properly without scripts. Please wait while we verify your browser. Please allow cookies and scripts for this site. Scripts and cookies must be enabled. Nothing is displayed unless scripting is enabled. Loading, please wait. Some features are not available while scripting is off.
+Bitte JavaScript im Browser aktivieren, um diese Seite zu nutzen. Diese Anwendung funktioniert nur mit JavaScript. Scripts müssen erlaubt sein, damit der Inhalt angezeigt wird. JavaScript ist ausgeschaltet.
+Activez JavaScript dans votre navigateur pour utiliser ce site. Cette application nécessite JavaScript. Vous devez autoriser les scripts pour voir le contenu. JavaScript est désactivé.
+Para usar este sitio debe habilitar JavaScript en su navegador. Esta aplicación necesita JavaScript. Debe permitir los scripts para ver el contenido. JavaScript está desactivado.
 """
 NATURAL = """
 The committee met on Tuesday and asked the engineer to measure the level again before the end of the month.
@@ -77,8 +71,30 @@ A sample was sent to the laboratory, which found traces of rust and recommended
 The error rate fell by half after the server moved, and the number of requests that were denied fell as well.
 When the gateway was down, the desk kept the last good copy of the page and noted the delay in the log.
 The manual explains how to turn scripts on, why the template has a gap and what the placeholder stands for.
-Der Bericht wurde nach der Prüfung geändert, weil zwei Messwerte fehlten. Le rapport a été modifié après la révision. El informe fue corregido tras la revisión.
+She walked to the station in the rain because the bus had not come, and missed the train by two minutes.
+Most of the houses on the hill were built of brick, with low windows and a garden that ran down to the river.
+He said that prices had risen for the third year, although the harvest was good and the roads were open again.
+In the winter of that year the lake froze early, and the fishermen carried their boats over the ice to the village.
+We compared the two methods on the same data and found that the simpler one was faster but less exact for small values.
+The museum keeps letters, maps and drawings from the first voyage; few of them have been shown to visitors so far.
+Nobody knew who had opened the box, when it was moved from the cellar, or whether the key had been copied before.
+According to the paper, the council will decide next week if the old bridge is repaired or replaced by a tunnel.
+They had planned to leave at noon, but one of the engines would not start and the captain sent for another part.
+It is cheaper to store the grain dry than to cool it, which is why the farms here dry it as soon as it is cut.
+The teacher read the story aloud and then asked the children what they thought the old man wanted to say with it.
+After a long talk the two sides agreed on a lower fee, a later date and a clause that lets either of them withdraw.
+You can see the tower from the coast on a clear day, yet hardly anyone climbs it since the path was washed away.
+There were more birds than last summer, according to the warden, and most of the nests on the island had eggs in them.
+Der Bericht wurde nach der Prüfung geändert, weil zwei Messwerte fehlten. Die Stadt hat das Haus gekauft und will es im nächsten Jahr als Schule nutzen.
+Am Abend gingen sie noch einmal zum Hafen, sahen den Schiffen zu und sprachen über die Reise, die am Morgen beginnen sollte.
+Le rapport a été modifié après la révision. La ville a acheté la maison et veut en faire une école dès l'année prochaine, selon le maire.
+Le soir, ils sont retournés au port pour regarder les bateaux et parler du voyage qui devait commencer le lendemain matin.
+El informe fue corregido tras la revisión. La ciudad compró la casa y quiere usarla como escuela a partir del próximo año, según el alcalde.
+Por la tarde volvieron al puerto para mirar los barcos y hablar del viaje que debía empezar a la mañana siguiente.
 """
+#: Names of the fields of templates, and how templates mark a field.
+FIELD_NAMES = "name first_name last-name user email company title subject headline date time city address phone amount price number order.id link url text body author writer topic value item code region label"
+FIELD_MARKS = "{{ x }} {{x}} {{{x}}} {{#x}} {{x|default}} {%x%} {%-x-%} ${x} #{x} <%=x%> %(x)s %%x%% @@x@@ [[x]] <<x>> $x$ __x__ {x} <x> {0} %s %d [insert/x] [your/x] [x/tbd] [tbd] [x/name] (fill/in/x) <insert/x>"
 #: Lines of navigation and footers, which are no content.
 FURNITURE = re.compile(
     r"^(©|\(c\)|copyright\b|powered by\b|skip to\b|share this\b|back to (the )?(start|top|home)\b|all rights reserved"
@@ -103,15 +119,20 @@ _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]|«[^»\n]{1,200}»")
 
 
-def unfilled(text: str) -> list[str]:
-    """Placeholders that stand where a value belongs: not in code, quotation marks or quoted lines."""
-    if not any(c in text for c in "{}<>[]%@$_("):
+def _fields(text: str) -> list[tuple[int, str]]:
+    """(line, field) of the marked fields that stand where a value belongs: not in code, quotation marks or quoted lines."""
+    if not any(c in text for c in _MARKS):
         return []
-    t = _QUOTED.sub(" ", _CODE.sub(" ", text))
-    t = "\n".join(x for x in t.splitlines() if not x.lstrip().startswith(">"))
-    return [m for m in PLACEHOLDER.findall(t) if not (m[0] == "<" and f"</{m[1:]}" in text)]
+    t = _QUOTED.sub(" ", _CODE.sub(lambda m: "\n" * m.group().count("\n"), text.replace("\r", "")))
+    found = [(i, m) for i, x in enumerate(t.split("\n")) if not x.lstrip().startswith(">") for m in PLACEHOLDER.findall(x)]
+    return [(i, m) for i, m in found if not (m[0] == "<" and f"</{m[1:]}" in text)]
+
 
+def unfilled(text: str) -> list[str]:
+    return [m for _, m in _fields(text)]
 
+
+_MARKS = "{}<>[]%@$_("
 _IDS = re.compile(r"\b(?:(?=\w*\d)[\w#.\-]*\w|\w[\w\-]*(?:\.\w[\w\-]*)+)\b")
 
 
@@ -137,27 +158,38 @@ _GAP = "\n" * (ORDERS - 1)
 
 
 class Lines:
-    """The content lines of some texts: without headings, navigation and footers, in normal form.
+    """The lines of some texts in normal form.
 
-    doubt: the lines that are content only if they are a notice.
+    raw: characters of a line as it stands; furniture: headings, navigation and footers, which are no content; doubt: lines that are content only if they are a
+    notice; marked: lines that hold a character with which a field may begin.
     """
 
     def __init__(self, texts: Sequence[str | None]):
         self.lines: list[str] = []
-        doc: list[int] = []
+        doc, row, furniture, raw = [], [], [], []
         for i, t in enumerate(texts):
-            for x in (t or "").splitlines():
-                x = normal(x).strip()
-                if x and not FURNITURE.search(x):
+            for k, line in enumerate((t or "").replace("\r", "").split("\n")):
+                x = normal(line).strip()
+                if x:
                     self.lines.append(x)
+                    raw.append(len(line.strip()))
                     doc.append(i)
-        self.doc = np.array(doc, np.int64)
+                    row.append(k)
+                    furniture.append(bool(FURNITURE.search(x)))
+        self.doc, self.row, self.raw, self.furniture = np.array(doc, np.int64), np.array(row, np.int64), np.array(raw, np.int64), np.array(furniture, bool)
         self.doubt = np.array([bool(DOUBTFUL.search(x)) for x in self.lines], bool)
+        self.marked = np.array([any(c in x for c in _MARKS) for x in self.lines], bool)
         self.size = np.array([len(x) for x in self.lines], np.int64)
         self.whole = _GAP + _GAP.join(self.lines)
         self.start = len(_GAP) + np.concatenate([[0], np.cumsum(self.size[:-1] + len(_GAP))]) if self.lines else np.zeros(0, np.int64)
 
 
+def spread(size: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, place) of every character of lines of these sizes and starts."""
+    line = np.repeat(np.arange(len(size)), size)
+    return line, np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size) + start[line]
+
+
 def blocks(texts: Sequence[str | None], most: int = 1 << 16) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``most`` characters together (one text may have more)."""
     lo = chars = 0
@@ -182,105 +214,184 @@ _ALNUM = np.array([chr(i).isalnum() for i in range(0x10000)])
 
 
 class Model:
-    """Interpolated character n-gram models of the classes, over hashed counts."""
+    """Interpolated character n-gram models of the classes and of template fields, over hashed counts."""
 
     def __init__(self, counts: Sequence[np.ndarray]):
         self.counts = [c.astype(np.float32) for c in counts]
         self.total = [max(float(c[0].sum()), 1.0) for c in counts]
 
-    def log(self, text: str) -> np.ndarray:
+    def log(self, text: str, classes: Sequence[int] = (0, 1, 2)) -> np.ndarray:
         """(classes, characters): log probability of each character after those before it."""
         bins = _bins(text)
-        out = np.empty((len(self.counts), len(text)), np.float32)
-        for k, (c, total) in enumerate(zip(self.counts, self.total)):
+        out = np.empty((len(classes), len(text)), np.float32)
+        for row, k in enumerate(classes):
+            c, total = self.counts[k], self.total[k]
             seen = c[0][bins[0]]
             p = (seen + np.float32(0.5)) / np.float32(total + 100)
             for n in range(1, ORDERS):
                 hit = c[n][bins[n]]
                 before = np.empty_like(seen)
                 before[0], before[1:] = 0, seen[:-1]
-                p = (hit + 2 * p) / (np.maximum(before, hit) + 2)
+                before = np.maximum(before, hit)
+                # What a context leaves for unseen characters shrinks as the root of its count, so that a model of much
+                # text does not rule out new words that one of little text would let pass.
+                rest = 2 * np.sqrt(before + 1)
+                p = (hit + rest * p) / (before + rest)
                 seen = hit
-            np.log(p, out=out[k])
+            np.log(p, out=out[row])
+        return out
+
+    def sums(self, ln: Lines) -> np.ndarray:
+        """(classes, characters + 1): running sums of the log probabilities of all lines."""
+        out = np.zeros((len(CLASSES), len(ln.whole) + 1))
+        np.cumsum(self.log(ln.whole), axis=1, dtype=np.float64, out=out[:, 1:])
         return out
 
-    def coverage(self, texts: Sequence[str | None]) -> np.ndarray:
-        """(texts, classes): letters of natural prose, filler and notices in the content of each text."""
-        out = np.zeros((len(texts), len(CLASSES)), np.int64)
+    def field_lines(self, ln: Lines, natural: np.ndarray) -> np.ndarray:
+        """Numbers of the lines with a window in which a field is likelier than prose; natural: its running sums."""
+        at = np.flatnonzero(ln.marked)
+        if not len(at):
+            return at
+        size = ln.size[at]
+        start = len(_GAP) + np.cumsum(size + len(_GAP)) - size - len(_GAP)
+        own = np.concatenate([[0], np.cumsum(self.log(_GAP + _GAP.join(ln.lines[i] for i in at), (FIELD,))[0], dtype=np.float64)])
+        line, place = spread(size, start)
+        a = np.maximum(place - FIELD_WINDOW // 2, start[line])
+        e = np.minimum(place + FIELD_WINDOW // 2 + 1, (start + size)[line])
+        there = ln.start[at][line] - start[line]
+        hit = own[e] - own[a] - (natural[e + there] - natural[a + there]) >= FIELD_RATIO
+        return at[np.unique(line[hit])]
+
+    def judge(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, classes): letters of prose, filler and notices in each text; (texts): unfilled fields; characters of content."""
+        out, fields, content = np.zeros((len(texts), len(CLASSES)), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for lo, hi in blocks(texts):
             ln = Lines(texts[lo:hi])
             if not ln.lines:
                 continue
-            sums = np.zeros((len(CLASSES), len(ln.whole) + 1))
-            np.cumsum(self.log(ln.whole), axis=1, dtype=np.float64, out=sums[:, 1:])
-            line = np.repeat(np.arange(len(ln.lines)), ln.size)
-            at = np.arange(len(line)) - np.repeat(np.cumsum(ln.size) - ln.size, ln.size) + ln.start[line]
-            code = np.frombuffer(ln.whole.encode("utf-32-le"), np.uint32)[at]
-            keep = _ALNUM[np.minimum(code, 0xFFFF)] | (code > 0xFFFF)
-            line, at = line[keep], at[keep]
-            a = np.maximum(at - WINDOW // 2, ln.start[line])
-            e = np.minimum(at + WINDOW // 2 + 1, ln.start[line] + ln.size[line])
-            best = np.argmax(sums[:, e] - sums[:, a], axis=0)
-            n = np.bincount(line * 3 + best, minlength=3 * len(ln.lines)).reshape(-1, 3)
-            # A line that is nearly all residue is residue with the names in it.
-            nearly = n[:, 1] + n[:, 2] >= 0.8 * n.sum(axis=1)
-            more = np.where(nearly, n[:, 0], 0)
-            filler = n[:, 1] >= n[:, 2]
-            n[:, 0] -= more
-            n[:, 1] += np.where(filler, more, 0)
-            n[:, 2] += np.where(filler, 0, more)
-            n[ln.doubt & ~(nearly & ~filler)] = 0
+            sums = self.sums(ln)
+            likely: dict[int, set[int]] = {}
+            for i in self.field_lines(ln, sums[0]):
+                likely.setdefault(int(ln.doc[i]), set()).add(int(ln.row[i]))
+            for doc, rows in likely.items():
+                fields[lo + doc] = sum(row in rows for row, _ in _fields(texts[lo + doc] or ""))
+            n = self.letters(ln, sums)
             np.add.at(out, lo + ln.doc, n)
-        return out
-
+            np.add.at(content, lo + ln.doc, np.where(n.any(axis=1), ln.raw, 0))
+        return out, fields, content
+
+    def letters(self, ln: Lines, sums: np.ndarray) -> np.ndarray:
+        """(lines, classes): letters of each class in the lines that are content."""
+        line, at = spread(ln.size, ln.start)
+        code = np.frombuffer(ln.whole.encode("utf-32-le"), np.uint32)[at]
+        keep = _ALNUM[np.minimum(code, 0xFFFF)] | (code > 0xFFFF)
+        line, at = line[keep], at[keep]
+        a = np.maximum(at - WINDOW // 2, ln.start[line])
+        e = np.minimum(at + WINDOW // 2 + 1, ln.start[line] + ln.size[line])
+        best = np.argmax(sums[:, e] - sums[:, a] + np.array([[MARGIN], [0], [0]]), axis=0)
+        n = np.bincount(line * 3 + best, minlength=3 * len(ln.lines)).reshape(-1, 3)
+        # A line that is nearly all residue is residue with the names in it.
+        nearly = n[:, 1] + n[:, 2] >= 0.8 * n.sum(axis=1)
+        more = np.where(nearly, n[:, 0], 0)
+        filler = n[:, 1] >= n[:, 2]
+        n[:, 0] -= more
+        n[:, 1] += np.where(filler, more, 0)
+        n[:, 2] += np.where(filler, 0, more)
+        n[ln.furniture | (ln.doubt & ~(nearly & ~filler))] = 0
+        return n
+
+
+def _seed(lines: Sequence[str]) -> np.ndarray:
+    return gram_counts([normal(x).strip() for x in lines if x.strip()])
+
+
+def _status_lines() -> list[str]:
+    """Error notices as servers word them, for every status that HTTP defines."""
+    out = []
+    for s in (s for s in HTTPStatus if s >= 400):
+        out += [f"{s.value} {s.phrase}", f"Error {s.value}: {s.phrase}.", f"HTTP Status {s.value} – {s.phrase}.", f"{s.phrase} ({s.value}).", f"{s.phrase}. {s.description}."]
+        out += [f'{{"error": {{"code": {s.value}, "message": "{s.phrase}"}}}}', f"<html><head><title>{s.value} {s.phrase}</title></head><body><h1>{s.phrase}</h1><hr></body></html>"]
+    return out
 
-def _seed(text: str) -> np.ndarray:
-    return gram_counts([normal(x).strip() for x in text.splitlines() if x.strip()])
 
+def _field_seeds() -> list[str]:
+    """Every mark around every name, set in text."""
+    marks = [m.replace("/", " ") for m in FIELD_MARKS.split()]
+    return [f" {m.replace('x', n) if 'x' in m else m}{end}" for m in marks for n in FIELD_NAMES.split() for end in (" ", ",", ".")]
 
-def seed_model() -> Model:
-    return Model([_seed(NATURAL), _seed(FILLER), _seed(NOTICE)])
 
+def seed_counts() -> list[np.ndarray]:
+    return [_seed(NATURAL.splitlines()), _seed(FILLER.splitlines()), _seed(NOTICE.splitlines() + _status_lines()), _seed(_field_seeds())]
 
-def _count_natural(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the n-grams in all lines that the seed models do not take for residue."""
-    seeds = seed_model()
-    total = np.zeros((ORDERS, BINS), np.float64)
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        for lo, hi in blocks(texts):
-            ln = Lines(texts[lo:hi])
-            if not ln.lines:
-                continue
-            sums = np.zeros((len(CLASSES), len(ln.whole) + 1))
-            np.cumsum(seeds.log(ln.whole), axis=1, dtype=np.float64, out=sums[:, 1:])
-            s = sums[:, ln.start + ln.size] - sums[:, ln.start]
-            sure = np.maximum(s[1], s[2]) - s[0] >= SURE * ln.size
-            sure |= ln.doubt
-            total += gram_counts([x for x, bad in zip(ln.lines, sure) if not bad])
-    n, i = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array((n * BINS + i).astype(np.int32)), pa.array(total[n, i].astype(np.int64))], names=["bin", "n"])
 
+#: Documents that the models are fitted on, about; characters that the counts of prose and of each kind of residue are scaled to.
+SAMPLE, MASS, LEARNT = 20_000, 1_000_000, 20_000
+#: Log likelihood per character by which residue must beat prose for a line to count as residue when the models are
+#: fitted: first against the seed of prose, then against prose as counted so far.
+SURE = (0.7, 0.4, 0.4)
+#: Share of the letters of a text from which on, when the models are fitted, its other lines count as residue of that kind too.
+MOSTLY = 0.5
 
-#: Characters that the natural counts are scaled down to.
-MASS = 1_000_000
-#: A line whose likelihood under a residue seed beats the natural seed by this much per character is left out of the natural counts.
-SURE = 0.7
 
+def _count(counts: list[np.ndarray], sure: float, learn: bool):
+    """mapInArrow over text: class, bin, n of the n-grams in the lines of prose and, with learn, of residue."""
 
-def fit(docs: DataFrame, text: str) -> Model:
-    """The models: filler and notices from the seeds, natural prose from the seeds and all lines of all documents.
-
-    What comes to the driver is at most ORDERS * BINS counts, whatever the number of documents.  The natural counts are
-    scaled to a mass of MASS characters, so that the smoothing weighs the same at every size of corpus.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(counts)
+        total = np.zeros((len(CLASSES), ORDERS, BINS), np.float64)
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for lo, hi in blocks(texts):
+                ln = Lines(texts[lo:hi])
+                if not ln.lines:
+                    continue
+                sums = m.sums(ln)
+                s = sums[:, ln.start + ln.size] - sums[:, ln.start]
+                best = np.where(s[1] >= s[2], 1, 2)
+                bad = np.maximum(s[1], s[2]) - s[0] >= sure * ln.size
+                empty = {(i, row) for i in np.unique(ln.doc[ln.marked]) for row, _ in _fields(texts[lo + i] or "")}
+                if learn:
+                    n = np.zeros((hi - lo, len(CLASSES)), np.int64)
+                    np.add.at(n, ln.doc, m.letters(ln, sums))
+                    mostly = (n[:, 1] + n[:, 2] >= MOSTLY * n.sum(axis=1)) & (n[:, 1] + n[:, 2] > 0)
+                    best = np.where(mostly[ln.doc], np.where(n[:, 1] >= n[:, 2], 1, 2)[ln.doc], best)
+                    bad |= mostly[ln.doc]
+                skip = ln.doubt | ln.furniture | np.array([(d, r) in empty for d, r in zip(ln.doc, ln.row)], bool)
+                total[0] += gram_counts([x for x, no in zip(ln.lines, bad | skip) if not no])
+                if learn:
+                    for k in (1, 2):
+                        total[k] += gram_counts([x for x, yes in zip(ln.lines, bad & ~skip & (best == k) & (ln.size >= LEAST)) if yes])
+        c, n, i = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array((n * BINS + i).astype(np.int32)), pa.array(total[c, n, i].astype(np.int64))], names=["class", "bin", "n"])
+
+    return run
+
+
+def fit(docs: DataFrame, key: str, text: str, *, sample: int = SAMPLE) -> Model:
+    """The models of prose, filler, notices and fields: from the seeds, and from what the documents say.
+
+    A classifier fitted on a bounded sample: of about ``sample`` documents, chosen by a hash of their keys.  A first pass
+    counts the n-grams of all lines that the seeds do not take for residue as prose; two more count again with the
+    models so far, prose as prose and as residue the lines that clearly are and the others of texts that mostly are.  What comes to the driver is at most
+    three times ORDERS * BINS counts, whatever the number of documents.  Counts are scaled to fixed masses, so that the
+    smoothing weighs the same at every size of corpus.
     """
-    counted = docs.select(F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(_count_natural, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
-    natural = np.zeros(ORDERS * BINS)
-    for r in counted.collect():
-        natural[r[0]] = r[1]
-    natural = natural.reshape(ORDERS, BINS)
-    natural *= min(1.0, MASS / max(natural[0].sum(), 1.0))
-    return Model([natural + _seed(NATURAL), _seed(FILLER), _seed(NOTICE)])
+    n = docs.count()
+    src = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull())
+    if n > sample:
+        src = src.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    src = src.select(F.col(text).alias("text"))
+    seeds = seed_counts()
+    counts = seeds
+    for step, sure in enumerate(SURE):
+        got = src.mapInArrow(_count(counts, sure, step > 0), "class int, bin int, n long").groupBy("class", "bin").agg(F.sum("n").alias("n")).toArrow()
+        new = np.zeros((len(CLASSES), ORDERS * BINS))
+        new[np.asarray(got.column("class").combine_chunks()), np.asarray(got.column("bin").combine_chunks())] = np.asarray(got.column("n").combine_chunks())
+        counts = list(seeds)
+        for k in range(len(CLASSES)):
+            c = new[k].reshape(ORDERS, BINS)
+            counts[k] = seeds[k] + c * min(1.0, (LEARNT if k else MASS) / max(c[0].sum(), 1.0))
+    return Model(counts)
 
 
 def residue(docs: DataFrame, key: str, text: str, *, coverage: float = COVERAGE, model: Model | None = None) -> DataFrame:
@@ -290,26 +401,25 @@ def residue(docs: DataFrame, key: str, text: str, *, coverage: float = COVERAGE,
     navigation and footers apart, filler (kind ``filler``) or error notices and demands to allow scripts (kind
     ``notice``) cover at least ``coverage`` of the letters.  Otherwise kind is null.
 
-    Method: character 5-gram models of natural prose, filler and notices; each character goes to the class with the
-    largest likelihood over the window around it, within its line; a document is excluded by the covered share.
+    Method: character 5-gram models of natural prose, filler, notices and template fields; each character goes to the
+    class with the largest likelihood over the window around it, within its line; a document is excluded by the covered
+    share.  Placeholders are localised by windows in which a field is likelier than prose and then checked exactly: the
+    line must hold a marked field outside code, quotation marks and quoted lines.
     Short lines parted by bars and lines on cookies count only if they are notices.
-    Placeholders are found by their delimiters outside code, quotation marks and quoted lines.
 
     Defined results: null and blank texts are not residue; rows with a null key are left out; of several texts of one
     key each is judged and the key is residue if any is; an empty table gives no rows.  Texts are read whole.
     """
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL")
-    shared = docs.sparkSession.sparkContext.broadcast((model or fit(docs, text)).counts)
+    shared = docs.sparkSession.sparkContext.broadcast((model or fit(docs, key, text)).counts)
     kind = docs.schema[key].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(shared.value)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            holes = np.array([len(unfilled(t or "")) for t in texts], np.int64)
-            n = m.coverage(texts)
+            n, holes, content = m.judge(b.column("text").to_pylist())
             bad = n[:, 1] + n[:, 2]
-            only = (bad >= LEAST) & (bad >= coverage * n.sum(axis=1))
+            only = (content >= LEAST) & (bad > 0) & (bad >= coverage * n.sum(axis=1))
             what = ["placeholder" if h else ("filler" if f >= e else "notice") if o else None for h, o, f, e in zip(holes, only, n[:, 1], n[:, 2])]
             yield pa.RecordBatch.from_arrays(
                 [b.column("key"), pa.array(holes), pa.array(n[:, 0]), pa.array(n[:, 1]), pa.array(n[:, 2]), pa.array(what, pa.string())],

@@ -10,15 +10,20 @@ NAVIGATION = ["Home | About | Contact", "Maps · Reports · Archive", "News ›
 
 @pytest.fixture(scope="module")
 def model():
-    return R.seed_model()
+    return R.Model(R.seed_counts())
 
 
 @pytest.mark.parametrize("text", NOTICES)
 def test_notice(model, text):
-    n = model.coverage([text])[0]
-    assert n[2] >= R.LEAST and n[2] >= R.COVERAGE * n.sum()
+    n, _, content = model.judge([text])
+    assert content[0] >= R.LEAST and n[0, 2] >= R.COVERAGE * n[0].sum() > 0
 
 
 @pytest.mark.parametrize("text", NAVIGATION)
 def test_navigation(model, text):
-    assert not model.coverage([text])[0].any()
+    assert not model.judge([text])[0].any()
+
+
+@pytest.mark.parametrize("text", ["ok", "n/a", "—", " ", "", "\n\n"])
+def test_tiny(model, text):
+    assert model.judge([text])[2][0] < R.LEAST
