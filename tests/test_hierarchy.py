@@ -49,3 +49,22 @@ def test_numeric_ids(spark):
 def test_empty_and_star(spark):
     assert check(spark, []).count() == 0
     check(spark, [(f"k{i}", "hub") for i in range(200)])
+
+
+def test_rounds_grow_with_the_logarithm_of_the_depth(spark, monkeypatch):
+    from beliefloom.operators import hierarchy as H
+
+    steps = []
+    for name in ("cut", "cut_counting", "cut_split"):
+        monkeypatch.setattr(H, name, lambda *a, f=getattr(H, name), **k: steps.append(1) or f(*a, **k))
+    n = 3000
+    t = hierarchy(spark.createDataFrame([(i, i - 1) for i in range(1, n)], "c long, p long"), "c", "p")
+    assert {(r.node, r.root, r.depth) for r in t.collect()} == {(i, 0, i) for i in range(n)}
+    assert len(steps) <= 4 + H.LEVELS + 13
+
+
+def test_other_parents(spark):
+    from beliefloom.operators.hierarchy import other_parents
+
+    links = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), ("b", "x"), (None, "x")], "c string, p string")
+    assert [tuple(r) for r in other_parents(links, "c", "p").collect()] == [("a", "y")]
