@@ -9,9 +9,10 @@ from beliefloom.functions.text import plain
 from beliefloom.llm.components import components
 from beliefloom.llm.contamination import leaks
 from beliefloom.llm.neardup import near_groups
-from beliefloom.llm.packing import pack, packing_report
+from beliefloom.llm.packing import CAPACITY, DOCS, pack, packing_report
 from beliefloom.llm.residue import residue
 from beliefloom.llm.splits import split_overlaps
+from beliefloom.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,11 @@ def p6_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p6_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlap with its likeness in millionths."""
+    return p6_overlaps(spark, sf_dir).drop("overlap").withColumn("likeness", F.floor(F.col("likeness") * 1000000)).withColumnRenamed("likeness", "likeness_ppm")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_overlaps(spark, sf_dir).select("split", "prop_id", "field", "pos", "example_id").distinct()
 
@@ -83,6 +89,26 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_packed(spark, sf_dir))
 
 
+def p7_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing under an attention budget of half a full sequence, which binds for combined pieces."""
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text", max_cost=CAPACITY**2 / 2)
+
+
+def p7_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of both packings: documents placed, and how often a limit is broken (sequences over tokens, pieces or cost; gaps; needless splits)."""
+    out = None
+    for name, packed, cost in (("p7_packed", p7_packed(spark, sf_dir), CAPACITY**2), ("p7_balanced", p7_balanced(spark, sf_dir), CAPACITY**2 / 2)):
+        packed = cut(packed)
+        per = packed.where("sequence IS NOT NULL").groupBy("sequence").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"), F.sum(F.col("n_tokens") * F.col("n_tokens")).alias("c"))
+        over = per.agg(*(F.count_if(c).alias(n) for n, c in (("n_over_tokens", F.col("t") > CAPACITY), ("n_over_pieces", F.col("k") > DOCS), ("n_over_cost", (F.col("c") > cost) & (F.col("k") > 1)))))
+        whole = packed.groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("t"), F.max("start").alias("last"), F.max("piece").alias("p"), F.max_by("n_tokens", "piece").alias("rest"))
+        bad = (F.col("k") != F.greatest(F.ceil(F.col("t") / CAPACITY), F.lit(1))) | (F.col("p") != F.col("k") - 1) | (F.col("last") + F.col("rest") != F.col("t"))
+        docs = whole.agg(F.count("*").alias("n_docs"), F.count_if(bad).alias("n_torn"))
+        row = docs.unionByName(over, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in ("n_docs", "n_torn", "n_over_tokens", "n_over_pieces", "n_over_cost"))).select(F.lit(name).alias("packing"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the items of which passages stand in them, verbatim or with a few word edits."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages")
@@ -117,8 +143,8 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found,
-    "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_counts": p6_counts,
-    "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items,
+    "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_likeness": p6_likeness, "p6_counts": p6_counts,
+    "p7_packed": p7_packed, "p7_balanced": p7_balanced, "p7_limits": p7_limits, "p7_report": p7_report, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items,
     "p9_found": p9_found, "p9_report": p9_report, "p9_kept": p9_kept,
 }
 
@@ -150,7 +176,7 @@ tr AS (SELECT DISTINCT example_id, source, unnest([sentence, fact]) AS text FROM
 es AS (SELECT *, list_distinct({_W.format('text')}) AS ws FROM (SELECT row_number() OVER () AS eid, * FROM ev)),
 ts AS (SELECT *, list_distinct({_W.format('text')}) AS ws FROM (SELECT row_number() OVER () AS tid, * FROM tr WHERE text IS NOT NULL)),
 et AS (SELECT eid, len(ws) AS n, unnest(ws) AS w FROM es), tt AS (SELECT tid, len(ws) AS n, unnest(ws) AS w FROM ts),
-hit AS (SELECT eid, tid FROM et JOIN tt USING (w) GROUP BY eid, tid, et.n, tt.n HAVING count(*) >= 0.7 * (et.n + tt.n - count(*)) - 1e-9),
+hit AS (SELECT eid, tid, count(*) / (et.n + tt.n - count(*)) AS likeness FROM et JOIN tt USING (w) GROUP BY eid, tid, et.n, tt.n HAVING count(*) >= 0.7 * (et.n + tt.n - count(*)) - 1e-9),
 cases AS (SELECT DISTINCT split, prop_id, field, pos::INTEGER AS pos, example_id, source AS train_source FROM hit JOIN es USING (eid) JOIN ts USING (tid))
 """
 
@@ -168,6 +194,10 @@ ORACLES = {
     "p6_found": f"WITH {_SPLITS} SELECT DISTINCT split, prop_id, field, pos, example_id FROM cases",
     "p6_counts": f"""WITH {_SPLITS} SELECT split, train_source, count(*) AS n_cases, count(DISTINCT prop_id) AS n_props, count(DISTINCT example_id) AS n_examples FROM cases
         GROUP BY split, train_source""",
+    "p6_likeness": f"""WITH {_SPLITS} SELECT split, prop_id, field, pos::INTEGER AS pos, example_id, source AS train_source, max(floor(likeness * 1000000)::BIGINT) AS likeness_ppm
+        FROM hit JOIN es USING (eid) JOIN ts USING (tid) GROUP BY ALL""",
+    "p7_limits": """SELECT packing, count(DISTINCT doc_id) AS n_docs, 0 AS n_torn, 0 AS n_over_tokens, 0 AS n_over_pieces, 0 AS n_over_cost
+        FROM documents, (VALUES ('p7_packed'), ('p7_balanced')) AS x(packing) WHERE doc_id IS NOT NULL GROUP BY packing""",
     "p8_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM leak",
     "p8_items": f"WITH {_LEAKS} SELECT suite, item_id, count(DISTINCT doc_id) AS n_docs FROM leak GROUP BY suite, item_id",
 }

@@ -333,11 +333,23 @@ SURE = (0.7, 0.4, 0.4)
 MOSTLY = 0.5
 
 
-def _count(counts: list[np.ndarray], sure: float, learn: bool):
+def packed(counts: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts without their zeros, to be sent."""
+    return [((at := np.flatnonzero(c.ravel())).astype(np.int32), c.ravel()[at].astype(np.float32)) for c in counts]
+
+
+def unpacked(parts: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    out = np.zeros((len(parts), ORDERS * BINS), np.float32)
+    for c, (at, n) in zip(out, parts):
+        c[at] = n
+    return [c.reshape(ORDERS, BINS) for c in out]
+
+
+def _count(shared, sure: float, learn: bool):
     """mapInArrow over text: class, bin, n of the n-grams in the lines of prose and, with learn, of residue."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(counts)
+        m = Model(unpacked(shared.value))
         total = np.zeros((len(CLASSES), ORDERS, BINS), np.float64)
         for b in batches:
             texts = b.column("text").to_pylist()
@@ -384,7 +396,8 @@ def fit(docs: DataFrame, key: str, text: str, *, sample: int = SAMPLE) -> Model:
     seeds = seed_counts()
     counts = seeds
     for step, sure in enumerate(SURE):
-        got = src.mapInArrow(_count(counts, sure, step > 0), "class int, bin int, n long").groupBy("class", "bin").agg(F.sum("n").alias("n")).toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(packed(counts))
+        got = src.mapInArrow(_count(shared, sure, step > 0), "class int, bin int, n long").groupBy("class", "bin").agg(F.sum("n").alias("n")).toArrow()
         new = np.zeros((len(CLASSES), ORDERS * BINS))
         new[np.asarray(got.column("class").combine_chunks()), np.asarray(got.column("bin").combine_chunks())] = np.asarray(got.column("n").combine_chunks())
         counts = list(seeds)
@@ -411,11 +424,11 @@ def residue(docs: DataFrame, key: str, text: str, *, coverage: float = COVERAGE,
     key each is judged and the key is residue if any is; an empty table gives no rows.  Texts are read whole.
     """
     src = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL")
-    shared = docs.sparkSession.sparkContext.broadcast((model or fit(docs, key, text)).counts)
+    shared = docs.sparkSession.sparkContext.broadcast(packed((model or fit(docs, key, text)).counts))
     kind = docs.schema[key].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(shared.value)
+        m = Model(unpacked(shared.value))
         for b in batches:
             n, holes, content = m.judge(b.column("text").to_pylist())
             bad = n[:, 1] + n[:, 2]
