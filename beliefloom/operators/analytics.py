@@ -88,6 +88,12 @@ def override_rate(log: DataFrame) -> DataFrame:
     return r.agg(F.count("*").alias("n"), F.coalesce(hand, F.lit(0)).alias("manual"), (hand / F.count("*")).alias("rate"))
 
 
+def trigger_log(log: DataFrame) -> DataFrame:
+    """One row: passes of revision in the log, and the mean and largest number of flags they raised (0 without any)."""
+    n = F.coalesce("p.n_flags", F.lit(0))
+    return log.where("type = 'revisit'").agg(F.count("*").alias("n_revisits"), F.coalesce(F.avg(n), F.lit(0.0)).alias("mean_flags"), F.coalesce(F.max(n), F.lit(0)).alias("max_flags"))
+
+
 def kill_bars(values: DataFrame) -> DataFrame:
     """criterion, value, bar, breached from a one-row table of values; criteria without a value are skipped."""
     have = [b for b in BARS if b in values.columns]

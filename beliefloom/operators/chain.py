@@ -102,11 +102,11 @@ def inclusion(log: DataFrame, wanted: DataFrame, segment: int = SEGMENT) -> Data
 
 def signatures(log: DataFrame, keys: DataFrame) -> DataFrame:
     """store, seq, valid for signed records whose actor has a key in force (see governance.effective_at)."""
+    from beliefloom.operators.audit import signed
     from beliefloom.operators.governance import effective_at
 
-    check = F.udf(lambda k, h, s: C.verify(bytes.fromhex(k), bytes.fromhex(h), bytes.fromhex(s)), "boolean")
     rec = effective_at(keys, log.where("sig IS NOT NULL").select("store", "actor", "seq", "hash", "sig"))
-    return rec.select("store", "seq", check("pubkey", "hash", "sig").alias("valid"))
+    return signed(rec.select("store", "seq", "pubkey", F.unhex("hash").alias("message"), "sig"))
 
 
 def append_table(log: DataFrame, events: list[tuple[str, str, str, object]], store: str) -> list[dict]:
@@ -140,8 +140,3 @@ def anchored(record_hash: str, seq: int, proof: list[str], checkpoint: dict, hea
         return False
     size = checkpoint["last_seq"] - checkpoint["first_seq"] + 1
     return C.verify_inclusion(bytes.fromhex(record_hash), seq - checkpoint["first_seq"], size, [bytes.fromhex(p) for p in proof], bytes.fromhex(checkpoint["root"]))
-
-
-def consistent(links: list[dict]) -> bool:
-    """Do checkpoints follow on one another, by sequence and by root?"""
-    return all(b["first_seq"] == a["last_seq"] + 1 and b["prev_root"] == a["root"] for a, b in zip(links, links[1:]))

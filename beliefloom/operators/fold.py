@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beliefloom.operators.ordered import running
@@ -20,7 +21,8 @@ def claim_versions(log: DataFrame) -> DataFrame:
 
     An assert opens a claim, a score revision or a new entrenchment opens its next version and closes the one before,
     a terminal event (status change, supersede) closes the last version and rewrites that version's status.  Changes
-    to a claim that is not live do not count.  Order is that of seq, never of t.
+    to a claim that is not live do not count.  Order is that of seq, never of t.  An assert without an entrenchment gets
+    what its writer's tier gives at that moment.
     """
     kinds = ("assert", "score_revision", "entrenchment_set", "supersede", "claim_status_changed")
     p = lambda f: F.col(f"p.{f}")
@@ -31,15 +33,14 @@ def claim_versions(log: DataFrame) -> DataFrame:
         p("status").alias("new_status"), *(p(c).alias(c) for c in _STATIC),
     ).where("claim_id IS NOT NULL")
     keys = ["store", "claim_id"]
-    structural = is_("assert", "supersede", "claim_status_changed")
-    ev = running(ev, keys, "seq", {"state": F.when(structural, F.struct("seq", "type"))})
     before_end = is_("supersede", "claim_status_changed")
     # A terminal event counts if an assert is the structural event before it.
     ev = running(ev, keys, "seq", {"opened": F.when(is_("assert"), F.struct("seq"))})
     ends = ev.where(before_end & F.col("opened").isNotNull()).groupBy(*keys, "opened").agg(F.min("seq").alias("end_seq"))
     ev = ev.join(ends, [*keys, "opened"], "left").where(F.col("opened").isNotNull() & (F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq"))))
-    ev = ev.drop("state", "opened", "end_seq")
-    default = F.coalesce("ent0", F.when(F.col("writer").isNull(), F.lit(NO_WRITER)).otherwise(F.lit(UNKNOWN_WRITER)))
+    ev = ev.drop("opened", "end_seq")
+    ev = ev.join(writer_tiers(log), ["store", "seq"], "left")
+    default = F.coalesce("ent0", default_entrenchment(F.col("writer"), F.col("tier")))
     opened = is_("assert")
     keep = {
         "score": F.when(opened, F.col("prior")).when(is_("score_revision"), F.col("new_score")),
@@ -55,6 +56,15 @@ def claim_versions(log: DataFrame) -> DataFrame:
     )
 
 
+def writer_tiers(log: DataFrame) -> DataFrame:
+    """``store, seq, tier``: the tier that the writer of an assert without an entrenchment had at that moment, if registered."""
+    at = F.when(F.col("type") == "assert", F.col("p.writer")).otherwise(F.col("p.writer_id"))
+    open_ = (F.col("type") == "assert") & F.col("p.entrenchment").isNull()
+    w = log.where((F.col("type") == "writer_registered") | open_).select("store", "seq", "type", at.alias("writer"), F.col("p.tier").alias("given")).where("writer IS NOT NULL")
+    w = running(w, ["store", "writer"], "seq", {"tier": F.when(F.col("type") == "writer_registered", F.col("given"))})
+    return w.where("type = 'assert' AND tier IS NOT NULL").select("store", "seq", "tier")
+
+
 def support_edges(log: DataFrame) -> DataFrame:
     """Support edges with the time of their retraction: a retraction closes all live rows of its pair."""
     e = log.where(F.col("type").isin("support", "retract_support")).select(
@@ -147,3 +157,65 @@ def register(log: DataFrame, name: str) -> DataFrame:
     if name == "writers":
         r = running(r.withColumnRenamed("pubkey", "given"), ["store", key], "seq", {"pubkey": F.col("given")}).drop("given")
     return scd2(r, ["store", key], "seq", "t", values)
+
+
+def lookup(log: DataFrame, name: str, events: DataFrame, key: str) -> DataFrame:
+    """events (store, seq, ``key``) with the values of a register that were in force at their seq, null if none were.
+
+    This is what an audit asks: a writer's tier and key, a policy's version, a graph's ceiling at the time of an event.
+    """
+    kind, own, values = REGISTERS[name]
+    r = log.where(F.col("type") == kind).select("store", "seq", F.col(f"p.{own}").alias("_key"), F.struct(*(F.col(f"p.{v}").alias(v) for v in values)).alias("_given")).where("_key IS NOT NULL")
+    e = events.withColumn("_key", F.col(key)).withColumn("_asks", F.lit(True))
+    both = e.unionByName(r.withColumn("_asks", F.lit(False)), allowMissingColumns=True)
+    # Of two rows with one seq, the registration comes after the event that asks.
+    both = both.withColumn("_at", F.col("seq") * 2 + F.when(F.col("_asks"), 0).otherwise(1))
+    last = {f"_v_{v}": F.when(~F.col("_asks"), F.col("_given")[v] if v == "pubkey" else F.struct(F.col("_given")[v].alias("v"))) for v in values}
+    out = running(both, ["store", "_key"], "_at", last).where("_asks")
+    return out.select(*events.columns, *(F.col(f"_v_{v}" if v == "pubkey" else f"_v_{v}.v").alias(v) for v in values))
+
+
+def accessor(log: DataFrame, name: str, ids: DataFrame, key: str, default: dict | None = None) -> DataFrame:
+    """ids (store, ``key``) with the live values of a register; where there are none, those of ``default``."""
+    kind, own, values = REGISTERS[name]
+    live = register(log, name).where("txn_to IS NULL").select("store", F.col(own).alias(key), *values)
+    out = ids.join(live, ["store", key], "left")
+    return out.withColumns({v: F.coalesce(v, F.lit(x)) for v, x in (default or {}).items()})
+
+
+def write_projection(tables: dict[str, DataFrame], folder: str) -> str:
+    """Writes folded tables as Parquet under a new version of ``folder`` and then names it as current; returns the version.
+
+    Readers see the old version or the new one, never a mixture; versions before are left to the caller to delete.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    version = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{version}/{name}")
+    path = lambda x: jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}")
+    fs = path("").getFileSystem(conf)
+    out = fs.create(path(f"CURRENT.{version}"), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    fs.delete(path("CURRENT"), False)
+    if not fs.rename(path(f"CURRENT.{version}"), path("CURRENT")):
+        raise OSError(f"{folder}/CURRENT could not be renamed")
+    return version
+
+
+def read_projection(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    version = spark.read.text(f"{folder}/CURRENT").first()[0]
+    return spark.read.parquet(f"{folder}/{version}/{name}")
+
+
+def rebuild(log: DataFrame, folder: str) -> dict[str, int]:
+    """Folds a log into all its tables, verifies them and makes them current; returns the rows of each table."""
+    tables = {"claims": claim_versions(log), "support_edges": support_edges(log), "outcomes": outcomes(log), "decisions": decisions(log), "combos": combos(log)}
+    tables |= {name: register(log, name) for name in REGISTERS}
+    unknown = log.where("type IS NULL").limit(1).count()
+    if unknown:
+        raise ValueError("records without a type cannot be folded")
+    version = write_projection(tables, folder)
+    spark = log.sparkSession
+    return {name: spark.read.parquet(f"{folder}/{version}/{name}").count() for name in tables}

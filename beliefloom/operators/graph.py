@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from beliefloom.session import cut
 
-#: Edges, and roots, up to which a walk runs as one task's kernel; both are counted first. Larger graphs use joins.
-KERNEL_EDGES, KERNEL_ROOTS = 1_000_000, 16
+#: Edges up to which a walk runs as one task's kernel, and edges times roots; both are counted first. Larger ones use joins.
+KERNEL_EDGES, KERNEL_STEPS, KERNEL_ROOTS = 1_000_000, 16_000_000, 4096
 #: Bytes, about, and 64-bit words of a row that the bit sets of a block take.
 SET_BYTES, SET_WORDS = 1 << 25, 64
 #: Smallest change that propagates; largest path count.
@@ -166,7 +166,8 @@ def reach(edges: DataFrame, source: str, target: str, roots: DataFrame) -> DataF
     e = cut(edges.select(F.col(source).cast("string").alias("at"), F.col(target).cast("string").alias("to")).where("at IS NOT NULL AND to IS NOT NULL").distinct())
     roots = roots.select(F.col("root").cast("string").alias("root")).where("root IS NOT NULL").distinct()
     few = [r[0] for r in roots.limit(KERNEL_ROOTS + 1).collect()]
-    if len(few) <= KERNEL_ROOTS and e.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES:
+    size = e.limit(KERNEL_EDGES + 1).count() if len(few) <= KERNEL_ROOTS else KERNEL_EDGES + 1
+    if size <= KERNEL_EDGES and size * len(few) <= KERNEL_STEPS:
         return e.coalesce(1).mapInArrow(_layers(few), "root string, node string, distance int, path_count long")
     return _reach_joins(e, roots)
 

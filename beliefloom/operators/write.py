@@ -154,15 +154,54 @@ def escalate(held: Mapping, release: bool, owner: str, tier: str | None, **at) -
     return event("contradiction", pair | {"released_from": held["event_id"]}, **at) if release else event("contradiction_dismissed", pair | {"held_id": held["event_id"]}, **at)
 
 
-def verdict_message(kind: str, subject: str, claim_a: str, claim_b: str, t: str) -> bytes:
-    """What the signature of a verdict covers."""
-    return "|".join((kind, subject, claim_a, claim_b, t)).encode()
+def verdict_message(action: str, target: str, writer: str, decision: str | None = None, *, domain: str = "beliefloom/verdict/v1") -> bytes:
+    """What the signature of a verdict covers: domain, action, target, writer and decision, joined by bars.
+
+    ``domain`` keeps signatures of one system from passing in another; give that of the system whose signatures are read.
+    """
+    parts = [domain, f"action={action}", f"id={target}", f"writer={writer}", *([f"decision={decision}"] if decision is not None else [])]
+    return "|".join(parts).encode()
 
 
 def signed(e: dict, seed: bytes, signer: str, message: bytes) -> dict:
     return e | {"payload": e["payload"] | {"signer": signer, "signed_message": message.decode(), "signature": C.sign(seed, message).hex()}}
 
 
+def apply_tier(claim: Mapping, tier: str, **at) -> dict:
+    """The entrenchment that a named tier stands for, for a claim (claim_id, entrenchment)."""
+    return set_entrenchment(claim["claim_id"], claim["entrenchment"], _one_of("tier", tier, tuple(ENTRENCHMENT)), **at)
+
+
+def ensure_policy(live: Mapping | None, name: str, version: int, description: str, rule: Mapping | None = None, **at) -> dict | None:
+    """register_policy(), or nothing if that version is the live one (a row of the register) already; going back is an error."""
+    if live is not None and int(version) <= live["version"]:
+        if int(version) == live["version"] and description == live["description"]:
+            return None
+        raise ValueError(f"{name} is at version {live['version']}; a change needs a higher one")
+    return register_policy(name, version, description, rule, **at)
+
+
+def combine_interval(claim_id: str, interval: tuple[float, float] | None, true: float, false: float, either: float, *, refuse: float = 0.99, **at) -> list[dict]:
+    """New evidence (masses) combined with a claim's interval: the new interval and what was combined, or one refusal.
+
+    The rule is not used where the conflict is at least ``refuse``.
+    """
+    if interval is None:
+        raise KeyError(claim_id)
+    if abs(true + false + either - 1) > 1e-9:
+        raise ValueError("masses must sum to 1")
+    b, p = interval
+    mine = {"true": b, "false": 1 - p, "either": p - b}
+    clash = mine["true"] * false + mine["false"] * true
+    at.setdefault("t", datetime.now(timezone.utc).isoformat())
+    if clash >= refuse:
+        return [event("interval_refused", {"claim_id": claim_id, "conflict": clash}, **at)]
+    yes = (mine["true"] * (true + either) + mine["either"] * true) / (1 - clash)
+    no = (mine["false"] * (false + either) + mine["either"] * false) / (1 - clash)
+    now = {"belief": yes, "plausibility": max(yes, 1 - no)}
+    return [set_interval(claim_id, now["belief"], now["plausibility"], **at), event("interval_combined", {"claim_id": claim_id, **now, "conflict": clash}, **at)]
+
+
 def migrate(events: Sequence[Mapping], source_head: str) -> list[tuple[str, str, str, object]]:
     """(t, actor, type, payload) for a chained store: a marker first, then every event; history stays unsigned."""
     marker = {"events": len(events), "source_sha256": hashlib.sha256(source_head.encode()).hexdigest()}

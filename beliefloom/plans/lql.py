@@ -178,7 +178,7 @@ class Ledger:
     """The DataFrames a query runs over.
 
     versions: claim_id, from_us, to_us, score, ...; edges: live support edges; log: events with t_us; decisions:
-    decision_id, t_us, kind, actor, label, basis; writers: writer, tier (live).
+    decision_id, t_us, kind, actor, label, basis; writers: writer, tier (live); combos: claim_id, combo, leak (live).
     """
 
     versions: DataFrame
@@ -186,6 +186,7 @@ class Ledger:
     log: DataFrame
     decisions: DataFrame
     writers: DataFrame | None = None
+    combos: DataFrame | None = None
 
     def query(self, text: str) -> DataFrame:
         return execute(self, parse(text))
@@ -227,5 +228,6 @@ def execute(ledger: Ledger, plan: Plan) -> DataFrame:
     if plan.target is None:
         return graph.impact(ledger.edges, root, ledger.decisions).drop("root")
     roots = spark.createDataFrame([(plan.ident, plan.target)], "root string, score double")
-    edges = ledger.edges.withColumn("seq", F.xxhash64("claim_id", "supports_id"))
-    return graph.revisit(live(ledger.versions), edges, roots).drop("root")
+    from beliefloom.operators.revision import by_attachment
+
+    return graph.revisit(live(ledger.versions), by_attachment(ledger.edges), roots, ledger.combos).drop("root")

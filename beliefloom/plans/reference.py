@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from beliefloom.functions import belief as B
 from beliefloom.functions.text import plain
 from beliefloom.operators import analytics as A
-from beliefloom.operators import chain, contradict, fold, governance, graph, history, provenance
+from beliefloom.operators import chain, contradict, fold, governance, graph, history, provenance, revision
 from beliefloom.plans import lql
 from beliefloom.plans.core_problems import _us, scored_outcomes, table
 from beliefloom.sources.logs import clean_log
@@ -338,8 +338,17 @@ mv AS (SELECT *, n - o AS d FROM last WHERE abs(n - o) > 1e-9),
 sg AS (SELECT store, claim_id, d, sign(d) <> lag(sign(d)) OVER (PARTITION BY store, claim_id ORDER BY seq) AS turn FROM mv)"""
 
 
+def materiality(lg: DataFrame) -> DataFrame:
+    """store, claim_id, materiality of the claims that are live at the end."""
+    key = F.when(F.col("type") == "supersede", F.col("p.old_claim_id")).otherwise(F.col("p.claim_id"))
+    e = lg.where(F.col("type").isin("assert", "supersede", "claim_status_changed")).groupBy("store", key.alias("claim_id"))
+    e = e.agg(F.max_by("type", "seq").alias("last"), F.max_by("p.materiality", F.when(F.col("type") == "assert", F.col("seq"))).alias("materiality"))
+    return e.where("last = 'assert' AND materiality IS NOT NULL").select("store", "claim_id", "materiality")
+
+
 def churned(spark: SparkSession, sf: str) -> DataFrame:
-    return A.churn(A.last_revisions(revisions(spark, sf), ["store", "claim_id"]), F.lit(0.05))
+    h = A.last_revisions(revisions(spark, sf), ["store", "claim_id"]).join(materiality(log(spark, sf)), ["store", "claim_id"], "left")
+    return A.churn(h.withColumn("materiality", F.coalesce("materiality", F.lit(0.05))), F.col("materiality"))
 
 
 @query(f"""WITH {_REV} SELECT k.store, k.claim_id, coalesce(sum(turn::INTEGER), 0)::INTEGER AS raw FROM (SELECT DISTINCT store, claim_id FROM last) k LEFT JOIN sg USING (store, claim_id) GROUP BY 1, 2""")
@@ -353,13 +362,20 @@ def churn_travel(spark, sf):
     return churned(spark, sf).where("gross_travel > 0").select("store", "claim_id", F.round("gross_travel", 6).alias("gross_travel"), F.round("conflict_balance", 6).alias("conflict_balance"))
 
 
-@query(f"""WITH RECURSIVE {_REV}, o AS (SELECT store, claim_id, n, o, row_number() OVER (PARTITION BY store, claim_id ORDER BY seq) AS k FROM last),
+_WALK = f"""{_REV},
+    ms AS (SELECT store, CASE WHEN type = 'supersede' THEN j->>'old_claim_id' ELSE j->>'claim_id' END AS claim_id, arg_max(type, seq) AS last, arg_max((j->>'materiality')::DOUBLE, seq) FILTER (type = 'assert') AS mat
+        FROM rec WHERE type IN ('assert', 'supersede', 'claim_status_changed') GROUP BY 1, 2),
+    o AS (SELECT l.store, l.claim_id, n, o, coalesce(ms.mat, 0.05) AS m, row_number() OVER (PARTITION BY l.store, l.claim_id ORDER BY seq) AS k FROM last l
+        LEFT JOIN ms ON ms.store = l.store AND ms.claim_id = l.claim_id AND ms.last = 'assert'),
     wk AS (SELECT store, claim_id, 0 AS k, o AS a, 0 AS dir, 0 AS moves, 0 AS turns FROM o WHERE k = 1
-    UNION ALL SELECT w.store, w.claim_id, w.k + 1, CASE WHEN abs(o.n - w.a) >= 0.05 THEN o.n ELSE w.a END,
-        CASE WHEN abs(o.n - w.a) >= 0.05 THEN CASE WHEN o.n > w.a THEN 1 ELSE -1 END ELSE w.dir END, w.moves + (abs(o.n - w.a) >= 0.05)::INTEGER,
-        w.turns + (abs(o.n - w.a) >= 0.05 AND w.dir <> 0 AND w.dir <> CASE WHEN o.n > w.a THEN 1 ELSE -1 END)::INTEGER
-        FROM wk w JOIN o ON o.store = w.store AND o.claim_id = w.claim_id AND o.k = w.k + 1)
-    SELECT store, claim_id, arg_max(moves, k) AS material_moves, arg_max(turns, k) AS material_churn FROM wk GROUP BY 1, 2""")
+    UNION ALL SELECT w.store, w.claim_id, w.k + 1, CASE WHEN abs(o.n - w.a) >= o.m THEN o.n ELSE w.a END,
+        CASE WHEN abs(o.n - w.a) >= o.m THEN CASE WHEN o.n > w.a THEN 1 ELSE -1 END ELSE w.dir END, w.moves + (abs(o.n - w.a) >= o.m)::INTEGER,
+        w.turns + (abs(o.n - w.a) >= o.m AND w.dir <> 0 AND w.dir <> CASE WHEN o.n > w.a THEN 1 ELSE -1 END)::INTEGER
+        FROM wk w JOIN o ON o.store = w.store AND o.claim_id = w.claim_id AND o.k = w.k + 1),
+    walked AS (SELECT store, claim_id, arg_max(moves, k) AS material_moves, arg_max(turns, k) AS material_churn FROM wk GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {_WALK} SELECT store, claim_id, material_moves, material_churn FROM walked")
 def churn_material(spark, sf):
     return churned(spark, sf).select("store", "claim_id", "material_moves", "material_churn")
 
@@ -369,7 +385,7 @@ def override_rate(spark, sf):
     return A.override_rate(log(spark, sf)).select("n", F.col("manual").cast("long").alias("manual"))
 
 
-_FAN = f"""{_E}, link AS (SELECT DISTINCT claim_id, supports_id FROM edge WHERE kind = 'deductive'),
+_FAN = f"""{_E}, link AS (SELECT DISTINCT claim_id, supports_id FROM edge),
 anc AS (SELECT claim_id, supports_id AS a FROM link UNION SELECT n.claim_id, l.supports_id FROM anc n JOIN link l ON l.claim_id = n.a)"""
 
 
@@ -379,18 +395,51 @@ def fanout(spark, sf):
     return graph.reached(edges(spark, sf), "claim_id", "supports_id").withColumnRenamed("n", "n_support")
 
 
-@query(f"""WITH RECURSIVE {_FAN}, {_CASES}, {_REC},
-    f AS (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM anc GROUP BY claim_id)),
-    v AS (SELECT (SELECT m FROM f)::DOUBLE AS max_fanout, (SELECT avg((score - outcome) ** 2) FROM cases) AS brier,
-        (SELECT avg((actor = 'human' AND j->>'triggering_event_id' IS NULL)::INTEGER) FROM rec WHERE type = 'score_revision') AS override_rate)
-    SELECT 'max_fanout' AS criterion, round(max_fanout, 6) AS value, max_fanout > 100 AS breached FROM v
-    UNION ALL SELECT 'brier', round(brier, 6), brier > 0.25 FROM v UNION ALL SELECT 'override_rate', round(override_rate, 6), override_rate > 0.2 FROM v""")
+@query(f"""WITH RECURSIVE {_FAN}, {_HIST}, f AS (SELECT claim_id, count(*) AS n FROM anc GROUP BY claim_id), lv AS (SELECT claim_id FROM hist WHERE to_us IS NULL)
+    SELECT count(*) AS n_claims, round(avg(coalesce(n, 0)), 6) AS avg_fanout, max(coalesce(n, 0)) AS max_fanout FROM lv LEFT JOIN f USING (claim_id)""")
+def fanout_summary(spark, sf):
+    """Over all live claims, those that rest on nothing included."""
+    n = history.live(hist(spark, sf)).select("claim_id").join(fanout(spark, sf), "claim_id", "left").select(F.coalesce("n_support", F.lit(0)).alias("n"))
+    return n.agg(F.count("*").alias("n_claims"), F.round(F.avg("n"), 6).alias("avg_fanout"), F.max("n").alias("max_fanout"))
+
+
+def kill_values(spark: SparkSession, sf: str) -> DataFrame:
+    """One row of the metrics that bars exist for, and counts behind them."""
+    lg = log(spark, sf)
+    parts = [
+        A.trigger_log(lg), fanout_summary(spark, sf).select("max_fanout", "avg_fanout", "n_claims"), A.brier(scored_outcomes(spark, sf)).select("brier"),
+        A.override_rate(lg).select(F.col("rate").alias("override_rate"), F.col("n").alias("n_score_revisions"), F.col("manual").alias("n_manual_overrides")),
+        churned(spark, sf).agg(F.coalesce(F.max("material_churn"), F.lit(0)).alias("max_material_churn"), F.coalesce(F.max("raw"), F.lit(0)).alias("max_churn")),
+        contradict.open_contradictions(lg.withColumn("event_id", F.concat("store", F.lit("/"), F.col("seq").cast("string")))).agg(F.count("*").alias("n_open_contradictions")),
+    ]
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x, allowMissingColumns=True)
+    return rows.agg(*(F.max(c).alias(c) for c in rows.columns))
+
+
+_KILL = f"""{_FAN}, {_HIST}, {_CASES}, {_WALK}, f AS (SELECT claim_id, count(*) AS n FROM anc GROUP BY claim_id), lv AS (SELECT claim_id FROM hist WHERE to_us IS NULL),
+    fl AS (SELECT coalesce((j->>'n_flags')::INTEGER, 0) AS k FROM rec WHERE type = 'revisit'),
+    v AS (SELECT (SELECT max(coalesce(n, 0)) FROM lv LEFT JOIN f USING (claim_id))::DOUBLE AS max_fanout, (SELECT avg((score - outcome) ** 2) FROM cases) AS brier,
+        (SELECT avg((actor = 'human' AND j->>'triggering_event_id' IS NULL)::INTEGER) FROM rec WHERE type = 'score_revision') AS override_rate,
+        (SELECT coalesce(max(material_churn), 0) FROM walked)::DOUBLE AS max_material_churn, (SELECT coalesce(avg(k), 0) FROM fl)::DOUBLE AS mean_flags, (SELECT coalesce(max(k), 0) FROM fl)::DOUBLE AS max_flags,
+        (SELECT count(*) FROM rec WHERE type = 'contradiction')::DOUBLE AS n_open_contradictions)"""
+
+
+@query(f"WITH RECURSIVE {_KILL} SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS criterion, round({c}, 6) AS value, {c} > {bar} AS breached FROM v" for c, bar in A.BARS.items() if c not in A.BELOW) + ") WHERE value IS NOT NULL")
 def kill_bars(spark, sf):
-    fan = fanout(spark, sf).agg(F.max("n_support").alias("max_fanout"))
-    rows = fan.unionByName(A.brier(scored_outcomes(spark, sf)).select("brier"), allowMissingColumns=True)
-    rows = rows.unionByName(A.override_rate(log(spark, sf)).select(F.col("rate").alias("override_rate")), allowMissingColumns=True)
-    one = rows.agg(*(F.max(c).alias(c) for c in rows.columns))
-    return A.kill_bars(one).select("criterion", F.round("value", 6).alias("value"), "breached")
+    """Every bar that a log has a value for; trigger recall and precision come from an audit (trigger_quality)."""
+    return A.kill_bars(kill_values(spark, sf)).select("criterion", F.round("value", 6).alias("value"), "breached")
+
+
+@query(f"""WITH RECURSIVE {_KILL} SELECT round(mean_flags, 6) AS mean_flags, max_flags::BIGINT AS max_flags, (SELECT count(*) FROM fl) AS n_revisits, max_fanout::BIGINT AS max_fanout, (SELECT count(*) FROM lv) AS n_claims,
+    round(brier, 6) AS brier, round(override_rate, 6) AS override_rate, (SELECT count(*) FROM rec WHERE type = 'score_revision') AS n_score_revisions, max_material_churn::BIGINT AS max_material_churn,
+    n_open_contradictions::BIGINT AS n_open_contradictions FROM v""")
+def kill_metrics(spark, sf):
+    v = kill_values(spark, sf)
+    whole = [F.col(c).cast("long").alias(c) for c in ("max_flags", "n_revisits", "max_fanout", "n_claims", "n_score_revisions", "max_material_churn", "n_open_contradictions")]
+    return v.select(*whole, *(F.round(c, 6).alias(c) for c in ("mean_flags", "brier", "override_rate")))
 
 
 # ---- graph, contradictions -------------------------------------------------------------------------------------------
@@ -406,17 +455,39 @@ def impact_nodes(spark, sf):
     return graph.impact(edges(spark, sf), root, d).select("kind", "id", "distance")
 
 
+def revise_sql(target: float, root: str = _ROOT) -> str:
+    """The walk of a revision in SQL: visits in breadth-first order (ord), then one claim after another (st), the last supporter that moved deciding."""
+    return f"""{_E}, {_HIST}, root AS MATERIALIZED (SELECT {root} AS id), lv AS MATERIALIZED (SELECT claim_id, score, materiality, critical FROM hist WHERE to_us IS NULL),
+    eo AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY from_us, claim_id, supports_id, p_given, p_given_not, strength) AS en FROM edge),
+    reach AS (SELECT id FROM root UNION SELECT e.claim_id FROM reach r JOIN eo e ON e.supports_id = r.id), re AS MATERIALIZED (SELECT e.* FROM eo e SEMI JOIN reach r ON e.supports_id = r.id),
+    visit(id, pos) USING KEY (id) AS (SELECT id, 0::BIGINT FROM root UNION SELECT claim_id, (SELECT max(pos) FROM recurring.visit) + row_number() OVER (ORDER BY ppos, en) FROM (
+        SELECT e.claim_id, min(w.pos) AS ppos, arg_min(e.en, (w.pos, e.en)) AS en FROM visit w JOIN re e ON e.supports_id = w.id WHERE NOT EXISTS (SELECT 1 FROM recurring.visit k WHERE k.id = e.claim_id) GROUP BY e.claim_id)),
+    ord AS MATERIALIZED (SELECT id, pos FROM visit),
+    st(id, pos, old, new, moved) USING KEY (id) AS (SELECT id, 0::BIGINT, NULL::DOUBLE, {target}::DOUBLE, true FROM root
+        UNION SELECT o.id, o.pos, l.score, CASE WHEN abs(h.new - l.score) >= 0.005 THEN h.new ELSE l.score END, coalesce(abs(h.new - l.score) >= 0.005, false)
+        FROM (SELECT max(pos) + 1 AS p FROM st) n JOIN ord o ON o.pos = n.p LEFT JOIN lv l ON l.claim_id = o.id
+        LEFT JOIN (SELECT e.claim_id, arg_max(e.p_given * s.new + e.p_given_not * (1 - s.new), e.en) AS new FROM re e JOIN recurring.st s ON s.id = e.supports_id AND s.moved GROUP BY e.claim_id) h ON h.claim_id = o.id),
+    moves AS (SELECT st.id AS claim_id, st.pos, st.old, st.new, abs(st.new - st.old) >= l.materiality OR l.critical AS flagged FROM st JOIN lv l ON l.claim_id = st.id WHERE moved AND pos > 0)"""
+
+
+@query(f"WITH RECURSIVE {revise_sql(0.0)} SELECT claim_id, round(old, 6) AS old, round(new, 6) AS new, flagged FROM moves")
 def revisit_moves(spark, sf):
     """What would move if the hub's score became 0: claims in the order visited, with flags."""
-    e = edges(spark, sf).withColumn("seq", F.xxhash64("claim_id", "supports_id", "kind"))
     root = spark.createDataFrame([(hub(spark, sf), 0.0)], "root string, score double")
-    out = graph.revisit(history.live(hist(spark, sf)), e, root)
+    out = graph.revisit(history.live(hist(spark, sf)), revision.by_attachment(edges(spark, sf)), root)
     return out.select("claim_id", F.round("old", 6).alias("old"), F.round("new", 6).alias("new"), "flagged")
 
 
-QUERIES["revisit_moves"] = revisit_moves
+_LIVE_ROOT = "(SELECT supports_id FROM edge SEMI JOIN (SELECT claim_id FROM hist WHERE to_us IS NULL) v ON v.claim_id = supports_id GROUP BY supports_id ORDER BY count(DISTINCT claim_id) DESC, supports_id LIMIT 1)"
 
 
+@query(f"WITH RECURSIVE {revise_sql(0.1, _LIVE_ROOT)} SELECT claim_id, round(old, 6) AS old, round(new, 6) AS new FROM moves")
+def lql_propagated(spark, sf):
+    """The same through the query language, for the live supporter of most claims."""
+    live = history.live(hist(spark, sf)).select(F.col("claim_id").alias("supports_id"))
+    n = edges(spark, sf).join(live, "supports_id", "left_semi").groupBy("supports_id").agg(F.countDistinct("claim_id").alias("n")).orderBy(F.desc("n"), "supports_id")
+    out = ledger(spark, sf).query(f"IMPACT '{n.first()[0]}' PROPAGATED TO 0.1")
+    return out.select("claim_id", F.round("old", 6).alias("old"), F.round("new", 6).alias("new"))
 
 @query("""WITH s AS (SELECT c.c_custkey, n.n_nationkey, r.r_regionkey, 0.1 + 0.2 * r.r_regionkey AS sr FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey)
     SELECT c_custkey, round(0.95::DOUBLE * (0.9::DOUBLE * sr + 0.2::DOUBLE * (1 - sr)) + 0.3::DOUBLE * (1 - (0.9::DOUBLE * sr + 0.2::DOUBLE * (1 - sr))), 9) AS score FROM s""")
@@ -546,7 +617,14 @@ def chain_problems(spark, sf):
     return chain.chain_problems(log(spark, sf))
 
 
-@query(f"WITH {_REC} SELECT store, count(*) AS n, count(*) AS n_ok FROM rec GROUP BY store")
+_part = lambda x: f"unhex(printf('%08x', octet_length(encode({x})))) || encode({x})"
+_HASHED = f"""{_REC},
+kv AS (SELECT store, seq, j, unnest(list_sort(json_keys(j))) AS k FROM rec),
+canon AS (SELECT store, seq, '{{' || string_agg(to_json(k)::VARCHAR || ':' || CASE WHEN json_type(j->k) = 'VARCHAR' THEN to_json(j->>k)::VARCHAR ELSE (j->k)::VARCHAR END, ',' ORDER BY k) || '}}' AS body FROM kv GROUP BY store, seq),
+hashed AS (SELECT r.*, sha256('ELCHAIN1'::BLOB || {' || '.join(map(_part, ('r.seq::VARCHAR', 't', 'actor', 'type', 'body', 'prev_hash')))}) = hash AS ok FROM rec r JOIN canon c ON c.store = r.store AND c.seq = r.seq)"""
+
+
+@query(f"WITH {_HASHED} SELECT store, count(*) AS n, count(*) FILTER (ok) AS n_ok FROM hashed GROUP BY store")
 def chain_hashes(spark, sf):
     r = chain.rehashed(log(spark, sf))
     return r.groupBy("store").agg(F.count("*").alias("n"), F.sum(F.col("hash_ok").cast("long")).alias("n_ok"))
@@ -570,15 +648,15 @@ def merkle_segments(spark, sf):
     return chain.segments(log(spark, sf))
 
 
+@query(f"""WITH {_REC}, {_MERKLE}, cp AS (SELECT store, no, h AS root, lag(h) OVER (PARTITION BY store ORDER BY no) AS before FROM lv10)
+    SELECT store, no, root, coalesce(before, sha256('')) AS prev_root, false AS broken FROM cp""")
 def consistency_links(spark, sf):
     """Checkpoints with the root before them, and whether they follow on it."""
     cp = chain.checkpoints(log(spark, sf))
     return cp.join(chain.link_problems(cp).withColumn("broken", F.lit(True)), ["store", "no"], "left").select("store", "no", "root", "prev_root", F.coalesce("broken", F.lit(False)).alias("broken"))
 
 
-QUERIES["consistency_links"] = consistency_links
-
-
+@query(f"""WITH {_REC}, {_MERKLE} SELECT r.store, r.seq, v.h AS root, 10 AS steps FROM rec r JOIN lv10 v ON v.store = r.store AND v.no = (r.seq - 1) // 1024 WHERE r.type = 'assert'""")
 def inclusion_proofs(spark, sf):
     """Proofs for the asserts in full segments."""
     lg = log(spark, sf)
@@ -586,9 +664,6 @@ def inclusion_proofs(spark, sf):
     return p.select("store", "seq", "root", F.size("proof").alias("steps"))
 
 
-QUERIES["inclusion_proofs"] = inclusion_proofs
-
-
 @query(f"WITH {_REC} SELECT store, 'record-' || seq AS entity, type, hash FROM rec")
 def prov_entities(spark, sf):
     return provenance.entities(log(spark, sf))

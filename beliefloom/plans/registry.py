@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beliefloom.plans import core_problems, reference
+from beliefloom.plans import audits, core_problems, reference  # noqa: F401 - audits adds to the tables of reference
 
 QUERIES = {**reference.QUERIES, **core_problems.QUERIES}
 ORACLES = {**reference.ORACLES, **core_problems.ORACLES}

@@ -35,13 +35,13 @@ def test_belief_columns(spark):
     s = F.array(L(1.0), L(1.0), L(1.0))
     assert val(B.noisy_and(p, s, L(0.0))) == pytest.approx(0.99**3)
     assert val(B.noisy_or(F.array(L(0.01), L(0.01), L(0.99)), s, L(0.05))) == pytest.approx(1 - 0.95 * 0.99 * 0.99 * 0.01)
-    m, k = B.dempster({frozenset("t"): 0.6, frozenset("tf"): 0.4}, {frozenset("t"): 0.2, frozenset("f"): 0.5, frozenset("tf"): 0.3})
+    mass = lambda *rows: spark.createDataFrame([(1, *r) for r in rows], "k int, subset long, mass double")
+    m = {r.subset: r for r in B.dempster(mass((1, 0.6), (3, 0.4)), mass((1, 0.2), (2, 0.5), (3, 0.3)), ["k"]).collect()}
     got = val(B.combine(L(0.6), L(1.0), L(0.2), L(0.5)))
-    assert k == pytest.approx(val(B.conflict(L(0.6), L(1.0), L(0.2), L(0.5)))) and got.belief == pytest.approx(m[frozenset("t")])
-    assert got.plausibility == pytest.approx(m[frozenset("t")] + m[frozenset("tf")])
+    assert m[1].conflict == pytest.approx(val(B.conflict(L(0.6), L(1.0), L(0.2), L(0.5)))) and got.belief == pytest.approx(m[1].mass)
+    assert got.plausibility == pytest.approx(m[1].mass + m[3].mass)
     assert val(B.combine(L(1.0), L(1.0), L(0.0), L(0.0))) is None
-    with pytest.raises(ValueError):
-        B.dempster({frozenset("t"): 1.0}, {frozenset("f"): 1.0})
+    assert B.dempster(mass((1, 1.0)), mass((2, 1.0)), ["k"]).first().mass is None
     assert [val(B.credence_band(L(x))) for x in (0.7, 0.5, 0.3)] == ["act", "escalate", "abstain"]
     assert val(B.verbal(L(" Likely "))) == 0.7 and val(B.verbal(L("perhaps"))) is None
 
