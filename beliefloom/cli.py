@@ -1,29 +1,29 @@
 """python -m beliefloom.cli FOLDER COMMAND: queries over a folder of ledger tables.
 
     query 'CLAIMS WHERE score > 0.45'   the query language (plans/lql.py)
-    verify | health | bars | matrix | prov
-    run NAME                            any registered query
+    verify | health | bars | matrix | prov | demo
+    run NAME [--queries MODULE]         any registered query, or one of another module's QUERIES
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 
-from pyspark.sql import functions as F
-
-from beliefloom.operators import chain, fold, provenance
-from beliefloom.plans import lql, reference, registry
+from beliefloom.operators import audit, chain, fold, provenance
+from beliefloom.plans import demo, lql, reference, registry
 from beliefloom.session import session
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="beliefloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("folder")
-    p.add_argument("command", choices=["query", "verify", "health", "bars", "matrix", "prov", "run"])
+    p.add_argument("command", choices=["query", "verify", "health", "bars", "matrix", "prov", "demo", "run"])
     p.add_argument("text", nargs="?")
     p.add_argument("--limit", type=int, default=50)
+    p.add_argument("--queries", help="a module with more QUERIES, as optional subpackages have them")
     a = p.parse_args(argv)
     if a.command == "query":
         try:
@@ -37,8 +37,9 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "verify":
         df = chain.chain_problems(reference.log(spark, a.folder)).orderBy("store", "seq")
     elif a.command == "health":
-        heads, bad = chain.heads(reference.log(spark, a.folder)), chain.chain_problems(reference.log(spark, a.folder))
-        df = heads.join(bad.groupBy("store").agg(F.count("*").alias("problems")), "store", "left").fillna(0, ["problems"])
+        df = audit.health(reference.log(spark, a.folder))
+    elif a.command == "demo":
+        df = demo.story(spark)
     elif a.command == "bars":
         df = reference.kill_bars(spark, a.folder)
     elif a.command == "matrix":
@@ -46,10 +47,11 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "prov":
         df = provenance.document(reference.log(spark, a.folder))
     else:
-        if a.text not in registry.QUERIES:
-            print(f"no query {a.text!r}; there are {', '.join(sorted(registry.QUERIES))}", file=sys.stderr)
+        every = registry.QUERIES | (importlib.import_module(a.queries).QUERIES if a.queries else {})
+        if a.text not in every:
+            print(f"no query {a.text!r}; there are {', '.join(sorted(every))}", file=sys.stderr)
             return 2
-        df = registry.QUERIES[a.text](spark, a.folder)
+        df = every[a.text](spark, a.folder)
     rows = df.limit(a.limit).toJSON().collect()
     print("\n".join(rows))
     found = bool(rows)

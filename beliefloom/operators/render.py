@@ -45,6 +45,9 @@ def matrix_markdown(rows: list[dict]) -> str:
 def map_json(log: DataFrame) -> str:
     """Claims by status, decisions, and per claim the records that mention it."""
     rows = matrix_rows(log)
+    for what, df in (("mentions", fold.evidence(log)), ("decisions", fold.decisions(log).where("kind = 'decision'"))):
+        if df.limit(10 * MOST + 1).count() > 10 * MOST:
+            raise ValueError(f"more than {10 * MOST} {what} do not make a report")
     seen = {r["claim_id"]: r["seqs"] for r in fold.evidence(log).groupBy("claim_id").agg(F.array_sort(F.collect_set("seq")).alias("seqs")).collect()}
     dec = [{"seq": r["seq"], "label": r["label"], "basis": r["basis"]} for r in fold.decisions(log).where("kind = 'decision'").orderBy("seq").collect()]
     by: dict[str, list] = {}
@@ -53,6 +56,32 @@ def map_json(log: DataFrame) -> str:
     return json.dumps({"claims": len(rows), "by_status": by, "decisions": dec}, indent=2, ensure_ascii=False) + "\n"
 
 
+def validate_matrix(text: str) -> list[str]:
+    """Faults of a matrix artifact: what keeps it from being read as one; empty if it is sound."""
+    try:
+        doc = json.loads(text)
+    except ValueError:
+        return ["not JSON"]
+    if not isinstance(doc, dict) or set(doc) != {"claims", "counts"} or not isinstance(doc["claims"], list) or not isinstance(doc["counts"], dict):
+        return ["not a matrix"]
+    out, seen = [], set()
+    for i, r in enumerate(doc["claims"]):
+        if not isinstance(r, dict) or set(r) != {"claim_id", "statement", "confidence", "status", "superseded_by"}:
+            out.append(f"claim {i}: other fields")
+            continue
+        if not isinstance(r["claim_id"], str) or r["claim_id"] in seen:
+            out.append(f"claim {i}: no id of its own")
+        seen.add(r["claim_id"])
+        if r["confidence"] is not None and (isinstance(r["confidence"], bool) or not isinstance(r["confidence"], (int, float)) or not 0 <= r["confidence"] <= 1):
+            out.append(f"claim {i}: confidence is no number between 0 and 1")
+        if (r["superseded_by"] is not None) != (r["status"] == "superseded"):
+            out.append(f"claim {i}: status and successor disagree")
+    counts = Counter(r.get("status") for r in doc["claims"] if isinstance(r, dict))
+    if not out and dict(counts) != doc["counts"]:
+        out.append("counts differ from the claims")
+    return out
+
+
 def gate(artifacts: dict[str, str], folder: str) -> list[str]:
     """Names of artifacts whose file is missing or differs by a byte."""
     out = []

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Microseconds of one time bucket; a key's history is numbered bucket by bucket.
 BUCKET = 7 * 86_400_000_000
+#: Instants of a key in one bucket from which on it is numbered in FINE parts of the bucket.
+FULL, FINE = 1_000_000, 604_800
 
 
 def asof_join(
@@ -20,6 +22,7 @@ def asof_join(
     version_time: str,
     attributes: Sequence[str] = (),
     bucket: int = BUCKET,
+    full: int = FULL,
     version_as: str = "version_us",
 ) -> DataFrame:
     """Each event with the attributes of the latest version of its key that is not later than the event.
@@ -31,7 +34,8 @@ def asof_join(
     Method: the narrow distinct rows (key, time, is-version) are numbered by a cumulative count of versions; an event
     instant's number is the number of its version, and the wide rows are equi-joined on (key, number).  The count runs
     inside (key, time bucket) and starts from the versions in earlier buckets, so the rows of a hot key are spread
-    over its buckets, and many events at one instant are one narrow row.
+    over its buckets; a bucket with more than ``full`` instants of a key is divided further.  Many events at one instant
+    are one narrow row.
 
     Defined results: a null key or time matches nothing; repeated events keep their number of rows; empty tables give
     no rows; events may have any other columns except those added.
@@ -48,7 +52,10 @@ def asof_join(
         ver = ver.distinct()
     ins = events.select(F.col(key).alias("_k"), F.col(event_time).alias("_t")).where("_k IS NOT NULL AND _t IS NOT NULL").distinct()
     narrow = ver.select("_k", "_t", F.lit(1).alias("_is")).unionByName(ins.select("_k", "_t", F.lit(0).alias("_is")))
-    narrow = narrow.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket)))
+    narrow = narrow.withColumn("_w", F.floor(F.col("_t") / F.lit(bucket)))
+    crowded = narrow.groupBy("_k", "_w").agg(F.count("*").alias("_n")).where(F.col("_n") > full).select("_k", "_w", F.lit(True).alias("_full"))
+    part = F.floor((F.col("_t") - F.col("_w") * bucket) * FINE / bucket).cast("long")
+    narrow = narrow.join(crowded, ["_k", "_w"], "left").withColumn("_b", F.col("_w") * FINE + F.when(F.col("_full"), part).otherwise(F.lit(0))).drop("_w", "_full")
     per = narrow.groupBy("_k", "_b").agg(F.sum("_is").alias("_n"))
     w = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("_k", "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))

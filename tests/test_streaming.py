@@ -20,4 +20,7 @@ def test_state_follows_the_log(spark, tmp_path):
     q.stop()
     seen = {(x.claim_id, x.score) for x in live.current(spark, str(tmp_path / "out")).collect()}
     assert seen == {("A", 0.7)}
+    live.compact(spark, str(tmp_path / "out"), 2)
+    assert sorted(x.name for x in (tmp_path / "out" / "state").glob("batch=*")) == ["batch=2", "batch=3"]
+    assert {(x.claim_id, x.score) for x in live.current(spark, str(tmp_path / "out")).collect()} == seen
     assert live.rates(live.read_records(spark, str(flat))).isStreaming

@@ -23,8 +23,8 @@ def test_random(spark):
     rng = random.Random(3)
     ev = [(rng.choice(["a", "b", "hot", None]), rng.choice([None, rng.randrange(50)]), i % 3, "x") for i in range(150)]
     ver = [(rng.choice(["a", "hot", "hot", None]), rng.choice([None, rng.randrange(50)]), rng.choice([None, 0.1, 0.5]), "") for _ in range(60)]
-    for bucket in (7, 1000):
-        assert run(spark, ev + ev[:9], ver + ver[:9], bucket=bucket) == brute(ev + ev[:9], ver + ver[:9])
+    for bucket, full in ((7, 1_000_000), (1000, 1_000_000), (1000, 3)):  # the last one divides crowded buckets
+        assert run(spark, ev + ev[:9], ver + ver[:9], bucket=bucket, full=full) == brute(ev + ev[:9], ver + ver[:9])
 
 
 def test_empty(spark):

@@ -85,3 +85,31 @@ def test_anchored_record():
     assert chain.anchored(hashes[6], 7, proof, cp[1], head, pub)
     assert not chain.anchored(hashes[5], 7, proof, cp[1], head, pub) and not chain.anchored(hashes[6], 3, proof, cp[1], head, pub)
     assert not chain.anchored(hashes[6], 7, proof, cp[1], head | {"timestamp": "x"}, pub)
+
+
+def test_consolidation_pass(spark):
+    claims = spark.createDataFrame([(c, f"says {c}", 0.5, "prop:x" if c == "a" else None) for c in "abcde"], "claim_id string, statement string, score double, topic string")
+    reply = '{"same": [["a", "b"], ["b", "c"], ["d", "gone"]], "contradicts": [["e", "a"], ["b", "e"]], "supports": [["d", "e"]]}'
+    known = spark.createDataFrame([("e", "b")], "claim_a string, claim_b string")
+    got = consolidate.consolidation_pass(spark.createDataFrame([(reply,)], "reply string"), "reply", claims, known, T).collect()
+    assert {(r.type, r.payload) for r in got} == {
+        ("topic_assigned", '{"claim_id":"b","topic":"prop:a"}'), ("topic_assigned", '{"claim_id":"c","topic":"prop:a"}'),
+        ("contradiction", '{"claim_a":"a","claim_b":"e","p_loser_given_winner":0.1}'), ("support_proposed", '{"supports_id":"d","claim_id":"e"}')}
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "e"), ("a", "a")], "claim_a string, claim_b string")
+    text = "".join(r.prompt for r in consolidate.pair_prompts(claims, pairs, block=1).collect())
+    assert text.count("says a\n[b]") == 1 and text.count("says c\n[e]") == 1
+    assert consolidate.same_groups(pairs.limit(0)).count() == 0
+
+
+def test_matrix_is_validated(spark):
+    good = render.matrix_json([{"claim_id": "A", "statement": "x", "confidence": 0.5, "status": "active", "superseded_by": None}])
+    assert render.validate_matrix(good) == []
+    for bad in ("{", "[]", good.replace("0.5", "1.5"), good.replace('"active"', '"superseded"'), good.replace('"active": 1', '"active": 2'), good.replace('"statement"', '"text"')):
+        assert render.validate_matrix(bad)
+
+
+def test_story(spark):
+    from beliefloom.plans import demo
+
+    got = {r.claim_id: (r.new, r.flagged, r.decision_id) for r in demo.story(spark).collect()}
+    assert got == {"wheel": (0.05, True, None), "mill": (0.045, True, "order flour"), "bread": (round(0.045 * 0.95, 6), True, None)}
