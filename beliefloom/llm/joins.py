@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beliefloom.functions.text import words
+from beliefloom.session import cut
 
 
 def distinct_texts(rows: DataFrame, text: str, keys: list[str], *, as_set: bool = False) -> tuple[DataFrame, DataFrame]:
     """(texts, members): texts has ``rid`` and ``words`` once per distinct word sequence (or word set); members keys and rid.
 
-    rid is a 128-bit digest of the words, as binary.  Texts without any word are left out.
+    rid is a 128-bit digest of the words, as binary.  Texts without any word are left out.  Texts are split into words
+    once: what follows reads them from a table.
     """
     w = words(F.col(text))
-    w = F.array_sort(F.array_distinct(w)) if as_set else w
-    df = rows.select(*keys, w.alias("words")).where(F.size("words") > 0)
-    df = df.withColumn("rid", F.unhex(F.md5(F.array_join("words", " "))))
+    df = cut(rows.select(*keys, text).where(F.col(text).isNotNull()).distinct().select(*keys, (F.array_sort(F.array_distinct(w)) if as_set else w).alias("words")))
+    df = df.where(F.size("words") > 0).withColumn("rid", F.unhex(F.md5(F.array_join("words", " "))))
     return df.groupBy("rid").agg(F.first("words").alias("words")), df.select(*keys, "rid").distinct()
 
 

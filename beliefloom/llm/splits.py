@@ -124,8 +124,8 @@ def split_overlaps(evals: DataFrame, keys: Sequence[str], train: DataFrame, trai
     every pair of rows, one row each.  Defined results: null texts and texts without words match nothing; repeated rows
     count once; empty tables give no rows; other columns are ignored; keys and train_keys must not clash.
     """
-    et, em = joins.distinct_texts(evals.where(F.col(text).isNotNull()), text, list(keys))
-    tt, tm = joins.distinct_texts(train.where(F.col(text).isNotNull()), text, list(train_keys))
+    et, em = joins.distinct_texts(evals, text, list(keys))
+    tt, tm = joins.distinct_texts(train, text, list(train_keys))
     pairs = cross_split_pairs(et, tt, t)
     out = pairs.join(em, "rid").join(tm.withColumnRenamed("rid", "rid2"), "rid2")
     return out.groupBy(*keys, *train_keys).agg(F.max("likeness").alias("likeness"), F.max("overlap").alias("overlap"))
