@@ -9,14 +9,16 @@ from beliefloom.functions.text import words
 from beliefloom.session import cut
 
 
-def distinct_texts(rows: DataFrame, text: str, keys: list[str], *, as_set: bool = False) -> tuple[DataFrame, DataFrame]:
+def distinct_texts(rows: DataFrame, text: str, keys: list[str], *, as_set: bool = False, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """(texts, members): texts has ``rid`` and ``words`` once per distinct word sequence (or word set); members keys and rid.
 
-    rid is a 128-bit digest of the words, as binary.  Texts without any word are left out.  Texts are split into words
-    once: what follows reads them from a table.
+    rid is a 128-bit digest of the words, as binary.  Texts without any word are left out.  With ``keep`` texts are
+    split into words once and what follows reads them from a table, which pays where many rows repeat a text.
     """
     w = words(F.col(text))
-    df = cut(rows.select(*keys, text).where(F.col(text).isNotNull()).distinct().select(*keys, (F.array_sort(F.array_distinct(w)) if as_set else w).alias("words")))
+    df = rows.select(*keys, text).where(F.col(text).isNotNull())
+    df = (df.distinct() if keep else df).select(*keys, (F.array_sort(F.array_distinct(w)) if as_set else w).alias("words"))
+    df = cut(df) if keep else df
     df = df.where(F.size("words") > 0).withColumn("rid", F.unhex(F.md5(F.array_join("words", " "))))
     return df.groupBy("rid").agg(F.first("words").alias("words")), df.select(*keys, "rid").distinct()
 

@@ -296,7 +296,7 @@ def near_groups(rows: DataFrame, key: str, text: str, t: float = 0.8, *, target:
     them; repeated rows and other columns do not matter; an empty table gives no rows.
     """
     rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
-    texts, members = joins.distinct_texts(rows, "t", ["k"], as_set=True)
+    texts, members = joins.distinct_texts(rows, "t", ["k"], as_set=True, keep=True)
     members = cut(members)
     pairs = near_links(texts, t, target=target, hot=hot)
     # A link from each key to the smallest key with the same words, and between those for like texts: never all pairs of copies.
