@@ -16,6 +16,8 @@ from beliefloom.session import cut, release
 WINDOW, DIVISOR = 2, 3
 #: A pair that shares chunks of at least this part of the longer record's words meets by chunks, any other by single words.
 OVERLAP = 0.5
+#: Slots of the table of counts (for each grain and side).
+SLOTS = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,18 +56,83 @@ def chunk_digests(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(off, start, side="right") - 1, digest, n.astype(np.int32)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over (rid, lo, hi, h): a row for each different chunk of a record."""
+def _records(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a column of lists of word hashes."""
+    off = np.asarray(column.offsets).astype(np.int64)
+    flat = np.asarray(column.values)[off[0] : off[-1]] if len(column.values) else np.zeros(0, np.int64)
+    return flat.view(np.uint64), off - off[0]
+
+
+def _once(rec: np.ndarray, item: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each item of a record once, in the order (record, item)."""
+    order = np.lexsort((item, rec))
+    rec, item, w = rec[order], item[order], w[order]
+    first = np.flatnonzero(np.concatenate([[True], (rec[1:] != rec[:-1]) | (item[1:] != item[:-1])])) if len(rec) else np.zeros(0, np.int64)
+    return rec[first], item[first], w[first]
+
+
+def _grains(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(record, item, words) of the records' single words and of their chunks."""
+    flat, off = _records(column)
+    words = np.repeat(np.arange(len(off) - 1), off[1:] - off[:-1])
+    return [_once(words, flat, np.ones(len(flat), np.int32)), _once(*chunk_digests(flat, off))]
+
+
+def _slot(item: np.ndarray) -> np.ndarray:
+    return (_mix(item * _P) >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (lo, hi, h): how many records of each side hold an item of each slot, for both grains."""
+    n = np.zeros((2, 2, SLOTS), np.int64)
     for b in batches:
-        h = b.column("h")
-        off = np.asarray(h.offsets).astype(np.int64)
-        flat = (np.asarray(h.values)[off[0] : off[-1]] if len(h.values) else np.zeros(0, np.int64)).view(np.uint64)
-        rec, digest, n = chunk_digests(flat, off - off[0])
-        order = np.lexsort((digest, rec))
-        rec, digest, n = rec[order], digest[order], n[order]
-        one = np.flatnonzero(np.concatenate([[True], (rec[1:] != rec[:-1]) | (digest[1:] != digest[:-1])])) if len(rec) else np.zeros(0, np.int64)
-        rows = b.select(["rid", "lo", "hi"]).take(pa.array(rec[one]))
-        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(digest[one].view(np.int64)), pa.array(n[one])], names=["rid", "lo", "hi", "item", "w"])
+        sides = (np.asarray(b.column("lo")) == 0, np.asarray(b.column("hi")) == 1)
+        for grain, (rec, item, _) in enumerate(_grains(b.column("h"))):
+            for side, has in enumerate(sides):
+                n[grain, side] += np.bincount(_slot(item[has[rec]]), minlength=SLOTS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.ravel()[at])], names=["at", "n"])
+
+
+def _index(t: float, overlap: float, counts):
+    """mapInArrow over (rid, lo, hi, n, b0, b1, h): a row for each item by which a record may meet one of the other side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = counts.value[:, 0].astype(np.float64) * counts.value[:, 1]
+        for b in batches:
+            distinct = np.asarray(b.column("n")).astype(np.int64)
+            long = np.diff(np.asarray(b.column("h").offsets).astype(np.int64))
+            for grain, (rec, item, w) in enumerate(_grains(b.column("h"))):
+                cost = both[grain][_slot(item)]
+                rec, item, w, cost = (x[cost > 0] for x in (rec, item, w, cost))
+                least = np.ceil(distinct * t - 1e-9) if grain == 0 else long * overlap
+                total = np.bincount(rec, weights=w, minlength=len(distinct))
+                order = np.lexsort((item, cost, rec))
+                rec, item, w = rec[order], item[order], w[order]
+                # From the dearest on: what makes less than the part that like records share may be set aside.
+                upto = np.cumsum(w) - (np.cumsum(total) - total)[rec]
+                keep = (total[rec] - upto + w >= least[rec]) & ((grain == 1) | (total[rec] >= least[rec]))
+                rows = b.select(["rid", "lo", "hi", "n", "b0", "b1"]).take(pa.array(rec[keep]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(int(keep.sum()), grain, np.int32)), pa.array(item[keep].view(np.int64))], names=[*rows.schema.names, "grain", "item"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (rid, rid2, likeness, h, h2): with the words of the chunks that both share over the longer one's words."""
+    for b in batches:
+        parts = []
+        for c in ("h", "h2"):
+            flat, off = _records(b.column(c))
+            parts.append((_once(*chunk_digests(flat, off)), np.diff(off)))
+        (r1, d1, w1), (r2, d2, _) = parts[0][0], parts[1][0]
+        rec, item = np.concatenate([r1, r2]), np.concatenate([d1, d2])
+        order = np.lexsort((item, rec))
+        same = np.flatnonzero((rec[order][1:] == rec[order][:-1]) & (item[order][1:] == item[order][:-1])) if len(rec) else np.zeros(0, np.int64)
+        mine = np.minimum(order[same], order[same + 1])
+        n = np.bincount(r1[mine], weights=w1[mine], minlength=b.num_rows) if len(mine) else np.zeros(b.num_rows)
+        part = n / np.maximum(np.maximum(parts[0][1], parts[1][1]), 1)
+        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("rid2"), b.column("likeness"), pa.array(part)], names=["rid", "rid2", "likeness", "overlap"])
 
 
 def cross_split_pairs(evals: DataFrame, train: DataFrame, t: float = 0.8, *, overlap: float = OVERLAP) -> DataFrame:
@@ -79,42 +146,31 @@ def cross_split_pairs(evals: DataFrame, train: DataFrame, t: float = 0.8, *, ove
     meet in are set aside as long as they make less than the part ``overlap``, and the rest is joined across the sides.
     Pairs whose shared chunks may be shorter than that meet at the finest grain, where each word is a chunk of its own:
     as like records share at least the part t of their words, words of less than that part may be set aside without
-    losing any, so the result is exact.  A record with fewer words that the other side has is dropped at once.
-    Candidates are narrowed by size and a 128-bit bitmap (exact bounds) and verified on the words.
+    losing any, so the result is exact.  A record with fewer words that the other side has is dropped at once.  How many
+    records of each side hold an item is counted over all records, in a table of fixed size by the item's hash; it only
+    decides the order in which items are taken and what neither side needs, so items that share a slot cost time but no
+    pair.  Candidates are narrowed by size and a 128-bit bitmap (exact bounds) and verified on the words.
     """
     both = evals.select("rid", "words", F.lit(0).alias("side")).unionByName(train.select("rid", "words", F.lit(1).alias("side")))
     texts = both.groupBy("rid").agg(F.first("words").alias("words"), F.min("side").alias("lo"), F.max("side").alias("hi"))
     texts = cut(texts.withColumn("h", joins.hashes()))
-    chunks = cut(texts.select("rid", "lo", "hi", "h").mapInArrow(_chunks, "rid binary, lo int, hi int, item long, w int"))
+    counted = texts.select("lo", "hi", "h").mapInArrow(_count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(4 * SLOTS, np.int64)
+    counts[np.asarray(counted.column("at").combine_chunks())] = np.asarray(counted.column("n").combine_chunks())
+    shared = texts.sparkSession.sparkContext.broadcast(counts.reshape(2, 2, SLOTS))
     s = F.array_distinct("h")
-    wide = texts.select("rid", F.size("words").alias("long"), F.size(s).alias("n"), *joins.bitmap(s))
-    singles = texts.select("rid", "lo", "hi", F.explode(s).alias("item"), F.lit(1).alias("w"))
-    items = chunks.withColumn("grain", F.lit(1)).unionByName(singles.withColumn("grain", F.lit(0)))
-    on = lambda side: F.sum(F.when(F.col("lo" if side == 0 else "hi") == side, 1).otherwise(0))
-    cost = items.groupBy("grain", "item").agg((on(0) * on(1)).alias("cost")).where("cost > 0")
-    row = items.join(cost, ["grain", "item"]).groupBy("rid", "grain").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(F.collect_list(F.struct("cost", "item", "w"))).alias("its"))
-    row = row.join(wide, "rid")
-    # From the dearest on: how many may be set aside before they reach the part that may not.
-    most = F.when(F.col("grain") == 1, F.col("long") * overlap).otherwise(F.ceil(F.col("n") * t - 1e-9))
-    aside = F.aggregate(
-        F.reverse("its"), F.struct(F.lit(0).alias("cum"), F.lit(0).alias("k")),
-        lambda a, x: F.struct((a["cum"] + x["w"]).alias("cum"), F.when(a["cum"] + x["w"] < F.col("most"), a["k"] + 1).otherwise(a["k"]).alias("k")),
-    )["k"]
-    row = row.withColumn("most", most).where((F.col("grain") == 1) | (F.size("its") >= F.col("most")))
-    left = F.slice(F.col("its.item"), F.lit(1), F.size("its") - aside)
-    idx = cut(row.select("rid", "lo", "hi", "n", "b0", "b1", "grain", F.explode(left).alias("item")))
+    wide = texts.select("rid", "lo", "hi", F.size(s).alias("n"), *joins.bitmap(s), "h")
+    kinds = "rid binary, lo int, hi int, n int, b0 long, b1 long, grain int, item long"
+    idx = cut(wide.mapInArrow(_index(t, overlap, shared), kinds))
     e = idx.where("lo = 0").select("rid", "grain", "item", "n", "b0", "b1")
     r = idx.where("hi = 1").select(F.col("rid").alias("rid2"), "grain", "item", F.col("n").alias("n2"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
     cand = e.join(r, ["grain", "item"]).where(joins.within(t)).select("rid", "rid2").distinct()
-    w = texts.select("rid", "words")
-    pairs = cand.join(w, "rid").join(w.select(F.col("rid").alias("rid2"), F.col("words").alias("words2")), "rid2")
-    like = pairs.select("rid", "rid2", joins.likeness().alias("likeness"), F.greatest(F.size("words"), F.size("words2")).alias("long"))
-    like = cut(like.where(F.col("likeness") >= t - 1e-12))
+    w = texts.select("rid", "words", "h")
+    pairs = cand.join(w, "rid").join(w.select(F.col("rid").alias("rid2"), F.col("words").alias("words2"), F.col("h").alias("h2")), "rid2")
+    like = pairs.select("rid", "rid2", joins.likeness().alias("likeness"), "h", "h2").where(F.col("likeness") >= t - 1e-12)
+    out = cut(like.mapInArrow(_shared, "rid binary, rid2 binary, likeness double, overlap double"))
     release(idx, texts)
-    mine = like.join(chunks.select("rid", "item", "w"), "rid")
-    shared = mine.join(chunks.select(F.col("rid").alias("rid2"), "item"), ["rid2", "item"]).groupBy("rid", "rid2").agg(F.sum("w").alias("shared"))
-    out = like.join(shared, ["rid", "rid2"], "left")
-    return out.select("rid", "rid2", "likeness", (F.coalesce("shared", F.lit(0)) / F.col("long")).alias("overlap"))
+    return out
 
 
 def split_overlaps(evals: DataFrame, keys: Sequence[str], train: DataFrame, train_keys: Sequence[str], text: str, t: float = 0.8) -> DataFrame:
