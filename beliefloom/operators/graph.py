@@ -256,79 +256,114 @@ def revisit_order(out: dict[str, list[str]], root: str) -> list[str]:
     return order
 
 
-def propagate(claims: dict[str, tuple], edges: list[tuple], combos: dict[str, tuple], root: str, score: float, cutoff: float = CUTOFF) -> list[tuple]:
-    """(claim_id, old, new, flagged, position) of the claims that move when root's score becomes ``score``.
+def passes(claims: dict[str, tuple], edges: list[tuple], combos: dict[str, tuple], changes: list[tuple[str, float]], cutoff: float = CUTOFF) -> Iterator[tuple]:
+    """(root, claim_id, old, new, flagged, position, moved) of every claim that each root's change visits.
 
     claims: id -> (score, materiality, critical); edges: (seq, from_us, claim, supporter, p_given, p_given_not, strength);
     combos: id -> (kind, leak).  Dependents are visited once, in breadth-first order by edge seq.  A claim with a combo
     is computed jointly from all parents; any other takes over what its updated supporters say, in the order (from_us,
-    seq), the last one deciding.  Changes below the cutoff do not travel on.
+    seq), the last one deciding.  Changes below the cutoff do not travel on.  Claims that are not live have no old score.
     """
-    by_seq = sorted(edges)
     out: dict[str, list[str]] = {}
     into: dict[str, list[tuple]] = {}
-    for e in by_seq:
+    for e in sorted(edges):
         out.setdefault(e[3], []).append(e[2])
     for e in sorted(edges, key=lambda e: (e[1], e[0])):
         into.setdefault(e[2], []).append(e)
-    moved = {root: score}
-    result = []
-    for at, c in enumerate(revisit_order(out, root)):
-        if c not in claims:
-            continue
-        old, material, critical = claims[c]
-        hit = [e for e in into.get(c, ()) if e[3] in moved]
-        if not hit:
-            continue
-        if c in combos:
-            kind, leak = combos[c]
-            parents = {e[3]: (e[6], moved.get(e[3], claims[e[3]][0] if e[3] in claims else None)) for e in into[c]}
-            product = 1.0
-            for strength, p in parents.values():
-                if p is not None:
-                    product *= strength * p + (1 - strength) if kind == "noisy-and" else 1 - strength * p
-            new = leak + (1 - leak) * product if kind == "noisy-and" else 1 - (1 - leak) * product
-        else:
-            last = hit[-1]
-            new = last[4] * moved[last[3]] + last[5] * (1.0 - moved[last[3]])
-        if abs(new - old) < cutoff:
-            continue
-        moved[c] = new
-        result.append((c, old, new, abs(new - old) >= material or critical, at))
-    return result
+    for root, score in changes:
+        moved = {root: score}
+        for at, c in enumerate(revisit_order(out, root)):
+            if c not in claims:
+                yield root, c, None, None, False, at, False
+                continue
+            old, material, critical = claims[c]
+            hit = [e for e in into.get(c, ()) if e[3] in moved]
+            new = old
+            if hit and c in combos:
+                kind, leak = combos[c]
+                parents = {e[3]: (e[6], moved.get(e[3], claims[e[3]][0] if e[3] in claims else None)) for e in into[c]}
+                product = 1.0
+                for strength, p in parents.values():
+                    if p is not None:
+                        product *= strength * p + (1 - strength) if kind == "noisy-and" else 1 - strength * p
+                new = leak + (1 - leak) * product if kind == "noisy-and" else 1 - (1 - leak) * product
+            elif hit:
+                last = hit[-1]
+                new = last[4] * moved[last[3]] + last[5] * (1.0 - moved[last[3]])
+            if not hit or abs(new - old) < cutoff:
+                yield root, c, old, old, False, at, False
+                continue
+            moved[c] = new
+            yield root, c, old, new, bool(abs(new - old) >= material or critical), at, True
 
 
-def revisit(claims: DataFrame, edges: DataFrame, roots: DataFrame, combos: DataFrame | None = None, *, cutoff: float = CUTOFF) -> DataFrame:
-    """``root, claim_id, old, new, flagged, position`` for each hypothetical change (root, score) in ``roots``.
+def propagate(claims: dict[str, tuple], edges: list[tuple], combos: dict[str, tuple], root: str, score: float, cutoff: float = CUTOFF) -> list[tuple]:
+    """(claim_id, old, new, flagged, position) of the claims that move when root's score becomes ``score`` (see passes)."""
+    return [x[1:6] for x in passes(claims, edges, combos, [(root, score)], cutoff) if x[6]]
+
+
+_VISITS = "root string, claim_id string, old double, new double, flagged boolean, position int, moved boolean"
+
+
+def _visited(rows: Iterator[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 7
+    kinds = (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int32(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _VISITS.split(", ")])
+
+
+def _tables(nodes: pa.Table, edges: pa.Table) -> tuple[dict, dict, list]:
+    cols = lambda t, *names: zip(*(t.column(n).to_pylist() for n in names))
+    known = {c: (s, m, k) for c, s, m, k in cols(nodes, "claim_id", "score", "materiality", "critical") if s is not None}
+    joint = {c: (k, leak) for c, k, leak in cols(nodes, "claim_id", "combo", "leak") if k}
+    links = [(seq, us or 0, *rest) for seq, us, *rest in cols(edges, "seq", "from_us", "claim_id", "supports_id", "p_given", "p_given_not", "strength")]
+    return known, joint, links
 
-    claims: claim_id, score, materiality, critical; edges: claim_id, supports_id, p_given, p_given_not, strength,
-    from_us, seq.  The order of visits is part of the result, so each root is one walk; walks of different roots run in
-    parallel.  Every walk sees only the part of the graph that its root reaches, which is found by distributed joins
-    first and may hold at most KERNEL_EDGES edges.
+
+def visits(claims: DataFrame, edges: DataFrame, roots: DataFrame, combos: DataFrame | None = None, *, cutoff: float = CUTOFF) -> DataFrame:
+    """``root, claim_id, old, new, flagged, position, moved`` of every claim that each hypothetical change (root, score) visits.
+
+    claims: claim_id, score, materiality, critical (live ones, each once); edges: claim_id, supports_id, p_given,
+    p_given_not, strength, from_us, seq; combos: claim_id, combo, leak.  The order of visits is part of the result, so
+    each root is one walk; walks of different roots run in parallel.  A graph of a proven bounded size is sent to the
+    tasks whole; of a larger one every walk sees only the part that its root reaches, found by distributed joins first,
+    and that part may hold at most KERNEL_EDGES edges.
     """
-    r = roots.select(F.col("root"), F.col("score").alias("to"))
-    near = reach(edges, "supports_id", "claim_id", r.select("root")).select("root", F.col("node").alias("claim_id"))
-    part = cut(near.join(edges.select("claim_id", "supports_id", "p_given", "p_given_not", "strength", "from_us", "seq"), "claim_id"))
+    spark = claims.sparkSession
+    e = cut(edges.select("claim_id", "supports_id", "p_given", "p_given_not", "strength", "from_us", "seq").where("claim_id IS NOT NULL AND supports_id IS NOT NULL"))
+    r = roots.select(F.col("root").cast("string").alias("root"), F.col("score").cast("double").alias("to")).where("root IS NOT NULL")
+    combo = combos if combos is not None else claims.select("claim_id", F.lit(None).cast("string").alias("combo"), F.lit(None).cast("double").alias("leak")).limit(0)
+    state = claims.select("claim_id", "score", "materiality", "critical")
+    ends = e.select("claim_id").union(e.select("supports_id"))
+    if e.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES:
+        nodes = state.join(ends.distinct(), "claim_id", "left_semi").join(combo.select("claim_id", "combo", "leak"), "claim_id", "left")
+        shared = spark.sparkContext.broadcast((nodes.toArrow(), e.toArrow()))
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = None
+            for b in batches:
+                if b.num_rows:
+                    known = known or _tables(*shared.value)
+                    for root, to in zip(b.column("root").to_pylist(), b.column("to").to_pylist()):
+                        yield _visited(passes(known[0], known[2], known[1], [(root, to)], cutoff))
+
+        return r.mapInArrow(walk, _VISITS)
+    near = reach(e, "supports_id", "claim_id", r.select("root")).select("root", F.col("node").alias("claim_id"))
+    part = cut(near.join(e, "claim_id"))
     size = part.groupBy("root").count().agg(F.max("count")).first()[0] or 0
     if size > KERNEL_EDGES:
         raise ValueError(f"a root reaches {size} edges; more than {KERNEL_EDGES} do not fit one walk")
-    state = claims.select("claim_id", "score", "materiality", "critical")
-    nodes = part.select("root", "claim_id").union(part.select("root", F.col("supports_id"))).distinct().join(state, "claim_id")
-    combo = combos if combos is not None else claims.select("claim_id", F.lit(None).cast("string").alias("combo"), F.lit(None).cast("double").alias("leak")).limit(0)
+    nodes = part.select("root", "claim_id").union(part.select("root", F.col("supports_id"))).distinct().join(state, "claim_id", "left")
     nodes = nodes.join(combo.select("claim_id", "combo", "leak"), "claim_id", "left").join(r, "root")
-    schema = "root string, claim_id string, old double, new double, flagged boolean, position int"
-
-    def walk(n: pa.Table, e: pa.Table) -> pa.Table:
-        rows = n.to_pylist()
-        if not rows:
-            return pa.table({"root": pa.array([], pa.string()), "claim_id": pa.array([], pa.string()), "old": pa.array([], pa.float64()), "new": pa.array([], pa.float64()), "flagged": pa.array([], pa.bool_()), "position": pa.array([], pa.int32())})
-        known = {x["claim_id"]: (x["score"], x["materiality"], x["critical"]) for x in rows}
-        joint = {x["claim_id"]: (x["combo"], x["leak"]) for x in rows if x["combo"]}
-        links = [(x["seq"], x["from_us"] or 0, x["claim_id"], x["supports_id"], x["p_given"], x["p_given_not"], x["strength"]) for x in e.to_pylist()]
-        got = propagate(known, links, joint, rows[0]["root"], rows[0]["to"], cutoff)
-        cols = list(zip(*got)) if got else [[]] * 5
-        kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int32())
-        arrays = [pa.array(list(c), k) for c, k in zip(cols, kinds)]
-        return pa.table([pa.array([rows[0]["root"]] * len(got), pa.string()), *arrays], names=["root", "claim_id", "old", "new", "flagged", "position"])
-
-    return cut(nodes).groupBy("root").cogroup(part.groupBy("root")).applyInArrow(walk, schema)
+
+    def one(n: pa.Table, e: pa.Table) -> pa.Table:
+        if not len(n):
+            return pa.Table.from_batches([_visited(iter(()))])
+        known, joint, links = _tables(n, e)
+        return pa.Table.from_batches([_visited(passes(known, links, joint, [(n.column("root")[0].as_py(), n.column("to")[0].as_py())], cutoff))])
+
+    return cut(nodes).groupBy("root").cogroup(part.groupBy("root")).applyInArrow(one, _VISITS)
+
+
+def revisit(claims: DataFrame, edges: DataFrame, roots: DataFrame, combos: DataFrame | None = None, *, cutoff: float = CUTOFF) -> DataFrame:
+    """``root, claim_id, old, new, flagged, position`` of the claims that move, for each change in ``roots`` (see visits)."""
+    return visits(claims, edges, roots, combos, cutoff=cutoff).where("moved").drop("moved")

@@ -22,14 +22,12 @@ def report(claims: DataFrame, edges: DataFrame, roots: DataFrame, combos: DataFr
 
     n_cutoff are the live claims of the closure that did not move by the cutoff, whether their supporters moved or not.
     """
-    moves = cut(graph.revisit(claims, by_attachment(edges), roots, combos, cutoff=cutoff))
-    near = graph.reach(edges, "supports_id", "claim_id", roots.select("root")).select("root", F.col("node").alias("claim_id"))
-    live = claims.select("claim_id", F.lit(1).alias("live")).distinct()
-    size = near.join(live, "claim_id", "left").groupBy("root").agg(F.count("*").alias("closure_size"), F.count("live").alias("n_live"))
-    n = moves.groupBy("root").agg(F.count("*").alias("n_revisited"), F.count_if("flagged").alias("n_flags"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    s = roots.select("root").distinct().join(size, "root", "left").join(n, "root", "left").select("root", *(zero(c) for c in ("closure_size", "n_live", "n_revisited", "n_flags")))
-    return moves, s.select("root", "closure_size", "n_revisited", (F.col("n_live") - F.col("n_revisited")).alias("n_cutoff"), "n_flags")
+    seen = cut(graph.visits(claims, by_attachment(edges), roots, combos, cutoff=cutoff))
+    n = seen.groupBy("root").agg(
+        F.count("*").alias("closure_size"), F.count_if("moved").alias("n_revisited"), F.count_if(~F.col("moved") & F.col("old").isNotNull()).alias("n_cutoff"), F.count_if("flagged").alias("n_flags")
+    )
+    s = roots.select("root").distinct().join(n, "root", "left")
+    return seen.where("moved").drop("moved"), s.select("root", *(F.coalesce(c, F.lit(0)).alias(c) for c in n.columns[1:]))
 
 
 def decisions_affected(moves: DataFrame, decisions: DataFrame, roots: DataFrame | None = None) -> DataFrame:

@@ -173,6 +173,9 @@ def condition(f: tuple, columns: dict[str, Column] | None = None) -> Column:
     return F.coalesce(test, F.lit(op == "!="))
 
 
+_PARTS = frozenset(("versions", "edges", "log", "decisions", "writers", "combos"))
+
+
 @dataclass
 class Ledger:
     """The DataFrames a query runs over.
@@ -188,6 +191,14 @@ class Ledger:
     writers: DataFrame | None = None
     combos: DataFrame | None = None
 
+    def __getattribute__(self, name: str):
+        # A part may be given as a function that makes it; it is made when a query first reads it.
+        value = object.__getattribute__(self, name)
+        if name in _PARTS and callable(value):
+            value = value()
+            object.__setattr__(self, name, value)
+        return value
+
     def query(self, text: str) -> DataFrame:
         return execute(self, parse(text))
 
@@ -216,9 +227,16 @@ def execute(ledger: Ledger, plan: Plan) -> DataFrame:
     if plan.kind == "WHY":
         return why(ledger.edges.where(F.col("claim_id") == plan.ident), ledger.versions)
     if plan.kind == "HEALTH":
+        from beliefloom.operators.chain import chain_problems
+
         n = ledger.log.agg(F.count("*").alias("events"))
-        both = n.unionByName(live(ledger.versions).agg(F.count("*").alias("live_claims")), allowMissingColumns=True)
-        return both.agg(F.max("events").alias("events"), F.max("live_claims").alias("live_claims"))
+        n = n.unionByName(live(ledger.versions).agg(F.count("*").alias("live_claims")), allowMissingColumns=True)
+        if {"hash", "prev_hash", "payload"} <= set(ledger.log.columns):  # a chained log
+            n = n.unionByName(chain_problems(ledger.log).agg(F.count("*").alias("problems")), allowMissingColumns=True)
+        else:
+            n = n.withColumn("problems", F.lit(0).cast("long"))
+        row = n.agg(*(F.max(c).alias(c) for c in ("events", "live_claims", "problems")))
+        return row.withColumn("ok", F.col("problems") == 0)
     root = spark.createDataFrame([(plan.ident,)], "root string")
     if plan.kind == "DEPENDS":
         return graph.reach(ledger.edges, "supports_id", "claim_id", root).select(F.col("node").alias("claim_id"), "distance")

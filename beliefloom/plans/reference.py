@@ -179,9 +179,13 @@ def claims_filtered(spark, sf):
 
 
 def ledger(spark: SparkSession, sf: str) -> lql.Ledger:
-    d = fold.decisions(log(spark, sf)).withColumn("decision_id", F.concat("store", F.lit("/"), F.col("seq").cast("string")))
-    d = d.join(log(spark, sf).select("store", "seq", "t_us"), ["store", "seq"])
-    return lql.Ledger(hist(spark, sf), edges(spark, sf).select("claim_id", "supports_id", "kind", "p_given", "p_given_not", "strength", "from_us"), log(spark, sf), d, tiers(spark, sf))
+    def decisions() -> DataFrame:
+        lg = log(spark, sf)
+        d = fold.decisions(lg).withColumn("decision_id", F.concat("store", F.lit("/"), F.col("seq").cast("string")))
+        return d.join(lg.select("store", "seq", "t_us"), ["store", "seq"])
+
+    links = lambda: edges(spark, sf).select("claim_id", "supports_id", "kind", "p_given", "p_given_not", "strength", "from_us")
+    return lql.Ledger(lambda: hist(spark, sf), links, lambda: log(spark, sf), decisions, lambda: tiers(spark, sf))
 
 
 def tiers(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,7 +225,15 @@ def lql_decisions(spark, sf):
     return ledger(spark, sf).query("DECISIONS WHERE kind = 'claim_status_changed' AND actor != 'human-c'").select("store", "seq")
 
 
-@query(f"WITH {_REC}, {_HIST} SELECT (SELECT count(*) FROM rec) AS events, (SELECT count(*) FROM hist WHERE to_us IS NULL) AS live_claims")
+_part = lambda x: f"unhex(printf('%08x', octet_length(encode({x})))) || encode({x})"
+_HASHED = f"""{_REC},
+kv AS (SELECT store, seq, j, unnest(list_sort(json_keys(j))) AS k FROM rec),
+canon AS (SELECT store, seq, '{{' || string_agg(to_json(k)::VARCHAR || ':' || CASE WHEN json_type(j->k) = 'VARCHAR' THEN to_json(j->>k)::VARCHAR ELSE (j->k)::VARCHAR END, ',' ORDER BY k) || '}}' AS body FROM kv GROUP BY store, seq),
+hashed AS (SELECT r.*, sha256('ELCHAIN1'::BLOB || {' || '.join(map(_part, ('r.seq::VARCHAR', 't', 'actor', 'type', 'body', 'prev_hash')))}) = hash AS ok FROM rec r JOIN canon c ON c.store = r.store AND c.seq = r.seq)"""
+
+
+@query(f"""WITH {_HASHED}, {_HIST}, bad AS (SELECT count(*) AS n FROM hashed r LEFT JOIN hashed p ON p.store = r.store AND p.seq = r.seq - 1 WHERE NOT r.ok OR r.prev_hash IS DISTINCT FROM CASE WHEN r.seq = 1 THEN repeat('0', 64) ELSE p.hash END)
+    SELECT (SELECT count(*) FROM rec) AS events, (SELECT count(*) FROM hist WHERE to_us IS NULL) AS live_claims, n AS problems, n = 0 AS ok FROM bad""")
 def lql_health(spark, sf):
     return ledger(spark, sf).query("HEALTH")
 
@@ -617,13 +629,6 @@ def chain_problems(spark, sf):
     return chain.chain_problems(log(spark, sf))
 
 
-_part = lambda x: f"unhex(printf('%08x', octet_length(encode({x})))) || encode({x})"
-_HASHED = f"""{_REC},
-kv AS (SELECT store, seq, j, unnest(list_sort(json_keys(j))) AS k FROM rec),
-canon AS (SELECT store, seq, '{{' || string_agg(to_json(k)::VARCHAR || ':' || CASE WHEN json_type(j->k) = 'VARCHAR' THEN to_json(j->>k)::VARCHAR ELSE (j->k)::VARCHAR END, ',' ORDER BY k) || '}}' AS body FROM kv GROUP BY store, seq),
-hashed AS (SELECT r.*, sha256('ELCHAIN1'::BLOB || {' || '.join(map(_part, ('r.seq::VARCHAR', 't', 'actor', 'type', 'body', 'prev_hash')))}) = hash AS ok FROM rec r JOIN canon c ON c.store = r.store AND c.seq = r.seq)"""
-
-
 @query(f"WITH {_HASHED} SELECT store, count(*) AS n, count(*) FILTER (ok) AS n_ok FROM hashed GROUP BY store")
 def chain_hashes(spark, sf):
     r = chain.rehashed(log(spark, sf))

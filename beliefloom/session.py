@@ -104,9 +104,9 @@ def cut_split(df: DataFrame, flag: str, **figures: Column) -> tuple[DataFrame, D
     spark = df.sparkSession
     path = f"{_run_dir(spark)}/{uuid.uuid4().hex}"
     seen = Observation()
-    df = df.observe(seen, *(c.alias(n) for n, c in figures.items()))
-    df.write.option("compression", "lz4").partitionBy(flag).parquet(path)
-    got = seen.get
+    counted = df.observe(seen, *(c.alias(n) for n, c in figures.items())) if figures else df
+    counted.write.option("compression", "lz4").partitionBy(flag).parquet(path)
+    got = seen.get if figures else {}
     whole = spark.read.schema(df.schema).parquet(path)
     parts = []
     for value in (True, False):
