@@ -283,7 +283,7 @@ def record_faults(spark, sf):
 
 
 @query(f"""WITH {_VER} SELECT r.store, count(*) AS events, (SELECT count(DISTINCT claim_id) FROM ver v WHERE v.store = r.store AND txn_to IS NULL) AS live_claims, max(seq) AS head_seq, arg_max(hash, seq) AS head_hash,
-    max(seq) // 1024 AS checkpoints, count(*) FILTER (sig IS NULL) AS unsigned, 0 AS problems, true AS ok FROM rec r GROUP BY r.store""")
+    max(seq) // 1024 AS checkpoints, count(*) FILTER (sig IS NULL) AS unsigned, 0::BIGINT AS problems, true AS ok FROM rec r GROUP BY r.store""")
 def store_health(spark, sf):
     return audit.health(log(spark, sf))
 
