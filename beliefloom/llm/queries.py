@@ -12,6 +12,7 @@ from beliefloom.llm.neardup import near_groups
 from beliefloom.llm.packing import CAPACITY, DOCS, pack, packing_report
 from beliefloom.llm.residue import residue
 from beliefloom.llm.splits import split_overlaps
+from beliefloom.operators.audit import topics
 from beliefloom.session import cut
 
 
@@ -36,6 +37,13 @@ def p1_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_found(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("n_claims"))
 
 
+def p1_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topic that each member of a group of same claims gets."""
+    groups = components(same_pairs(spark, sf_dir), "claim_a", "claim_b")
+    none = spark.createDataFrame([], "claim_id string, topic string")
+    return topics(groups, none)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "claims"), "claim_id", "statement", 0.6)
 
@@ -142,7 +150,7 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p2_found": p2_found,
+    "p1_found": p1_found, "p1_group_sizes": p1_group_sizes, "p1_topics": p1_topics, "p2_found": p2_found,
     "p6_found": p6_found, "p6_overlaps": p6_overlaps, "p6_likeness": p6_likeness, "p6_counts": p6_counts,
     "p7_packed": p7_packed, "p7_balanced": p7_balanced, "p7_limits": p7_limits, "p7_report": p7_report, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items,
     "p9_found": p9_found, "p9_report": p9_report, "p9_kept": p9_kept,
@@ -190,13 +198,14 @@ leak AS (SELECT DISTINCT doc_id, item_id, suite FROM dw JOIN iw USING (win))
 ORACLES = {
     "p1_found": f"WITH RECURSIVE {_GROUPS} SELECT id AS claim_id, low AS group_id FROM lab",
     "p1_group_sizes": f"WITH RECURSIVE {_GROUPS} SELECT low AS group_id, count(*) AS n_claims FROM lab GROUP BY low",
+    "p1_topics": f"WITH RECURSIVE {_GROUPS} SELECT id AS claim_id, 'prop:' || low AS topic FROM lab",
     "p2_found": f"WITH RECURSIVE {_NEAR} SELECT id AS claim_id, low AS group_id FROM lab",
     "p6_found": f"WITH {_SPLITS} SELECT DISTINCT split, prop_id, field, pos, example_id FROM cases",
     "p6_counts": f"""WITH {_SPLITS} SELECT split, train_source, count(*) AS n_cases, count(DISTINCT prop_id) AS n_props, count(DISTINCT example_id) AS n_examples FROM cases
         GROUP BY split, train_source""",
     "p6_likeness": f"""WITH {_SPLITS} SELECT split, prop_id, field, pos::INTEGER AS pos, example_id, source AS train_source, max(floor(likeness * 1000000)::BIGINT) AS likeness_ppm
         FROM hit JOIN es USING (eid) JOIN ts USING (tid) GROUP BY ALL""",
-    "p7_limits": """SELECT packing, count(DISTINCT doc_id) AS n_docs, 0 AS n_torn, 0 AS n_over_tokens, 0 AS n_over_pieces, 0 AS n_over_cost
+    "p7_limits": """SELECT packing, count(DISTINCT doc_id) AS n_docs, 0::BIGINT AS n_torn, 0::BIGINT AS n_over_tokens, 0::BIGINT AS n_over_pieces, 0::BIGINT AS n_over_cost
         FROM documents, (VALUES ('p7_packed'), ('p7_balanced')) AS x(packing) WHERE doc_id IS NOT NULL GROUP BY packing""",
     "p8_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM leak",
     "p8_items": f"WITH {_LEAKS} SELECT suite, item_id, count(DISTINCT doc_id) AS n_docs FROM leak GROUP BY suite, item_id",
