@@ -124,6 +124,18 @@ def release(*dfs: DataFrame | None) -> None:
             _delete(df.sparkSession, path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out over all cores if it is a plain scan in far fewer parts than there are cores.
+
+    Small files come in one part, which would leave all work on them to one core; inputs of some size are left as they are.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "AdaptiveSparkPlan" in plan or "Exchange" in plan:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, hinted for broadcast only if it is proven to have at most ``rows`` rows (counted up to that bound)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

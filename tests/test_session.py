@@ -46,3 +46,11 @@ def test_counting(spark):
     assert got == {"n": 5, "big": 2}
     _, got = S.cut_counting(spark.range(0), n=F.count("*"), big=F.sum("id"))
     assert got == {"n": 0, "big": 0}
+
+
+def test_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = S.spread(spark.read.parquet(str(tmp_path / "one")).where("id >= 0"))
+    assert one.rdd.getNumPartitions() > 1 and one.count() == 100
+    many = spark.range(0, 100, 1, 16)
+    assert S.spread(many) is many and S.spread(one) is one
