@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from beliefloom.functions.text import words
 from beliefloom.llm.joins import hashes
-from beliefloom.session import cut
+from beliefloom.session import cut, spread
 
 #: Words of the smallest window; word edits (insertions, deletions, substitutions) that such a window may have.
 RUN, EDITS = 12, 2
@@ -314,7 +314,7 @@ def window_matches(docs: DataFrame, doc: str, text: str, items: DataFrame, item:
         raise ValueError("edits must be less than half of run")
     spark = docs.sparkSession
     dk, ik = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    d = docs.select(F.col(doc).alias("key"), F.col(text).alias("t")).where("key IS NOT NULL AND t IS NOT NULL").select("key", words(F.col("t")).alias("words"))
+    d = spread(docs.select(F.col(doc).alias("key"), F.col(text).alias("t")).where("key IS NOT NULL AND t IS NOT NULL")).select("key", words(F.col("t")).alias("words"))
     i = items.select(F.col(item).alias("key"), F.col(item_text).alias("t")).where("key IS NOT NULL AND t IS NOT NULL").distinct().select("key", words(F.col("t")).alias("words"))
     d = d.where(F.size("words") >= run - edits).select("key", hashes().alias("h"))
     i = cut(i.where(F.size("words") >= run).select("key", hashes().alias("h")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beliefloom.session import cut
+from beliefloom.session import cut, spread
 
 #: The tokenizer's vocabulary; a parameter, never copied.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -92,7 +92,7 @@ def pack(docs: DataFrame, key: str, text: str, *, tokenizer: str = TOKENIZER, ca
     if not cost > 0:
         raise ValueError("max_cost must be positive")
     kind = docs.schema[key].dataType.simpleString()
-    src = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL")
+    src = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL"))
     n = src.mapInArrow(token_counts(tokenizer), f"key {kind}, n_tokens long").groupBy("key").agg(F.max("n_tokens").alias("n"))
     cuts = F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity))).otherwise(F.array(F.lit(0).cast("long")))
     pieces = n.select("key", "n", F.explode(cuts).alias("piece")).withColumn("piece", F.col("piece").cast("int"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beliefloom import session
 
 ORDERS, BINS = 5, 1 << 17
 #: Characters of a likelihood-ratio window; share of the content that residue must cover; least characters of content.
@@ -392,7 +393,7 @@ def fit(docs: DataFrame, key: str, text: str, *, sample: int = SAMPLE) -> Model:
     src = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull())
     if n > sample:
         src = src.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    src = src.select(F.col(text).alias("text"))
+    src = session.spread(src.select(F.col(text).alias("text")))
     seeds = seed_counts()
     counts = seeds
     for step, sure in enumerate(SURE):
@@ -423,7 +424,7 @@ def residue(docs: DataFrame, key: str, text: str, *, coverage: float = COVERAGE,
     Defined results: null and blank texts are not residue; rows with a null key are left out; of several texts of one
     key each is judged and the key is residue if any is; an empty table gives no rows.  Texts are read whole.
     """
-    src = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL")
+    src = session.spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL"))
     shared = docs.sparkSession.sparkContext.broadcast(packed((model or fit(docs, key, text)).counts))
     kind = docs.schema[key].dataType.simpleString()
 
