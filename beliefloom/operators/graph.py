@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from beliefloom.session import cut
 KERNEL_EDGES, KERNEL_STEPS, KERNEL_ROOTS = 1_000_000, 16_000_000, 4096
 #: Bytes, about, and 64-bit words of a row that the bit sets of a block take.
 SET_BYTES, SET_WORDS = 1 << 25, 64
+#: Places (walks of a block times nodes) that a block of counted walks keeps; rows of a batch of visits.
+PLACES, ROWS = 1 << 24, 65_536
 #: Smallest change that propagates; largest path count.
 CUTOFF, SATURATED = 0.005, 10**15
 
@@ -268,7 +271,7 @@ def passes(claims: dict[str, tuple], edges: list[tuple], combos: dict[str, tuple
     into: dict[str, list[tuple]] = {}
     for e in sorted(edges):
         out.setdefault(e[3], []).append(e[2])
-    for e in sorted(edges, key=lambda e: (e[1], e[0])):
+    for e in sorted(edges, key=lambda e: (e[1], e)):
         into.setdefault(e[2], []).append(e)
     for root, score in changes:
         moved = {root: score}
@@ -343,8 +346,9 @@ def visits(claims: DataFrame, edges: DataFrame, roots: DataFrame, combos: DataFr
             for b in batches:
                 if b.num_rows:
                     known = known or _tables(*shared.value)
-                    for root, to in zip(b.column("root").to_pylist(), b.column("to").to_pylist()):
-                        yield _visited(passes(known[0], known[2], known[1], [(root, to)], cutoff))
+                    changes = list(zip(b.column("root").to_pylist(), b.column("to").to_pylist()))
+                    for rows in batched(passes(known[0], known[2], known[1], changes, cutoff), ROWS):
+                        yield _visited(iter(rows))
 
         return r.mapInArrow(walk, _VISITS)
     near = reach(e, "supports_id", "claim_id", r.select("root")).select("root", F.col("node").alias("claim_id"))
@@ -367,3 +371,120 @@ def visits(claims: DataFrame, edges: DataFrame, roots: DataFrame, combos: DataFr
 def revisit(claims: DataFrame, edges: DataFrame, roots: DataFrame, combos: DataFrame | None = None, *, cutoff: float = CUTOFF) -> DataFrame:
     """``root, claim_id, old, new, flagged, position`` of the claims that move, for each change in ``roots`` (see visits)."""
     return visits(claims, edges, roots, combos, cutoff=cutoff).where("moved").drop("moved")
+
+
+def _walkable(claims: DataFrame, edges: DataFrame) -> dict | None:
+    """A graph of a proven bounded size as arrays over its nodes and over its edges, these by supporter in the order of visits.
+
+    rank: where an edge stands among all in the order (from_us, seq), then by all else.  None if there are more than KERNEL_EDGES edges.
+    """
+    e = cut(edges.select(F.col("claim_id").cast("string").alias("claim_id"), F.col("supports_id").cast("string").alias("supports_id"), "p_given", "p_given_not", "strength", "from_us", "seq").where("claim_id IS NOT NULL AND supports_id IS NOT NULL"))
+    if e.limit(KERNEL_EDGES + 1).count() > KERNEL_EDGES:
+        return None
+    ends = e.select("claim_id").union(e.select("supports_id")).distinct()
+    state = claims.select(F.col("claim_id").cast("string").alias("claim_id"), F.col("score").cast("double").alias("score"), F.col("materiality").cast("double").alias("materiality"), "critical").where("score IS NOT NULL")
+    got, nodes = e.toArrow(), state.join(ends, "claim_id", "left_semi").toArrow()
+    t, s = (got.column(c).combine_chunks() for c in ("claim_id", "supports_id"))
+    names = pc.unique(pa.concat_arrays([s, t]))
+    names = names.take(pc.array_sort_indices(names))
+    to, by = (np.asarray(pc.index_in(x, names)).astype(np.int64) for x in (t, s))
+    p, q, strength = (np.asarray(pc.fill_null(got.column(c).cast(pa.float64()), np.nan)) for c in ("p_given", "p_given_not", "strength"))
+    us, seq = (np.asarray(pc.fill_null(got.column(c).cast(pa.int64()), 0)) for c in ("from_us", "seq"))
+    gap = np.asarray(pc.or_(pc.is_null(got.column("p_given")), pc.is_null(got.column("p_given_not"))))
+    rest = (strength, q, p, by, to)
+    rank = np.empty(len(to), np.int64)
+    rank[np.lexsort((*rest, seq, us))] = np.arange(len(to))
+    order = np.lexsort((*rest, us, seq, by))
+    at = np.asarray(pc.index_in(nodes.column("claim_id").combine_chunks(), names)).astype(np.int64)
+    live, score, material, critical = np.zeros(len(names), bool), np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names), bool)
+    live[at], score[at] = True, np.asarray(nodes.column("score"))
+    material[at], critical[at] = np.asarray(pc.fill_null(nodes.column("materiality"), np.nan)), np.asarray(pc.fill_null(nodes.column("critical"), False))
+    first = np.searchsorted(by[order], np.arange(len(names) + 1))
+    return {"names": names, "live": live, "score": score, "materiality": material, "critical": critical, "first": first, "to": to[order], "p": p[order], "q": q[order], "gap": gap[order], "rank": rank[order]}
+
+
+def _tally(g: dict, roots: np.ndarray, to: np.ndarray, cutoff: float, material: float) -> np.ndarray:
+    """(4, roots): true moves, moves, both, flags of the walks (see passes, tallies) from some roots, all of them layer by layer.
+
+    Of the supporters of a claim in one layer, those visited before it stand in the layer above or earlier in its own.
+    """
+    n, first, target, rank, p, q = len(g["live"]), g["first"], g["to"], g["rank"], g["p"], g["q"]
+    out = np.zeros((4, len(roots)), np.int64)
+    lane, node, begin = np.arange(len(roots)), roots, 1
+    seen = np.zeros(len(roots) * n, np.int32)  # the place of each visit: later visits of a walk have larger ones
+    seen[lane * n + node] = begin + lane
+    cutoffs = (cutoff, 0.0)
+    moved, value, best = [np.ones(len(roots), bool)] * 2, [to, to], [np.full(len(roots), -1)] * 2
+    while len(node):
+        size = first[node + 1] - first[node]
+        src = np.repeat(np.arange(len(node)), size)
+        e = np.arange(len(src)) + np.repeat(first[node] - (np.cumsum(size) - size), size)
+        key = lane[src] * n + target[e]
+        at = seen[key]
+        old = g["score"][node]
+        # Edges to later claims of the same layer, by these: each is final when the next reads it.
+        near = np.flatnonzero((at > src + begin) & g["live"][target[e]])
+        near = near[np.argsort(at[near], kind="stable")]
+        for mv, v, top, least in zip(moved, value, best, cutoffs):
+            for x, s, k in zip((at[near] - begin).tolist(), src[near].tolist(), e[near].tolist()):
+                if mv[s] and rank[k] > top[x]:
+                    if g["gap"][k]:
+                        raise ValueError("a claim that moves rests on an edge without p_given or p_given_not")
+                    top[x], v[x] = rank[k], p[k] * v[s] + q[k] * (1.0 - v[s])
+                    mv[x] = not abs(v[x] - old[x]) < least
+        if begin > 1:
+            change = np.abs(value[0] - old)
+            true = moved[1] & (np.abs(value[1] - old) >= material)
+            flag = moved[0] & ((change >= g["materiality"][node]) | g["critical"][node])
+            for i, some in enumerate((true, moved[0], true & moved[0], flag)):
+                out[i] += np.bincount(lane[some], minlength=len(roots))
+        # The next layer: each node where it is first met.
+        begin += len(node)
+        fresh = np.flatnonzero(at == 0)
+        key, src, e = key[fresh], src[fresh], e[fresh]
+        seen[key[::-1]] = np.arange(begin + len(key), begin, -1)
+        head = np.flatnonzero(seen[key] == np.arange(begin + 1, begin + len(key) + 1))
+        seen[key[head]] = begin + np.arange(len(head))
+        x, live = seen[key] - begin, g["live"][target[e]]
+        lane, node = lane[src[head]], target[e[head]]
+        for m, least in enumerate(cutoffs):
+            hit = np.flatnonzero(moved[m][src] & live)
+            top = np.full(len(node), -1)
+            np.maximum.at(top, x[hit], rank[e[hit]])
+            last = hit[top[x[hit]] == rank[e[hit]]]
+            if g["gap"][e[last]].any():
+                raise ValueError("a claim that moves rests on an edge without p_given or p_given_not")
+            v, was = np.zeros(len(node)), value[m][src[last]]
+            v[x[last]] = p[e[last]] * was + q[e[last]] * (1.0 - was)
+            value[m], best[m] = v, top
+            moved[m] = (top >= 0) & ~(np.abs(v - g["score"][node]) < least)
+    return out
+
+
+def tallies(claims: DataFrame, edges: DataFrame, roots: DataFrame, *, cutoff: float = CUTOFF, material: float = 0.05) -> DataFrame | None:
+    """``root, n_truth, n_revisited, hit, flags`` of each change that moves a claim: what visits() with the cutoff finds against visits() without one, counted.
+
+    n_truth: claims that move by at least ``material`` without a cutoff; n_revisited, flags: claims that move, and are flagged, with it;
+    hit: both.  Claims without combos.  Every walk is whole; no visit is ever a row.  None if the graph has more than KERNEL_EDGES edges.
+    """
+    g = _walkable(claims, edges)
+    if g is None:
+        return None
+    spark = edges.sparkSession
+    r = cut(roots.select(F.col("root").cast("string").alias("root"), F.col("score").cast("double").alias("to")).where("root IS NOT NULL"))
+    n = r.count()
+    lanes = max(1, min(PLACES // max(1, len(g["live"])), -(-n // (4 * spark.sparkContext.defaultParallelism))))
+    shared = spark.sparkContext.broadcast(g)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g = shared.value
+            at = pc.index_in(b.column("root"), g["names"])
+            b = b.filter(pc.is_valid(at))
+            at, to = np.asarray(at.drop_null()).astype(np.int64), np.asarray(b.column("to"))
+            for lo in range(0, len(at), lanes):
+                got = _tally(g, at[lo : lo + lanes], to[lo : lo + lanes], cutoff, material)
+                some = np.flatnonzero(got[:2].any(axis=0))
+                yield pa.RecordBatch.from_arrays([b.column("root").take(pa.array(some + lo)), *(pa.array(x[some]) for x in got)], names=["root", "n_truth", "n_revisited", "hit", "flags"])
+
+    return r.repartition(max(1, -(-n // lanes))).mapInArrow(walk, "root string, n_truth long, n_revisited long, hit long, flags long")

@@ -178,5 +178,21 @@ def trigger_quality(moves: DataFrame, exact: DataFrame, material: float = 0.05)
     n = truth.join(got, ["root", "claim_id"], "full_outer").groupBy("root").agg(
         F.count("true").alias("n_truth"), F.count("got").alias("n_revisited"), F.count_if(F.col("true").isNotNull() & F.col("got").isNotNull()).alias("hit"), F.coalesce(F.sum("flag"), F.lit(0)).alias("flags")
     )
+    return _shares(n)
+
+
+def _shares(n: DataFrame) -> DataFrame:
     share = lambda of: F.when(F.col(of) > 0, F.col("hit") / F.col(of)).otherwise(F.lit(1.0))
     return n.select("root", "n_truth", "n_revisited", share("n_truth").alias("recall"), share("n_revisited").alias("precision"), "flags")
+
+
+def quality(claims: DataFrame, edges: DataFrame, roots: DataFrame, combos: DataFrame | None = None, *, cutoff: float = graph.CUTOFF, material: float = 0.05) -> DataFrame:
+    """trigger_quality() of the changes in roots, with the moves counted where they are found (see graph.tallies).
+
+    Claims with combos and graphs beyond graph.KERNEL_EDGES edges take the rows of two passes.
+    """
+    e = by_attachment(edges)
+    n = graph.tallies(claims, e, roots, cutoff=cutoff, material=material) if combos is None else None
+    if n is not None:
+        return _shares(n)
+    return trigger_quality(graph.revisit(claims, e, roots, combos, cutoff=cutoff), graph.revisit(claims, e, roots, combos, cutoff=0.0), material)

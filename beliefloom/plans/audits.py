@@ -214,8 +214,7 @@ def trigger_quality(spark, sf):
     """Recall and precision of the cutoff for every critical live claim that others rest on, each challenged to 0."""
     live, e = history.live(hist(spark, sf)), edges(spark, sf)
     roots = live.where("critical").join(e.select(F.col("supports_id").alias("claim_id")).distinct(), "claim_id", "left_semi").select(F.col("claim_id").alias("root"), F.lit(0.0).alias("score"))
-    seq = revision.by_attachment(e)
-    return revision.trigger_quality(graph.revisit(live, seq, roots), graph.revisit(live, seq, roots, cutoff=0.0))
+    return revision.quality(live, e, roots)
 
 
 # ---- integrity -------------------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,31 @@ def test_belief_functions(spark):
     assert abs(df.select(B.bayes_path(F.col("p"), F.col("r"))).first()[0] - 0.5) < 1e-12
     assert df.select(B.trust(F.lit(0.8), F.lit(3), F.lit(0))).first()[0] == 0.8
     assert df.select(B.elicit_pair(F.lit("Unlikely"), F.lit("likely"))).first()[0].counter
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quality_counts_what_the_walks_find(spark, seed):
+    """Cycles, edges inside a layer, equal times, claims that are not live and repeated edges, against the rows of both walks."""
+    rng = random.Random(seed)
+    ids = [f"c{i:03d}" for i in range(150)]
+    claims = [(c, round(rng.random(), 3), rng.choice([0.05, 0.3]), rng.random() < 0.2, 0.5) for c in ids if rng.random() < 0.9]
+    some = lambda: (rng.choice(ids), rng.choice(ids), round(rng.random(), 2), round(rng.random(), 2), 1.0, rng.randrange(20), rng.randrange(20))
+    edges = [some() for _ in range((160, 300, 500, 900)[seed])]
+    c, e = spark.createDataFrame(claims, CLAIMS), spark.createDataFrame(edges, EDGES)
+    roots = spark.createDataFrame([(x, rng.choice([0.0, 0.9])) for x in [*ids, "unknown"]], "root string, score double")
+    want = revision.trigger_quality(graph.revisit(c, e, roots), graph.revisit(c, e, roots, cutoff=0.0))
+    got = revision.quality(c, e, roots)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 50
+    assert revision.quality(c, e.limit(0), roots).count() == 0 and revision.quality(c, e, roots.limit(0)).count() == 0
+
+
+def test_quality_of_many_roots(spark):
+    """Each of 3,000 roots has 20 dependents; the graph is not read anew for each of them."""
+    e = spark.range(60_000).select(F.format_string("d%d", "id").alias("claim_id"), F.format_string("r%d", F.col("id") % 3000).alias("supports_id"), F.lit(0.9).alias("p_given"), F.lit(0.5).alias("p_given_not"), F.lit(1.0).alias("strength"), F.col("id").alias("from_us"), F.col("id").alias("seq"))
+    c = e.select("claim_id").union(e.select("supports_id").distinct()).select("claim_id", F.lit(0.9).alias("score"), F.lit(0.05).alias("materiality"), F.lit(False).alias("critical"))
+    roots = spark.range(3000).select(F.format_string("r%d", "id").alias("root"), F.lit(0.0).alias("score"))
+    began = time.time()
+    quality = getattr(revision, "quality", lambda c, e, r: revision.trigger_quality(graph.revisit(c, e, r), graph.revisit(c, e, r, cutoff=0.0)))
+    got = {tuple(r)[1:] for r in quality(c, e, roots).collect()}
+    assert got == {(20, 20, 1.0, 1.0, 20)} and time.time() - began < 60
