@@ -136,10 +136,12 @@ def unfilled(text: str) -> list[str]:
 _MARKS = "{}<>[]%@$_("
 _IDS = re.compile(r"\b(?:(?=\w*\d)[\w#.\-]*\w|\w[\w\-]*(?:\.\w[\w\-]*)+)\b")
 
+_BLANKS = re.compile(r"[ \t\xa0]{2,}|[\t\xa0]")
+
 
 def normal(text: str) -> str:
     """Lower case, each token with a digit or inner dots (numbers, ids, hosts) as 0, runs of blanks as one."""
-    return re.sub(r"[ \t\xa0]+", " ", _IDS.sub("0", text.lower().replace("\r", "")))
+    return _BLANKS.sub(" ", _IDS.sub("0", text.lower().replace("\r", "")))
 
 
 def _bins(text: str) -> list[np.ndarray]:
@@ -181,7 +183,7 @@ class Lines:
         self.doubt = np.array([bool(DOUBTFUL.search(x)) for x in self.lines], bool)
         self.marked = np.array([any(c in x for c in _MARKS) for x in self.lines], bool)
         self.size = np.array([len(x) for x in self.lines], np.int64)
-        self.whole = _GAP + _GAP.join(self.lines)
+        self.whole = _GAP + _GAP.join(self.lines) + _GAP
         self.start = len(_GAP) + np.concatenate([[0], np.cumsum(self.size[:-1] + len(_GAP))]) if self.lines else np.zeros(0, np.int64)
 
 
@@ -221,9 +223,9 @@ class Model:
         self.counts = [c.astype(np.float32) for c in counts]
         self.total = [max(float(c[0].sum()), 1.0) for c in counts]
 
-    def log(self, text: str, classes: Sequence[int] = (0, 1, 2)) -> np.ndarray:
-        """(classes, characters): log probability of each character after those before it."""
-        bins = _bins(text)
+    def log(self, text: str, classes: Sequence[int] = (0, 1, 2), bins: list[np.ndarray] | None = None) -> np.ndarray:
+        """(classes, characters): log probability of each character after those before it; bins: those of the text, if known."""
+        bins = bins or _bins(text)
         out = np.empty((len(classes), len(text)), np.float32)
         for row, k in enumerate(classes):
             c, total = self.counts[k], self.total[k]
@@ -242,10 +244,10 @@ class Model:
             np.log(p, out=out[row])
         return out
 
-    def sums(self, ln: Lines) -> np.ndarray:
+    def sums(self, ln: Lines, bins: list[np.ndarray] | None = None) -> np.ndarray:
         """(classes, characters + 1): running sums of the log probabilities of all lines."""
         out = np.zeros((len(CLASSES), len(ln.whole) + 1))
-        np.cumsum(self.log(ln.whole), axis=1, dtype=np.float64, out=out[:, 1:])
+        np.cumsum(self.log(ln.whole, bins=bins), axis=1, dtype=np.float64, out=out[:, 1:])
         return out
 
     def field_lines(self, ln: Lines, natural: np.ndarray) -> np.ndarray:
@@ -325,8 +327,8 @@ def seed_counts() -> list[np.ndarray]:
     return [_seed(NATURAL.splitlines()), _seed(FILLER.splitlines()), _seed(NOTICE.splitlines() + _status_lines()), _seed(_field_seeds())]
 
 
-#: Documents that the models are fitted on, about; characters that the counts of prose and of each kind of residue are scaled to.
-SAMPLE, MASS, LEARNT = 20_000, 1_000_000, 20_000
+#: Characters that the counts of prose and of each kind of residue are scaled to.
+MASS, LEARNT = 1_000_000, 20_000
 #: Log likelihood per character by which residue must beat prose for a line to count as residue when the models are
 #: fitted: first against the seed of prose, then against prose as counted so far.
 SURE = (0.7, 0.4, 0.4)
@@ -346,19 +348,46 @@ def unpacked(parts: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]
     return [c.reshape(ORDERS, BINS) for c in out]
 
 
+class _Grams:
+    """Counts of the n-grams of lines, by class; each line counts with the gap after it, so blocks make no difference."""
+
+    def __init__(self):
+        self.total = np.zeros((ORDERS, len(CLASSES) * BINS), np.int64)
+        self.parts: list[list[np.ndarray]] = []
+        self.size = 0
+
+    def add(self, ln: Lines, bins: list[np.ndarray], label: np.ndarray) -> None:
+        """label: class of each line, or -1."""
+        at = np.repeat(label, ln.size + len(_GAP))
+        some = np.flatnonzero(at >= 0)
+        base = (at[some] * BINS).astype(np.int32)
+        self.parts.append([base + b[len(_GAP) :][some] for b in bins])
+        self.size += len(some)
+        if self.size >= 1 << 20:
+            self.counts()
+
+    def counts(self) -> np.ndarray:
+        """(classes, ORDERS, BINS)"""
+        for n in range(ORDERS if self.parts else 0):
+            self.total[n] += np.bincount(np.concatenate([p[n] for p in self.parts]), minlength=self.total.shape[1])
+        self.parts, self.size = [], 0
+        return self.total.reshape(ORDERS, len(CLASSES), BINS).swapaxes(0, 1)
+
+
 def _count(shared, sure: float, learn: bool):
     """mapInArrow over text: class, bin, n of the n-grams in the lines of prose and, with learn, of residue."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(unpacked(shared.value))
-        total = np.zeros((len(CLASSES), ORDERS, BINS), np.float64)
+        grams = _Grams()
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo, hi in blocks(texts):
                 ln = Lines(texts[lo:hi])
                 if not ln.lines:
                     continue
-                sums = m.sums(ln)
+                bins = _bins(ln.whole)
+                sums = m.sums(ln, bins)
                 s = sums[:, ln.start + ln.size] - sums[:, ln.start]
                 best = np.where(s[1] >= s[2], 1, 2)
                 bad = np.maximum(s[1], s[2]) - s[0] >= sure * ln.size
@@ -370,30 +399,23 @@ def _count(shared, sure: float, learn: bool):
                     best = np.where(mostly[ln.doc], np.where(n[:, 1] >= n[:, 2], 1, 2)[ln.doc], best)
                     bad |= mostly[ln.doc]
                 skip = ln.doubt | ln.furniture | np.array([(d, r) in empty for d, r in zip(ln.doc, ln.row)], bool)
-                total[0] += gram_counts([x for x, no in zip(ln.lines, bad | skip) if not no])
-                if learn:
-                    for k in (1, 2):
-                        total[k] += gram_counts([x for x, yes in zip(ln.lines, bad & ~skip & (best == k) & (ln.size >= LEAST)) if yes])
+                grams.add(ln, bins, np.where(skip, -1, np.where(~bad, 0, np.where(learn & (ln.size >= LEAST), best, -1))))
+        total = grams.counts()
         c, n, i = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array((n * BINS + i).astype(np.int32)), pa.array(total[c, n, i].astype(np.int64))], names=["class", "bin", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array((n * BINS + i).astype(np.int32)), pa.array(total[c, n, i])], names=["class", "bin", "n"])
 
     return run
 
 
-def fit(docs: DataFrame, key: str, text: str, *, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, key: str, text: str) -> Model:
     """The models of prose, filler, notices and fields: from the seeds, and from what the documents say.
 
-    A classifier fitted on a bounded sample: of about ``sample`` documents, chosen by a hash of their keys.  A first pass
-    counts the n-grams of all lines that the seeds do not take for residue as prose; two more count again with the
-    models so far, prose as prose and as residue the lines that clearly are and the others of texts that mostly are.  What comes to the driver is at most
-    three times ORDERS * BINS counts, whatever the number of documents.  Counts are scaled to fixed masses, so that the
+    Fitted on every document that has a key and a text.  A first pass counts the n-grams of all lines that the seeds do
+    not take for residue as prose; two more count again with the models so far, prose as prose and as residue the lines
+    that clearly are and the others of texts that mostly are.  What comes to the driver is at most three times ORDERS * BINS counts, whatever the number of documents.  Counts are scaled to fixed masses, so that the
     smoothing weighs the same at every size of corpus.
     """
-    n = docs.count()
-    src = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull())
-    if n > sample:
-        src = src.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    src = session.spread(src.select(F.col(text).alias("text")))
+    src = session.spread(docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(text).alias("text")))
     seeds = seed_counts()
     counts = seeds
     for step, sure in enumerate(SURE):
